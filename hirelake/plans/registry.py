@@ -32,4 +32,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from hirelake.plans import (  # noqa: F401
         queries_metrics,
+        queries_quality,
     )
