@@ -33,4 +33,5 @@ def load_all() -> None:
     from hirelake.plans import (  # noqa: F401
         queries_metrics,
         queries_quality,
+        queries_io,
     )
