@@ -34,4 +34,5 @@ def load_all() -> None:
         queries_metrics,
         queries_quality,
         queries_io,
+        queries_rate,
     )
