@@ -50,7 +50,7 @@ def csv_timestamp(c) -> Column:
 
 # ISO-8601 text with a zone designator (Z or +hh:mm); rejected by the JSON
 # intake because the target column has no zone.
-_ZONED = r"(Z|[+-]\d{2}(:?\d{2})?)$"
+_ZONED = r"\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*([Zz]|[+-]\d{2}(:?\d{2})?)$"
 
 
 def iso_timestamp(c) -> Column:

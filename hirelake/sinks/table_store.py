@@ -41,6 +41,7 @@ class TableStore:
         self.root = root.rstrip("/")
         self._buckets = dict(buckets or {})
         self._default = default_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._known: set[str] = set()
 
     # -- layout ---------------------------------------------------------
     def path(self, spec: TableSpec) -> str:
@@ -54,11 +55,14 @@ class TableStore:
         return F.pmod(F.hash(key), F.lit(self.buckets(spec)))
 
     def _exists(self, spec: TableSpec) -> bool:
+        if spec.name in self._known:
+            return True
         try:
             self.spark.read.schema(self._stored_schema(spec)).parquet(self.path(spec)).limit(0).collect()
-            return True
         except Exception:  # noqa: BLE001 - missing path
             return False
+        self._known.add(spec.name)
+        return True
 
     def _stored_schema(self, spec: TableSpec):
         return T.StructType([*spec.schema.fields, T.StructField(BUCKET, T.IntegerType())])
@@ -74,11 +78,15 @@ class TableStore:
         empty = self.spark.createDataFrame([], self._stored_schema(spec))
         (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy(BUCKET).parquet(self.path(spec)))
+        self._known.add(spec.name)
 
     # -- reads ----------------------------------------------------------
     def read(self, spec: TableSpec) -> DataFrame:
         """S3: the whole table with the spec's schema (an empty table
-        reads fine; nothing is inferred)."""
+        reads fine; nothing is inferred).  A table never created reads as
+        empty, as the service's tables always exist."""
+        if not self._exists(spec):
+            return self.spark.createDataFrame([], spec.schema)
         return (self.spark.read.schema(self._stored_schema(spec)).parquet(self.path(spec))
                 .select(*spec.columns))
 

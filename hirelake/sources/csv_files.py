@@ -35,49 +35,66 @@ class CsvLoad:
 
 
 def _raw(spark: SparkSession, path, spec: TableSpec, header: bool) -> DataFrame:
+    """All fields as text.  The parser flags a row whose field count differs
+    from the schema in ``_corrupt`` (and still fills the fields)."""
     schema = ", ".join(f"`{c}` string" for c in spec.columns) + f", {CORRUPT} string"
     return (spark.read.schema(schema)
             .option("header", header).option("encoding", "UTF-8")
             .option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .csv(path)
-            .withColumn("_file", F.col("_metadata.file_path")))
+            .csv(path))
 
 
-def _n_fields(text):
-    return F.size(F.split(text, ","))
+def _field_count(text):
+    """Fields of a CSV line: quoted sections are collapsed first, so a
+    comma inside quotes does not count."""
+    return F.size(F.split(F.regexp_replace(text, r'"([^"]|"")*"', "q"), ","))
 
 
-def _errors(df: DataFrame, spec: TableSpec, campo: str, regla: str, valor) -> DataFrame:
+def _shape(spec: TableSpec):
+    """(short, long) row tests.  The length test references every schema
+    column on purpose: the CSV reader prunes unreferenced columns and then
+    compares the field count with the pruned schema only."""
+    all_fields = F.length(F.concat_ws(",", *[F.col(c) for c in spec.columns])) >= 0
+    bad = F.col(CORRUPT).isNotNull() & all_fields
+    k = len(spec.columns)
+    return bad & (_field_count(F.col(CORRUPT)) < k), bad & (_field_count(F.col(CORRUPT)) > k)
+
+
+def _line(spec: TableSpec):
+    """The row as read, for error reports."""
+    return F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.col(c) for c in spec.columns]))
+
+
+def _errors(df: DataFrame, spec: TableSpec, campo, regla, valor) -> DataFrame:
+    as_col = lambda v: v if not isinstance(v, str) else F.lit(v)
     return df.select(F.lit(spec.name).alias("tabla"), F.lit(None).cast("bigint").alias("indice"),
-                     F.lit("csv").alias("etapa"), F.lit(campo).alias("campo"),
-                     F.lit(regla).alias("regla"), valor.cast("string").alias("valor"))
+                     F.lit("csv").alias("etapa"), as_col(campo).alias("campo"),
+                     as_col(regla).alias("regla"), valor.cast("string").alias("valor"))
 
 
 def read_dimension_csv(spark: SparkSession, path, spec: TableSpec) -> CsvLoad:
     """S1 + F3 + P3 for a two-column dimension file."""
     key, name = spec.columns[0], spec.columns[1]
     raw = _raw(spark, path, spec, header=False)
-    short = F.col(CORRUPT).isNotNull() & (_n_fields(F.col(CORRUPT)) < len(spec.columns))
-    # Extra fields of a long row must be non-blank too (every field is tested).
-    long_blank = (F.col(CORRUPT).isNotNull() & ~short
-                  & F.col(CORRUPT).rlike(r"(^|,)\s*(,|$)"))
-    blank = is_blank(key) | is_blank(name) | long_blank
+    short, long = _shape(spec)
+    # Every field must be non-blank, a long row's extra fields included.
+    blank = is_blank(key) | is_blank(name) | (long & F.col(CORRUPT).rlike(r"(^|,)\s*(,|$)"))
     typed = raw.withColumn("_id", csv_int(key))
     keep = ~short & ~blank
     rows = (typed.where(keep & F.col("_id").isNotNull())
             .select(F.col("_id").alias(key), F.col(name)))
-    errs = _errors(typed.where(short), spec, "__root__", "short_row", F.col(CORRUPT)).unionByName(
-        _errors(typed.where(keep & F.col("_id").isNull()), spec, key, "int_parsing", F.col(key)))
+    errs = _errors(typed.where(short & ~is_blank(key)), spec, "__root__", "short_row", _line(spec)) \
+        .unionByName(_errors(typed.where(keep & F.col("_id").isNull()), spec, key, "int_parsing",
+                             F.col(key)))
     return CsvLoad(rows, errs.select(*ERROR_COLUMNS))
 
 
 def read_hires_csv(spark: SparkSession, path, spec: TableSpec) -> CsvLoad:
     """S2 + F4 + P3/P4/P11 for the hires file (five columns, header line)."""
     cols = spec.columns
-    raw = _raw(spark, path, spec, header=True)
-    short = F.col(CORRUPT).isNotNull() & (_n_fields(F.col(CORRUPT)) < len(cols))
+    raw = _raw(spark, path, spec, header=True).withColumn("_short", _shape(spec)[0])
     trimmed = raw.withColumns({c: blank_to_null(c) for c in cols})
     present = trimmed.where(F.col(cols[0]).isNotNull())
     ints = [f.name for f in spec.fields if f.kind == "int"]
@@ -86,6 +103,7 @@ def read_hires_csv(spark: SparkSession, path, spec: TableSpec) -> CsvLoad:
     for c in ints:
         broken = F.col(c).isNotNull() & F.col(f"_i_{c}").isNull()
         bad_int = broken if bad_int is None else (bad_int | broken)
+    short = F.col("_short")
     ok = ~short & ~bad_int
     out = {}
     for f in spec.fields:
@@ -98,12 +116,10 @@ def read_hires_csv(spark: SparkSession, path, spec: TableSpec) -> CsvLoad:
     rows = parsed.where(ok).select(*[out[c].alias(c) for c in cols])
     first_bad = F.coalesce(*[F.when(F.col(c).isNotNull() & F.col(f"_i_{c}").isNull(), F.lit(c))
                              for c in ints])
-    errs = (parsed.where(short | bad_int)
-            .select(F.lit(spec.name).alias("tabla"), F.lit(None).cast("bigint").alias("indice"),
-                    F.lit("csv").alias("etapa"),
-                    F.when(short, F.lit("__root__")).otherwise(first_bad).alias("campo"),
-                    F.when(short, F.lit("short_row")).otherwise(F.lit("int_parsing")).alias("regla"),
-                    F.coalesce(F.col(CORRUPT), F.col(cols[0])).alias("valor")))
+    errs = _errors(parsed.where(short | bad_int), spec,
+                   F.when(short, F.lit("__root__")).otherwise(first_bad),
+                   F.when(short, F.lit("short_row")).otherwise(F.lit("int_parsing")),
+                   F.when(short, _line(spec)).otherwise(F.col(cols[0])))
     return CsvLoad(rows, errs)
 
 
