@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.functions.scalar import iso_string, iso_timestamp, strip_ws
+from hirelake.session import spread
 from hirelake.spec import FieldSpec, TableSpec
 
 ERROR_SCHEMA = "tabla string, indice bigint, etapa string, campo string, regla string, valor string"
@@ -192,8 +193,10 @@ def apply_rules(accessed: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def validate_json(df: DataFrame, raw: str, spec: TableSpec) -> DataFrame:
-    """V1 over raw JSON records: keeps the other columns of ``df``."""
-    return apply_rules(access_json(df.drop(*spec.columns), raw, spec), spec)
+    """V1 over raw JSON records: keeps the other columns of ``df``.  Parsing
+    is the costly step, so a batch with fewer partitions than cores is
+    spread first (see :func:`hirelake.session.spread`)."""
+    return apply_rules(access_json(spread(df.drop(*spec.columns)), raw, spec), spec)
 
 
 def validate_typed(df: DataFrame, spec: TableSpec) -> DataFrame:

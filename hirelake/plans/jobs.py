@@ -93,7 +93,7 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
                              F.count_if("ok").alias("validos")).first()
         valid = (checked.where(F.col("ok"))
                  .withColumn("_pos", F.struct("payload", "indice")))
-        n = store.upsert(spec, valid, on_duplicate=on_duplicate, order="_pos")
+        n = store.upsert(spec, valid, on_duplicate=on_duplicate, order="_pos", materialized=True)
         summary.append((tabla, counts["recibidos"], counts["validos"], n))
         errors.append(batch_errors(checked, tabla))
     return IngestResult(
@@ -227,7 +227,7 @@ def restore_table(store: TableStore, tabla: str, path: str, fmt: str,
     checked = check_batch(store, spec, validated).checkpoint(eager=True)
     counts = checked.agg(F.count(F.lit(1)).alias("recibidos"), F.count_if("ok").alias("validos")).first()
     valid = checked.where(F.col("ok")).withColumn("_pos", F.col(spec.key))
-    n = store.upsert(spec, valid, on_duplicate=on_duplicate, order="_pos")
+    n = store.upsert(spec, valid, on_duplicate=on_duplicate, order="_pos", materialized=True)
     summary = spark.createDataFrame([(tabla, n, counts["recibidos"], counts["validos"])],
                                     "tabla string, restaurados bigint, recibidos bigint, validos bigint")
     return RestoreResult(summary, batch_errors(checked, tabla).select(*ERROR_COLUMNS))

@@ -69,6 +69,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/hirelake/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df):
+    """Round-robin ``df`` over the cluster's cores when it has fewer
+    partitions than cores (a single small or unsplittable input file).
+
+    Meant for CPU-heavy per-row work such as JSON parsing.  A large input
+    already has more splits than cores, so this adds no shuffle there."""
+    from pyspark.sql import DataFrame  # noqa: F401 - typing only
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def is_local_path(path: str) -> bool:
     return path.startswith("/") or path.startswith("file:")
 

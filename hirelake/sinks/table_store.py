@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.operators.keys import resolve_duplicates
+from hirelake.operators.keys import DuplicateKeyError, keep_last, resolve_duplicates
+from hirelake.session import _checkpoint_root
 from hirelake.spec import TableSpec
 
 BUCKET = "b"
@@ -115,25 +116,40 @@ class TableStore:
         return n
 
     def upsert(self, spec: TableSpec, rows: DataFrame, on_duplicate: str = "error",
-               order: str | None = None) -> int:
+               order: str | None = None, materialized: bool = False) -> int:
         """Insert new keys, replace matched rows; returns the number
-        of rows written from the batch."""
+        of rows written from the batch.
+
+        ``materialized=True`` tells that ``rows`` is already a checkpoint
+        (reading it twice gives the same rows); otherwise the batch is
+        checkpointed once here, because it is read for the statistics, the
+        anti join and the union."""
         self.create_if_missing(spec)
-        keep = [*spec.columns, *([order] if order else [])]
-        batch = resolve_duplicates(rows.select(*keep), spec.key, order, on_duplicate)
-        batch = batch.select(*spec.columns).withColumn(BUCKET, self.bucket_of(spec))
-        # Materialise the batch once: it is read for the bucket list, the
-        # count, the anti join and the union.
-        batch = batch.checkpoint(eager=True)
-        touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # <= B ints
-        if not touched:
+        if on_duplicate == "last":
+            batch = keep_last(rows.select(*spec.columns, order), spec.key, order).select(*spec.columns)
+            materialized = False
+        elif on_duplicate == "error":
+            batch = rows.select(*spec.columns)
+        else:
+            raise ValueError(f"unknown duplicate policy {on_duplicate!r}")
+        batch = batch.withColumn(BUCKET, self.bucket_of(spec))
+        if not materialized:
+            _checkpoint_root(self.spark)
+            batch = batch.checkpoint(eager=True)
+        # One pass: touched buckets (<= B rows), row count, duplicate test.
+        stats = (batch.groupBy(BUCKET)
+                 .agg(F.count(F.lit(1)).alias("n"), F.count_distinct(spec.key).alias("keys"))
+                 .collect())
+        if not stats:
             return 0
-        n = batch.count()
+        if on_duplicate == "error" and any(r["n"] != r["keys"] for r in stats):
+            raise DuplicateKeyError(f"duplicate values of {spec.key!r} in batch")
+        touched = [r[BUCKET] for r in stats]
         old = self._read_buckets(spec, touched)
         merged = (old.join(batch.select(spec.key), spec.key, "left_anti")
                   .unionByName(batch))
         self._write_buckets(spec, merged)
-        return n
+        return sum(r["n"] for r in stats)
 
     def truncate(self, spec: TableSpec) -> int:
         """Delete every row; returns how many there were."""
