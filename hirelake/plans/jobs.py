@@ -181,6 +181,11 @@ def backup_tables(store: TableStore, fmt: str, directory: str, tables: list[str]
     return spark.createDataFrame(out, "tabla string, formato string, ruta string, registros bigint")
 
 
+def backup_records_total(report: DataFrame) -> DataFrame:
+    """Rows written over all tables of a backup report."""
+    return report.agg(F.coalesce(F.sum("registros"), F.lit(0)).cast("bigint").alias("registros"))
+
+
 class GuardError(RuntimeError):
     pass
 

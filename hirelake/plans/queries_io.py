@@ -315,3 +315,42 @@ def timestamp_iso(spark, sf):
                                             F.col("o_orderdate").alias("ts"))
     both = ev.unionByName(od).withColumn("iso", iso_string("ts"))
     return both.select("src", "id", "iso", iso_timestamp(F.col("iso")).alias("back"))
+
+
+@register("backup_total", """
+SELECT (SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM part)
+       + (SELECT COUNT(*) FROM orders) AS registros
+""")
+def backup_total(spark, sf):
+    """Total records written by a backup of the three tables."""
+    store = _loaded_store(spark, sf, "total-store")
+    made = jobs.backup_tables(store, "parquet", scratch_dir(spark, "backups"), now=BACKUP_CLOCK)
+    return jobs.backup_records_total(made)
+
+
+# --------------------------------------------------------------------------
+# Historical CSV load (J1p, W4-W6, W12, A5, L1)
+# --------------------------------------------------------------------------
+def _full_load(spark, sf):
+    base = scratch_dir(spark, "csv-load")
+    write_csv(table(spark, sf, "supplier").select("s_suppkey", "s_name"), f"{base}/departments", False)
+    write_csv(table(spark, sf, "part").select("p_partkey", "p_name"), f"{base}/jobs", False)
+    store = _store(spark, "load-store")
+    return jobs.full_load(store, f"{base}/departments", f"{base}/jobs", _hires_csv(spark, sf))
+
+
+@register("full_load_counts", """
+SELECT 'departamentos' AS tabla, COUNT(*) AS registros FROM supplier
+UNION ALL SELECT 'trabajos', COUNT(*) FROM part
+UNION ALL SELECT 'empleados_contratados', COUNT(*) FROM orders WHERE o_orderkey % 9 <> 0
+""")
+def full_load_counts(spark, sf):
+    """Load departments, jobs and hires from CSV into fresh tables, then
+    count each table (the loader's report)."""
+    return _full_load(spark, sf).counts
+
+
+@register("full_load_preview")
+def full_load_preview(spark, sf):
+    """L1: five rows of the loaded hires, no order (row count only)."""
+    return _full_load(spark, sf).preview

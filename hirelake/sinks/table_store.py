@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.operators.keys import DuplicateKeyError, keep_last, resolve_duplicates
+from hirelake.operators.keys import DuplicateKeyError, keep_last
 from hirelake.session import _checkpoint_root
 from hirelake.spec import TableSpec
 
@@ -101,19 +101,37 @@ class TableStore:
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET).parquet(self.path(spec)))
 
+    def _batch_stats(self, spec: TableSpec, batch: DataFrame, check_duplicates: bool) -> list:
+        """One pass over a bucketed batch: rows and distinct keys per bucket
+        (at most ``B`` rows come back to the driver)."""
+        stats = (batch.groupBy(BUCKET)
+                 .agg(F.count(F.lit(1)).alias("n"), F.count_distinct(spec.key).alias("keys"))
+                 .collect())
+        if check_duplicates and any(r["n"] != r["keys"] for r in stats):
+            raise DuplicateKeyError(f"{spec.name}: duplicate values of {spec.key!r} in batch")
+        return stats
+
     def append(self, spec: TableSpec, rows: DataFrame) -> int:
         """Add rows whose keys are new; a key already stored or
         repeated in ``rows`` fails the whole batch, as a primary-key clash
         aborts COPY."""
-        self.create_if_missing(spec)
-        batch = resolve_duplicates(rows.select(*spec.columns), spec.key, None, "error")
-        clash = self.read(spec).join(batch.select(spec.key), spec.key, "left_semi")
-        if not clash.isEmpty():
-            raise ValueError(f"{spec.name}: keys already present")
-        n = batch.count()
-        (batch.withColumn(BUCKET, self.bucket_of(spec)).repartition(BUCKET)
-         .write.mode("append").partitionBy(BUCKET).parquet(self.path(spec)))
-        return n
+        new = not self._exists(spec)
+        batch = rows.select(*spec.columns).withColumn(BUCKET, self.bucket_of(spec))
+        stats = self._batch_stats(spec, batch, check_duplicates=True)
+        if not new:
+            clash = self.read(spec).join(batch.select(spec.key), spec.key, "left_semi")
+            if not clash.isEmpty():
+                raise ValueError(f"{spec.name}: keys already present")
+        if new:
+            # First write creates the table (every bucket directory, even
+            # an empty table's, is readable with the explicit schema).
+            (batch.repartition(BUCKET).write.mode("overwrite")
+             .option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(self.path(spec)))
+            self._known.add(spec.name)
+        else:
+            (batch.repartition(BUCKET).write.mode("append")
+             .partitionBy(BUCKET).parquet(self.path(spec)))
+        return sum(r["n"] for r in stats)
 
     def upsert(self, spec: TableSpec, rows: DataFrame, on_duplicate: str = "error",
                order: str | None = None, materialized: bool = False) -> int:
@@ -124,7 +142,6 @@ class TableStore:
         (reading it twice gives the same rows); otherwise the batch is
         checkpointed once here, because it is read for the statistics, the
         anti join and the union."""
-        self.create_if_missing(spec)
         if on_duplicate == "last":
             batch = keep_last(rows.select(*spec.columns, order), spec.key, order).select(*spec.columns)
             materialized = False
@@ -137,13 +154,12 @@ class TableStore:
             _checkpoint_root(self.spark)
             batch = batch.checkpoint(eager=True)
         # One pass: touched buckets (<= B rows), row count, duplicate test.
-        stats = (batch.groupBy(BUCKET)
-                 .agg(F.count(F.lit(1)).alias("n"), F.count_distinct(spec.key).alias("keys"))
-                 .collect())
+        stats = self._batch_stats(spec, batch, check_duplicates=on_duplicate == "error")
         if not stats:
+            self.create_if_missing(spec)
             return 0
-        if on_duplicate == "error" and any(r["n"] != r["keys"] for r in stats):
-            raise DuplicateKeyError(f"duplicate values of {spec.key!r} in batch")
+        if not self._exists(spec):
+            return self.append(spec, batch.drop(BUCKET))
         touched = [r[BUCKET] for r in stats]
         old = self._read_buckets(spec, touched)
         merged = (old.join(batch.select(spec.key), spec.key, "left_anti")
