@@ -41,11 +41,21 @@ def _try_cast(col: Column, type_name: str) -> Column:
     return col.try_cast(type_name)
 
 
+# strptime('%Y-%m-%d %H:%M:%S'): four-digit year, one- or two-digit fields.
+_CSV_DATETIME = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$"
+
+
 def csv_timestamp(c) -> Column:
     """P4: 'T' becomes a space, text after the first '.' is cut, then
-    ``y-M-d H:m:s`` is parsed; failure gives NULL (the row is kept)."""
+    ``%Y-%m-%d %H:%M:%S`` is parsed; failure gives NULL (the row is kept).
+
+    Built from the matched parts with ``try_make_timestamp_ntz``, so no
+    session time zone is involved (a wall time in a DST gap stays as
+    written) and impossible dates (30 February, second 60) give NULL."""
     head = F.split(F.replace(_c(c), F.lit("T"), F.lit(" ")), r"\.").getItem(0)
-    return F.try_to_timestamp(head, F.lit("y-M-d H:m:s")).cast("timestamp_ntz")
+    part = [F.regexp_extract(head, _CSV_DATETIME, i).try_cast("int") for i in range(1, 7)]
+    ok = head.rlike(_CSV_DATETIME) & (part[5] < 60)
+    return F.when(ok, F.try_make_timestamp_ntz(*part))
 
 
 # ISO-8601 text with a zone designator (Z or +hh:mm); rejected by the JSON
@@ -62,12 +72,13 @@ def iso_timestamp(c) -> Column:
 
 def iso_string(c) -> Column:
     """``isoformat()`` of a zone-less timestamp: 'T' separator, and the
-    six-digit fraction only when microseconds are not zero."""
+    six-digit fraction only when microseconds are not zero.  Assembled from
+    the NTZ text and fields, so the session time zone plays no part."""
     col = _c(c)
-    whole = F.extract(F.lit("SECOND"), col) % 1 == 0
-    return (F.when(col.isNull(), F.lit(None).cast("string"))
-            .when(whole, F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss"))
-            .otherwise(F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
+    base = F.replace(F.substring(col.cast("string"), 1, 19), F.lit(" "), F.lit("T"))
+    micros = ((F.extract(F.lit("SECOND"), col) * 1_000_000) % 1_000_000).cast("int")
+    return F.when(micros == 0, base).otherwise(
+        F.concat(base, F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
 
 
 def year_range(c, year: int) -> Column:

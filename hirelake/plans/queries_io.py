@@ -78,7 +78,9 @@ def _hires_csv(spark, sf) -> str:
     iso = iso_string(d)
     date_txt = (F.when(k % 5 == 0, F.concat(iso, F.lit("Z")))
                 .when(k % 5 == 1, F.concat(iso, F.lit(".000Z")))
-                .when(k % 5 == 2, F.date_format(d, "y-M-d H:m:s"))
+                .when(k % 5 == 2, F.format_string("%d-%d-%d %d:%d:%d", F.year(d), F.month(d),
+                                                  F.dayofmonth(d), F.hour(d), F.minute(d),
+                                                  F.second(d)))
                 .otherwise(iso))
     rows = table(spark, sf, "orders").select(
         k.cast("string").alias("id"),

@@ -54,3 +54,15 @@ def test_year_range_bounds(spark):
     df = spark.createDataFrame(rows, "ts timestamp_ntz")
     got = [r.ts for r in df.where(year_range("ts", 2020)).collect()]
     assert got == [dt.datetime(2020, 12, 31, 23, 59, 59)]
+
+
+def test_timestamps_ignore_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        gap = dt.datetime(2021, 3, 14, 2, 30, 0)        # does not exist in New York
+        assert one(spark, csv_timestamp, "2021-03-14 2:30:00") == gap
+        assert one(spark, iso_string, gap, "timestamp_ntz") == "2021-03-14T02:30:00"
+        assert one(spark, csv_timestamp, "2021-01-01 00:00:60") is None
+        assert one(spark, csv_timestamp, "21-01-01 00:00:00") is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
