@@ -18,7 +18,7 @@ from hirelake.functions.scalar import iso_string, iso_timestamp
 from hirelake.plans import jobs
 from hirelake.plans.registry import register
 from hirelake.plans.tables import table
-from hirelake.session import scratch_dir
+from hirelake.session import scratch_dir, spread
 from hirelake.sinks.table_store import TableStore
 from hirelake.sources.backups import list_backups
 from hirelake.sources.csv_files import read_dimension_csv, read_hires_csv, write_csv
@@ -48,7 +48,11 @@ def hires_rows(spark, sf) -> DataFrame:
 
 
 def _store(spark, name: str) -> TableStore:
-    return TableStore(spark, scratch_dir(spark, name))
+    """A fresh table store.  These tables hold one scale factor of a TPC-H
+    table, so one bucket per core is enough; a production store passes
+    buckets sized to ~1 GB each."""
+    return TableStore(spark, scratch_dir(spark, name),
+                      default_buckets=spark.sparkContext.defaultParallelism)
 
 
 HIRES_OUT = "id, nombre, fecha_hora, id_departamento, id_trabajo"
@@ -117,6 +121,7 @@ def csv_load_errors(spark, sf):
 def _payload_lines(df: DataFrame, tabla: str) -> DataFrame:
     """Group a table's rows into payload documents of at most 1000 records
     (consecutive key ranges; keys are unique, so no group can grow)."""
+    df = spread(df)
     rec = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").alias("k"), rec.alias("r")))),
                           lambda x: x["r"])

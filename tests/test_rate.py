@@ -62,3 +62,18 @@ def test_throttle_stream_equals_batch(spark):
     q.awaitTermination()
     got = {r.event_id: r.ok for r in spark.read.parquet(f"{out}/d").collect()}
     assert got == brute_throttle(rows, dt.timedelta(hours=1), 2)
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 20_000)), min_size=1, max_size=60,
+                unique_by=lambda x: x),
+       st.integers(1, 3), st.sampled_from([10, 300, 3600]))
+def test_throttle_property(spark, evs, m, w):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, u, base + dt.timedelta(seconds=s)) for i, (u, s) in enumerate(evs)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz")
+    got = {r.event_id: r.ok for r in rate.throttle_flags(df, "user_id", "ts", "event_id", w, m).collect()}
+    assert got == brute_throttle(rows, dt.timedelta(seconds=w), m)
