@@ -21,7 +21,7 @@ from hirelake.functions.scalar import iso_string
 from hirelake.operators import foreign_keys, validate
 from hirelake.operators.counts import table_counts
 from hirelake.operators.validate import ERROR_COLUMNS, ERROR_SCHEMA
-from hirelake.session import _checkpoint_root
+from hirelake.session import materialize
 from hirelake.sinks.table_store import TableStore
 from hirelake.sources import backups as bk
 from hirelake.sources.csv_files import read_dimension_csv, read_hires_csv
@@ -78,8 +78,7 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
     rows (W7-W9) and count (V4).  Each table commits on its own, so a
     failure in a later table keeps the earlier ones, as in the service."""
     spark = records.sparkSession
-    _checkpoint_root(spark)
-    records = records.checkpoint(eager=True)
+    records = materialize(records, "ingest-records")
     present = {r[0] for r in records.select("tabla").distinct().collect()}  # <= 3 names
     summary, errors = [], []
     for tabla in TABLE_ORDER:
@@ -88,7 +87,7 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
         spec = table_spec(tabla)
         recs = records.where(F.col("tabla") == tabla)
         checked = check_batch(store, spec, validate.validate_json(recs, "raw", spec))
-        checked = checked.checkpoint(eager=True)
+        checked = materialize(checked, f"ingest-{tabla}")
         counts = checked.agg(F.count(F.lit(1)).alias("recibidos"),
                              F.count_if("ok").alias("validos")).first()
         valid = (checked.where(F.col("ok"))
@@ -224,12 +223,11 @@ def restore_table(store: TableStore, tabla: str, path: str, fmt: str,
     the backup stay."""
     spec = table_spec(tabla)
     spark = store.spark
-    _checkpoint_root(spark)
     rows = bk.read_backup(spark, path, spec, fmt)
     # No file order survives a distributed read: the key itself orders
     # duplicates for the "last" policy.
     validated = validate.validate_typed(rows.withColumn("indice", F.lit(None).cast("bigint")), spec)
-    checked = check_batch(store, spec, validated).checkpoint(eager=True)
+    checked = materialize(check_batch(store, spec, validated), f"restore-{tabla}")
     counts = checked.agg(F.count(F.lit(1)).alias("recibidos"), F.count_if("ok").alias("validos")).first()
     valid = checked.where(F.col("ok")).withColumn("_pos", F.col(spec.key))
     n = store.upsert(spec, valid, on_duplicate=on_duplicate, order="_pos", materialized=True)

@@ -69,6 +69,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/hirelake/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, label: str):
+    """Write ``df`` once as Parquet under the checkpoint folder and read it
+    back: lineage is cut, a lost executor does not recompute the input, and
+    later passes read columnar files.
+
+    Preferred over ``DataFrame.checkpoint()``, which evaluates the plan
+    twice (once to count, once to write) unless the data is also cached."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df):
     """Round-robin ``df`` over the cluster's cores when it has fewer
     partitions than cores (a single small or unsplittable input file).

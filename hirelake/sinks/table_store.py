@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.operators.keys import DuplicateKeyError, keep_last
-from hirelake.session import _checkpoint_root
+from hirelake.session import materialize
 from hirelake.spec import TableSpec
 
 BUCKET = "b"
@@ -111,13 +111,13 @@ class TableStore:
             raise DuplicateKeyError(f"{spec.name}: duplicate values of {spec.key!r} in batch")
         return stats
 
-    def append(self, spec: TableSpec, rows: DataFrame) -> int:
+    def append(self, spec: TableSpec, rows: DataFrame, _stats: list | None = None) -> int:
         """Add rows whose keys are new; a key already stored or
         repeated in ``rows`` fails the whole batch, as a primary-key clash
         aborts COPY."""
         new = not self._exists(spec)
         batch = rows.select(*spec.columns).withColumn(BUCKET, self.bucket_of(spec))
-        stats = self._batch_stats(spec, batch, check_duplicates=True)
+        stats = _stats if _stats is not None else self._batch_stats(spec, batch, check_duplicates=True)
         if not new:
             clash = self.read(spec).join(batch.select(spec.key), spec.key, "left_semi")
             if not clash.isEmpty():
@@ -138,10 +138,10 @@ class TableStore:
         """Insert new keys, replace matched rows; returns the number
         of rows written from the batch.
 
-        ``materialized=True`` tells that ``rows`` is already a checkpoint
+        ``materialized=True`` tells that ``rows`` is already written out
         (reading it twice gives the same rows); otherwise the batch is
-        checkpointed once here, because it is read for the statistics, the
-        anti join and the union."""
+        written once to the checkpoint folder here, because it is read for
+        the statistics, the anti join and the union."""
         if on_duplicate == "last":
             batch = keep_last(rows.select(*spec.columns, order), spec.key, order).select(*spec.columns)
             materialized = False
@@ -151,15 +151,14 @@ class TableStore:
             raise ValueError(f"unknown duplicate policy {on_duplicate!r}")
         batch = batch.withColumn(BUCKET, self.bucket_of(spec))
         if not materialized:
-            _checkpoint_root(self.spark)
-            batch = batch.checkpoint(eager=True)
+            batch = materialize(batch, f"upsert-{spec.name}")
         # One pass: touched buckets (<= B rows), row count, duplicate test.
         stats = self._batch_stats(spec, batch, check_duplicates=on_duplicate == "error")
         if not stats:
             self.create_if_missing(spec)
             return 0
         if not self._exists(spec):
-            return self.append(spec, batch.drop(BUCKET))
+            return self.append(spec, batch.drop(BUCKET), _stats=stats)
         touched = [r[BUCKET] for r in stats]
         old = self._read_buckets(spec, touched)
         merged = (old.join(batch.select(spec.key), spec.key, "left_anti")
