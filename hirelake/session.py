@@ -95,6 +95,27 @@ def spread(df):
     return df
 
 
+def _fs(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark, path: str) -> bool:
+    """Whether ``path`` exists on its file system (HDFS, S3, local, ...)."""
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def list_names(spark, path: str) -> list[str] | None:
+    """Names of the entries directly under ``path`` (one shallow listing on
+    the driver); ``None`` when the folder does not exist."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    return [st.getPath().getName() for st in fs.listStatus(p)]
+
+
 def is_local_path(path: str) -> bool:
     return path.startswith("/") or path.startswith("file:")
 

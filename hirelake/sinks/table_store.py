@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.operators.keys import DuplicateKeyError, keep_last
-from hirelake.session import materialize
+from hirelake.session import materialize, path_exists
 from hirelake.spec import TableSpec
 
 BUCKET = "b"
@@ -58,9 +58,7 @@ class TableStore:
     def _exists(self, spec: TableSpec) -> bool:
         if spec.name in self._known:
             return True
-        try:
-            self.spark.read.schema(self._stored_schema(spec)).parquet(self.path(spec)).limit(0).collect()
-        except Exception:  # noqa: BLE001 - missing path
+        if not path_exists(self.spark, self.path(spec)):
             return False
         self._known.add(spec.name)
         return True

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelake.session import list_names
 from hirelake.spec import BACKUP_FORMATS, TableSpec, table_spec
 
 CATALOG_SCHEMA = "tabla string, archivo string, ruta string, fecha string, formato string"
@@ -50,19 +51,14 @@ def list_backups(spark: SparkSession, directory: str, tabla: str,
     fecha, formato), newest first.  ``day`` ("YYYYmmdd") keeps one day
     only (F12).  A missing directory lists nothing.
 
-    The listing is a ``binaryFile`` scan that never reads file contents,
-    so a directory with many backups is listed by the executors."""
+    One shallow listing of the folder (its entries, not the part files
+    inside each backup), so the cost follows the number of backups."""
     table_spec(tabla)  # whitelist
     d = directory.rstrip("/")
-    try:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .load(d).select("path"))
-        files.limit(0).collect()
-    except Exception:  # noqa: BLE001 - directory absent
+    names = list_names(spark, d)
+    if not names:
         return spark.createDataFrame([], CATALOG_SCHEMA)
-    tail = re.escape(d.lstrip("/").split(":", 1)[-1].lstrip("/"))
-    entries = (files.select(F.regexp_extract("path", rf"{tail}/([^/]+)(/|$)", 1).alias("archivo"))
-               .distinct())
+    entries = spark.createDataFrame([(n,) for n in names], "archivo string")
     pat = _entry_pattern(tabla)
     out = (entries.where(F.col("archivo").rlike(pat))
            .select(F.lit(tabla).alias("tabla"), "archivo",
