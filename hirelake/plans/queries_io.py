@@ -86,7 +86,7 @@ def _hires_csv(spark, sf) -> str:
                                                   F.dayofmonth(d), F.hour(d), F.minute(d),
                                                   F.second(d)))
                 .otherwise(iso))
-    rows = table(spark, sf, "orders").select(
+    rows = spread(table(spark, sf, "orders")).select(
         k.cast("string").alias("id"),
         F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" ")).alias("nombre"),
         date_txt.alias("fecha_hora"), F.col("o_custkey").cast("string").alias("id_departamento"),

@@ -18,6 +18,7 @@ from hirelake.functions.scalar import iso_string
 from hirelake.operators import counts, foreign_keys, keys, validate
 from hirelake.plans.registry import register
 from hirelake.plans.tables import table
+from hirelake.session import spread
 from hirelake.spec import HIRES, JOBS, FieldSpec, TableSpec, table_spec
 
 
@@ -45,7 +46,7 @@ def job_records(spark: SparkSession, sf: str) -> DataFrame:
               .when(k % 19 == 0, _member("trabajo", json_text(F.rpad("p_name", 201, "*"))))
               .when(k % 23 == 0, _member("trabajo", F.col("p_size").cast("string")))
               .otherwise(_member("trabajo", json_text(F.col("p_name")))))
-    return table(spark, sf, "part").select(k.alias("indice"), _record(id_m, name_m).alias("raw"))
+    return spread(table(spark, sf, "part")).select(k.alias("indice"), _record(id_m, name_m).alias("raw"))
 
 
 def hire_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +65,7 @@ def hire_records(spark: SparkSession, sf: str) -> DataFrame:
     dep_m = _member("id_departamento",
                     F.when(k % 17 == 0, F.lit("0")).otherwise(F.col("o_custkey").cast("string")))
     job_m = F.when(k % 19 == 0, _member("id_trabajo", F.lit('"abc"')))
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         k.alias("indice"), _record(id_m, name_m, date_m, dep_m, job_m).alias("raw"))
 
 

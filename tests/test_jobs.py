@@ -127,3 +127,20 @@ def test_full_load_and_counts(spark, tmp):
     assert {r.tabla: r.registros for r in res.counts.collect()} == {
         "departamentos": 2, "trabajos": 2, "empleados_contratados": 2}
     assert res.preview.count() == 2
+
+
+def test_avro_is_capability_checked(spark, tmp):
+    from hirelake.sources import backups as bk
+    store = TableStore(spark, f"{tmp}/t", default_buckets=2)
+    store.append(DEP, spark.createDataFrame([(1, "A")], DEP.schema))
+    if bk.avro_available(spark):
+        made = jobs.backup_tables(store, "avro", f"{tmp}/bk", [DEPARTMENTS]).first()
+        assert rows(bk.read_backup(spark, made.ruta, DEP, "avro")) == [(1, "A")]
+    else:
+        with pytest.raises(bk.AvroUnavailable):
+            jobs.backup_tables(store, "avro", f"{tmp}/bk", [DEPARTMENTS])
+    with pytest.raises(ValueError):
+        jobs.backup_tables(store, "csv", f"{tmp}/bk")
+    with pytest.raises(ValueError):                      # names checked before any write
+        jobs.backup_tables(store, "parquet", f"{tmp}/bk2", [DEPARTMENTS, "nope"])
+    assert bk.list_backups(spark, f"{tmp}/bk2", DEPARTMENTS).count() == 0
