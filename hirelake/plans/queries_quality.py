@@ -163,21 +163,23 @@ def validation_summary(spark, sf):
         validate.summary_counts(_validated_hires(spark, sf), HIRES))
 
 
-# --- foreign keys: lineitem against dimensions with every tenth key gone ---
+# --- foreign keys: lineitem against narrower dimensions --------------------
+# Departments = suppliers in good standing (balance >= 0); jobs = parts of
+# size 45 or less.  Hires pointing at the others are orphans.
 LINEITEM_FK_SPEC = TableSpec("lineitem", (
     FieldSpec("l_suppkey", "int", required=False, references="supplier"),
     FieldSpec("l_partkey", "int", required=False, references="part"),
 ))
 
-_FK_DIMS_SQL = """s AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3),
-p AS (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 7)"""
+_FK_DIMS_SQL = """s AS (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0),
+p AS (SELECT p_partkey FROM part WHERE p_size <= 45)"""
 
 
 def _fk_checked(spark, sf):
     dims = {
-        "supplier": table(spark, sf, "supplier").where(F.col("s_suppkey") % 10 != 3)
+        "supplier": table(spark, sf, "supplier").where(F.col("s_acctbal") >= 0)
         .select(F.col("s_suppkey").alias("id")),
-        "part": table(spark, sf, "part").where(F.col("p_partkey") % 10 != 7)
+        "part": table(spark, sf, "part").where(F.col("p_size") <= 45)
         .select(F.col("p_partkey").alias("id")),
     }
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
