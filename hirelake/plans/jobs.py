@@ -21,7 +21,7 @@ from hirelake.functions.scalar import iso_string
 from hirelake.operators import foreign_keys, validate
 from hirelake.operators.counts import table_counts
 from hirelake.operators.validate import ERROR_COLUMNS, ERROR_SCHEMA
-from hirelake.session import materialize
+from hirelake.session import materialize, spread
 from hirelake.sinks.table_store import TableStore
 from hirelake.sources import backups as bk
 from hirelake.sources.csv_files import read_dimension_csv, read_hires_csv
@@ -78,7 +78,9 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
     rows (W7-W9) and count (V4).  Each table commits on its own, so a
     failure in a later table keeps the earlier ones, as in the service."""
     spark = records.sparkSession
-    records = materialize(records, "ingest-records")
+    # Written once (parsed payloads are read per table), then spread: JSON
+    # parsing of the records is the costly step.
+    records = spread(materialize(records, "ingest-records"))
     present = {r[0] for r in records.select("tabla").distinct().collect()}  # <= 3 names
     summary, errors = [], []
     for tabla in TABLE_ORDER:

@@ -18,6 +18,10 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # PySpark otherwise walks the Python stack on every Column call to
+    # record call sites for error messages; the rule compiler makes a few
+    # hundred such calls per table.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -87,7 +91,9 @@ def spread(df):
     partitions than cores (a single small or unsplittable input file).
 
     Meant for CPU-heavy per-row work such as JSON parsing.  A large input
-    already has more splits than cores, so this adds no shuffle there."""
+    already has more splits than cores, so this adds no shuffle there.
+    Call it on a scan: reading the partition count of a plan that contains
+    an adaptive shuffle would run that shuffle."""
     from pyspark.sql import DataFrame  # noqa: F401 - typing only
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
