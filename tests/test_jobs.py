@@ -144,3 +144,34 @@ def test_avro_is_capability_checked(spark, tmp):
     with pytest.raises(ValueError):                      # names checked before any write
         jobs.backup_tables(store, "parquet", f"{tmp}/bk2", [DEPARTMENTS, "nope"])
     assert bk.list_backups(spark, f"{tmp}/bk2", DEPARTMENTS).count() == 0
+
+
+def _write_docs(tmp, name, docs):
+    os.makedirs(f"{tmp}/{name}")
+    for i, d in enumerate(docs):
+        with open(f"{tmp}/{name}/{i:02d}.json", "w") as f:
+            json.dump(d, f)
+    return f"{tmp}/{name}"
+
+
+def test_ingest_duplicates_and_rejected_payloads(spark, tmp):
+    docs = [{"departamentos": [{"id": 1, "departamento": "A"}, {"id": 2, "departamento": "B"}]},
+            {"departamentos": [{"id": 1, "departamento": "A2"}]},
+            {"tabla": "departamentos", "registros": []}]
+    path = _write_docs(tmp, "p", docs)
+    store = TableStore(spark, f"{tmp}/t", default_buckets=2)
+    with pytest.raises(DuplicateKeyError):           # default: a repeated id fails the table
+        jobs.ingest_payloads(store, read_payloads(spark, path))
+    res = jobs.ingest_payloads(store, read_payloads(spark, path), on_duplicate="last")
+    assert [tuple(r) for r in res.summary.collect()] == [("departamentos", 3, 3, 2)]
+    assert rows(store.read(DEP)) == [(1, "A2"), (2, "B")]   # later payload wins
+    assert [os.path.basename(r.payload) for r in res.rejected.collect()] == ["02.json"]
+
+
+def test_ingest_later_tables_see_earlier_dimensions(spark, tmp):
+    store = TableStore(spark, f"{tmp}/t", default_buckets=2)
+    docs = [{"empleados_contratados": [{"id": 1, "id_departamento": 5}],
+             "departamentos": [{"id": 5, "departamento": "X"}]}]
+    res = jobs.ingest_payloads(store, read_payloads(spark, _write_docs(tmp, "p", docs)))
+    summary = {r.tabla: r.validos for r in res.summary.collect()}
+    assert summary == {"departamentos": 1, "empleados_contratados": 1}
