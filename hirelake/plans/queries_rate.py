@@ -67,9 +67,17 @@ def throttle_stream_query(spark, sf):
     stream = spark.readStream.schema(ev.schema).parquet(src)
     flags = throttle_stream(stream, "user_id", "ts", "event_id", THROTTLE_SECONDS, THROTTLE_MAX,
                             lateness=f"{THROTTLE_SECONDS} seconds")
-    q = (flags.writeStream.format("parquet").option("path", f"{out}/data")
-         .option("checkpointLocation", f"{out}/chk").outputMode("append")
-         .trigger(availableNow=True).start())
+    # The state store has one partition per shuffle partition, fixed when the
+    # query first starts (the conf is read at start): size it to the cores.
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        q = (flags.writeStream.format("parquet").option("path", f"{out}/data")
+             .option("checkpointLocation", f"{out}/chk").outputMode("append")
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
     return spark.read.parquet(f"{out}/data").select("event_id", "ok")
 
