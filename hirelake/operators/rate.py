@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirelake.session import materialize
 from hirelake.spec import RATE_MAX_REQUESTS, RATE_WINDOW_SECONDS
 
 US = 1_000_000
@@ -40,9 +41,17 @@ def epoch_micros(ts: str) -> Column:
 
 
 def trailing_count(events: DataFrame, key: str, ts: str, window_seconds: float,
-                   out: str = "n") -> DataFrame:
+                   out: str = "n", method: str = "buckets") -> DataFrame:
     """Add ``out`` = number of events of the same key with timestamp in
-    ``[ts - W, ts]`` (the event itself included)."""
+    ``[ts - W, ts]`` (the event itself included).
+
+    ``method="buckets"`` (one shuffle) bounds each task by one window W of
+    one key's events; ``method="ranks"`` bounds it by a range partition of
+    the whole input, whatever the skew (see :func:`trailing_count_by_ranks`)."""
+    if method == "ranks":
+        return trailing_count_by_ranks(events, key, ts, window_seconds, out)
+    if method != "buckets":
+        raise ValueError(f"unknown method {method!r}")
     w_us = int(window_seconds * US)
     base = events.withColumns({"_us": epoch_micros(ts)}).withColumn(
         "_bucket", F.floor(F.col("_us") / w_us))
@@ -56,6 +65,68 @@ def trailing_count(events: DataFrame, key: str, ts: str, window_seconds: float,
     return counted.where(F.col("_self")).drop("_us", "_bucket", "_self")
 
 
+def _running_sums(key: str):
+    """mapInPandas body: running sum of ``_w`` per key over rows sorted by
+    (key, _c) inside a partition, carried across Arrow batches."""
+    def run(batches):
+        last_key, carry = None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = pdf[key].to_numpy()
+            w = pdf["_w"].to_numpy(dtype=np.int64)
+            first = np.ones(len(pdf), dtype=bool)
+            first[1:] = k[1:] != k[:-1]
+            run_id = np.cumsum(first) - 1
+            csum = np.cumsum(w)
+            starts = np.flatnonzero(first)
+            base = csum[starts] - w[starts]          # total before each run
+            local = csum - base[run_id]
+            if last_key is not None and k[0] == last_key:
+                local[run_id == 0] += carry
+            last_key, carry = k[-1], int(local[-1])
+            yield pdf.assign(_local=local)
+    return run
+
+
+def trailing_count_by_ranks(events: DataFrame, key: str, ts: str, window_seconds: float,
+                            out: str = "n", partitions: int | None = None) -> DataFrame:
+    """T3 through global ranks, with no task ever holding one key's window.
+
+    ``n(t) = #events <= t  -  #events < t - W``.  Each distinct (key, time)
+    becomes an event point (weight = its multiplicity) and a probe at
+    ``time - W`` (weight 0).  All points are range-partitioned on
+    (key, position), so a hot key is cut into even slices.  Running sums
+    inside each slice come from a vectorised pandas pass; the sum of earlier
+    slices of the same key comes from a small per-(slice, key) table; two
+    equi-joins on (key, time) put the two counts together and back on the
+    events (AQE splits a hot join key)."""
+    w_us = int(window_seconds * US)
+    spark = events.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ev = events.withColumn("_us", epoch_micros(ts))
+    pts = ev.groupBy(key, "_us").agg(F.count(F.lit(1)).alias("_m"))      # map-side combined
+    # Order key: position * 2 + kind puts a probe before an event at the same
+    # position, so a probe counts events strictly before it.
+    rows = (pts.select(key, F.col("_us").alias("_src"), (F.col("_us") * 2 + 1).alias("_c"),
+                       F.col("_m").alias("_w"))
+            .unionByName(pts.select(key, F.col("_us").alias("_src"),
+                                    ((F.col("_us") - w_us) * 2).alias("_c"), F.lit(0).cast("bigint").alias("_w"))))
+    ranged = (rows.repartitionByRange(n, key, "_c").sortWithinPartitions(key, "_c")
+              .withColumn("_pid", F.spark_partition_id()))
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_local", T.LongType())])
+    local = materialize(ranged.mapInPandas(_running_sums(key), schema), "trailing-ranks")
+    totals = local.groupBy("_pid", key).agg(F.sum("_w").alias("_tot"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", key, F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+    ranked = local.join(offsets, ["_pid", key]).withColumn("_rank", F.col("_local") + F.col("_off"))
+    le = ranked.where(F.col("_c") % 2 == 1).select(key, "_src", F.col("_rank").alias("_le"))
+    lt = ranked.where(F.col("_c") % 2 == 0).select(key, "_src", F.col("_rank").alias("_lt"))
+    counts = le.join(lt, [key, "_src"]).select(key, F.col("_src").alias("_us"),
+                                               (F.col("_le") - F.col("_lt")).alias(out))
+    return ev.join(counts, [key, "_us"]).drop("_us")
+
+
 def _segments(events: DataFrame, key: str, ts: str, w_us: int) -> DataFrame:
     """Segment id = time of the latest reset point at or before each event
     (a reset point has no earlier event of its key within ``W``)."""

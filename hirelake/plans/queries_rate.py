@@ -20,17 +20,27 @@ THROTTLE_MAX = 2                 # T2 accepted events per window
 _W_US = THROTTLE_SECONDS * 1_000_000
 
 
-@register("trailing_rate", f"""
+TRAILING_SQL = f"""
 SELECT event_id, user_id, ts,
        COUNT(*) OVER (PARTITION BY user_id ORDER BY ts
                       RANGE BETWEEN INTERVAL {TRAILING_SECONDS} SECOND PRECEDING AND CURRENT ROW) AS n
 FROM events
-""")
+"""
+
+
+@register("trailing_rate", TRAILING_SQL)
 def trailing_rate(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", "ts")
     return rate.trailing_count(ev, "user_id", "ts", TRAILING_SECONDS)
 
 
+@register("trailing_rate_ranks", TRAILING_SQL)
+def trailing_rate_ranks(spark, sf):
+    """T3 by global ranks: no task holds a key's window, however hot."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return rate.trailing_count(ev, "user_id", "ts", TRAILING_SECONDS, method="ranks")
+
+
 THROTTLE_SQL = f"""
 WITH RECURSIVE e AS (
   SELECT event_id, user_id, epoch_us(ts) AS us,

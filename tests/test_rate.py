@@ -77,3 +77,13 @@ def test_throttle_property(spark, evs, m, w):
     df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz")
     got = {r.event_id: r.ok for r in rate.throttle_flags(df, "user_id", "ts", "event_id", w, m).collect()}
     assert got == brute_throttle(rows, dt.timedelta(seconds=w), m)
+
+
+def test_trailing_count_by_ranks_matches_brute_force(spark):
+    rows, df = events(spark, n=500, seed=11)
+    # duplicate timestamps of one key must count each other
+    rows = rows + [(1000 + i, 1, rows[0][2]) for i in range(3)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz")
+    for w in (60, 3600, 86400):
+        got = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", w, method="ranks").collect()}
+        assert got == brute_trailing(rows, dt.timedelta(seconds=w)), w
