@@ -279,6 +279,18 @@ def restore_summary(spark, sf):
     return _backup_wipe_restore(spark, sf)[1].summary
 
 
+@register("wipe_guarded", """
+SELECT 'empleados_contratados' AS tabla, COUNT(*) AS borrados FROM orders
+""")
+def wipe_guarded(spark, sf):
+    """Back up the hires, then wipe them; the guard finds that day's
+    backup and the report gives the number of rows deleted."""
+    store = _loaded_store(spark, sf, "wipe-store")
+    directory = scratch_dir(spark, "backups")
+    jobs.backup_tables(store, "parquet", directory, [HIRES], now=BACKUP_CLOCK)
+    return jobs.wipe_table(store, HIRES, directory, only_today=True, today=BACKUP_CLOCK.date())
+
+
 _STAMP = BACKUP_CLOCK.strftime("%Y%m%d_%H%M%S")
 _DAY = BACKUP_CLOCK.strftime("%Y%m%d")
 
