@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.operators.validate import _err, collect_errors
-from hirelake.spec import TableSpec
+from hirelake.spec import FK_MESSAGE_SUFFIX, TableSpec
 
 
 def _marker(name: str) -> str:
@@ -40,7 +40,7 @@ def check_foreign_keys(rows: DataFrame, spec: TableSpec, dims: dict[str, DataFra
 
 def fk_detail(campo, valor):
     """Message text of an FK error, as the reference words it."""
-    return F.format_string("%s %s no existe", campo, valor)
+    return F.concat_ws(" ", campo, valor, F.lit(FK_MESSAGE_SUFFIX))
 
 
 def distinct_foreign_keys(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -23,18 +23,3 @@ def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
     cols = [c for c in df.columns if c != key]
     best = F.max_by(F.struct(*cols), F.col(order)).alias("_r")
     return df.groupBy(key).agg(best).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
-
-
-def resolve_duplicates(df: DataFrame, key: str, order: str | None, policy: str) -> DataFrame:
-    """Apply ``policy``: ``"error"`` raises if any key repeats (the whole
-    table batch fails, as a primary-key clash does), ``"last"`` keeps the
-    last row per key."""
-    if policy == "error":
-        if not duplicate_keys(df, [key]).isEmpty():
-            raise DuplicateKeyError(f"duplicate values of {key!r} in batch")
-        return df
-    if policy == "last":
-        if order is None:
-            raise ValueError("policy 'last' needs an order column")
-        return keep_last(df, key, order)
-    raise ValueError(f"unknown duplicate policy {policy!r}")

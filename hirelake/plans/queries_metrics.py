@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 from hirelake.operators import kpis, metrics
 from hirelake.plans.registry import register
+from hirelake.spec import UNASSIGNED
 from hirelake.plans.tables import (LINEITEM_STAR, NULL_KEYS_SQL, REPORT_YEAR,
                                    lineitem_with_null_keys, table)
 
@@ -26,8 +27,8 @@ GROUP BY s.s_name, p.p_name
 """
 
 QUARTERLY_NULLS_SQL = f"""
-SELECT COALESCE(s.s_name, 'Sin asignar') AS department,
-       COALESCE(p.p_name, 'Sin asignar') AS job,
+SELECT COALESCE(s.s_name, '{UNASSIGNED}') AS department,
+       COALESCE(p.p_name, '{UNASSIGNED}') AS job,
 {_Q_SUMS}
 FROM {NULL_KEYS_SQL} l
 LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey

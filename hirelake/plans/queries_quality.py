@@ -19,7 +19,7 @@ from hirelake.operators import counts, foreign_keys, keys, validate
 from hirelake.plans.registry import register
 from hirelake.plans.tables import table
 from hirelake.session import spread
-from hirelake.spec import HIRES, JOBS, FieldSpec, TableSpec, table_spec
+from hirelake.spec import FK_MESSAGE_SUFFIX, HIRES, JOBS, FieldSpec, TableSpec, table_spec
 
 
 def json_text(c: Column) -> Column:
@@ -186,14 +186,17 @@ def _fk_checked(spark, sf):
     return foreign_keys.check_foreign_keys(rows, LINEITEM_FK_SPEC, dims)
 
 
+_NE = FK_MESSAGE_SUFFIX
+
+
 @register("fk_check_errors", f"""
 WITH {_FK_DIMS_SQL}
 SELECT l_orderkey, l_linenumber, 'l_suppkey' AS campo, 'fk_missing' AS regla,
-       CAST(l_suppkey AS VARCHAR) AS valor, 'l_suppkey ' || l_suppkey || ' no existe' AS detalle
+       CAST(l_suppkey AS VARCHAR) AS valor, 'l_suppkey ' || l_suppkey || ' {_NE}' AS detalle
 FROM lineitem WHERE l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s_suppkey = l_suppkey)
 UNION ALL
 SELECT l_orderkey, l_linenumber, 'l_partkey', 'fk_missing', CAST(l_partkey AS VARCHAR),
-       'l_partkey ' || l_partkey || ' no existe'
+       'l_partkey ' || l_partkey || ' {_NE}'
 FROM lineitem WHERE l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p WHERE p_partkey = l_partkey)
 """)
 def fk_check_errors(spark, sf):

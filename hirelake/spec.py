@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 # Label for a missing department or job in the outer-join quarterly report.
 UNASSIGNED = "Sin asignar"
+# Message of a foreign-key error: "<column> <value> no existe".
+FK_MESSAGE_SUFFIX = "no existe"
 # Backup file stem: <table>_<YYYYmmdd>_<HHMMSS>.<format>
 BACKUP_STAMP_FORMAT = "yyyyMMdd_HHmmss"
 BACKUP_DAY_FORMAT = "yyyyMMdd"
