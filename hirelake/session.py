@@ -72,17 +72,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/hirelake/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, label: str):
+def materialize(df, label: str, partition_by: str | None = None):
     """Write ``df`` once as Parquet under the checkpoint folder and read it
     back: lineage is cut, a lost executor does not recompute the input, and
     later passes read columnar files.
 
     Preferred over ``DataFrame.checkpoint()``, which evaluates the plan
-    twice (once to count, once to write) unless the data is also cached."""
+    twice (once to count, once to write) unless the data is also cached.
+    ``partition_by`` lays the files out by one column, so later filters on
+    it read only their own folders."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def spread(df):
