@@ -115,6 +115,12 @@ def path_exists(spark, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def touch(spark, path: str) -> None:
+    """Create an empty file (a marker) at ``path``."""
+    p, fs = _fs(spark, path)
+    fs.create(p, True).close()
+
+
 def list_names(spark, path: str) -> list[str] | None:
     """Names of the entries directly under ``path`` (one shallow listing on
     the driver); ``None`` when the folder does not exist."""

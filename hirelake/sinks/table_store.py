@@ -29,10 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.operators.keys import DuplicateKeyError, keep_last
-from hirelake.session import materialize, path_exists
+from hirelake.session import list_names, materialize, path_exists, touch
 from hirelake.spec import TableSpec
 
 BUCKET = "b"
+# File at a table's root recording its bucket count (readers skip names
+# that start with "_").
+MARKER = "_BUCKETS_"
 
 
 class TableStore:
@@ -49,8 +52,22 @@ class TableStore:
         return f"{self.root}/{spec.name}"
 
     def buckets(self, spec: TableSpec) -> int:
+        """Bucket count of a table.  An existing table keeps the count it was
+        written with (its marker file), whatever this store was given:
+        another count would send a key to another bucket and an upsert
+        would miss the stored row."""
+        if spec.name not in self._buckets and self._exists(spec):
+            stored = [n for n in (list_names(self.spark, self.path(spec)) or [])
+                      if n.startswith(MARKER)]
+            if stored:
+                self._buckets[spec.name] = int(stored[0][len(MARKER):])
         return self._buckets.get(spec.name, self._default)
 
+    def _mark(self, spec: TableSpec) -> None:
+        self._buckets.setdefault(spec.name, self._default)
+        touch(self.spark, f"{self.path(spec)}/{MARKER}{self._buckets[spec.name]}")
+        self._known.add(spec.name)
+
     def bucket_of(self, spec: TableSpec, key=None):
         key = F.col(spec.key) if key is None else key
         return F.pmod(F.hash(key), F.lit(self.buckets(spec)))
@@ -77,7 +94,7 @@ class TableStore:
         empty = self.spark.createDataFrame([], self._stored_schema(spec))
         (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy(BUCKET).parquet(self.path(spec)))
-        self._known.add(spec.name)
+        self._mark(spec)
 
     # -- reads ----------------------------------------------------------
     def read(self, spec: TableSpec) -> DataFrame:
@@ -125,7 +142,7 @@ class TableStore:
             # an empty table's, is readable with the explicit schema).
             (batch.repartition(BUCKET).write.mode("overwrite")
              .option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(self.path(spec)))
-            self._known.add(spec.name)
+            self._mark(spec)
         else:
             (batch.repartition(BUCKET).write.mode("append")
              .partitionBy(BUCKET).parquet(self.path(spec)))

@@ -175,3 +175,13 @@ def test_ingest_later_tables_see_earlier_dimensions(spark, tmp):
     res = jobs.ingest_payloads(store, read_payloads(spark, _write_docs(tmp, "p", docs)))
     summary = {r.tabla: r.validos for r in res.summary.collect()}
     assert summary == {"departamentos": 1, "empleados_contratados": 1}
+
+
+def test_reopened_store_keeps_its_bucket_count(spark, tmp):
+    first = TableStore(spark, f"{tmp}/t", default_buckets=2)
+    first.append(DEP, spark.createDataFrame([(i, f"d{i}") for i in range(1, 21)], DEP.schema))
+    again = TableStore(spark, f"{tmp}/t", default_buckets=7)
+    again.upsert(DEP, spark.createDataFrame([(i, "new") for i in range(1, 21, 3)], DEP.schema))
+    got = dict(rows(again.read(DEP)))
+    assert len(got) == 20 and again.buckets(DEP) == 2
+    assert all(got[i] == "new" for i in range(1, 21, 3))
