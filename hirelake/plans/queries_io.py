@@ -118,25 +118,27 @@ def csv_load_errors(spark, sf):
 # --------------------------------------------------------------------------
 # JSON payload ingest (S6, S7, F11, J2p, V1-V4, W7-W9)
 # --------------------------------------------------------------------------
-def _payload_lines(df: DataFrame, tabla: str) -> DataFrame:
-    """Group a table's rows into payload documents of at most 1000 records
-    (consecutive key ranges; keys are unique, so no group can grow)."""
-    df = spread(df)
+def _payload_records(df: DataFrame, tabla: str) -> DataFrame:
+    """(tabla, chunk, k, r): one JSON record per row, chunked by key range."""
     rec = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").alias("k"), rec.alias("r")))),
-                          lambda x: x["r"])
-    return (df.withColumn("_chunk", F.floor(F.col("id") / PAYLOAD_GROUP))
-            .groupBy("_chunk").agg(ordered.alias("_r"))
-            .select(F.concat(F.lit(f'{{"{tabla}": ['), F.array_join("_r", ", "), F.lit("]}"))
-                    .alias("value")))
+    return spread(df).select(F.lit(tabla).alias("tabla"),
+                             F.floor(F.col("id") / PAYLOAD_GROUP).alias("_chunk"),
+                             F.col("id").alias("k"), rec.alias("r"))
 
 
 def write_payloads(spark, sf) -> str:
+    """The three tables as JSON Lines payloads, one document per table and
+    key range of 1000 (keys are unique, so no group exceeds the service's
+    maximum); records inside a group are in key order."""
     path = scratch_dir(spark, "payloads")
     h = hires_rows(spark, sf).withColumn("fecha_hora", iso_string("fecha_hora")).drop("id_trabajo")
-    lines = (_payload_lines(departments_rows(spark, sf), DEPARTMENTS)
-             .unionByName(_payload_lines(jobs_rows(spark, sf), JOBS))
-             .unionByName(_payload_lines(h, HIRES)))
+    recs = (_payload_records(departments_rows(spark, sf), DEPARTMENTS)
+            .unionByName(_payload_records(jobs_rows(spark, sf), JOBS))
+            .unionByName(_payload_records(h, HIRES)))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"])
+    lines = (recs.groupBy("tabla", "_chunk").agg(ordered.alias("_r"))
+             .select(F.concat(F.lit('{"'), F.col("tabla"), F.lit('": ['),
+                              F.array_join("_r", ", "), F.lit("]}")).alias("value")))
     lines.write.text(path)
     return path
 
