@@ -36,3 +36,40 @@ def test_above_average_has_no_cartesian_product(spark):
     text, df = plan(spark, "above_average")
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "Subquery" in text or "scalar-subquery" in text.lower()
+
+
+READ_ONLY = ["quarterly_hires", "quarterly_hires_nulls", "above_average", "quarter_totals",
+             "quarter_kpis", "quarter_share", "top10_groups", "top10_departments",
+             "department_kpis", "department_share", "validate_dim", "validate_fact",
+             "validate_fact_rows", "validation_summary", "fk_check_errors", "fk_check_valid",
+             "distinct_fk", "duplicate_keys", "dedupe_last", "table_counts", "referential_guard",
+             "timestamp_iso", "trailing_rate", "throttle_flags"]
+
+
+def test_no_cartesian_products_and_python_only_where_needed(spark):
+    load_all()
+    for name in READ_ONLY:
+        text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+        if name != "throttle_flags":
+            assert "ArrowEvalPython" not in text and "MapInPandas" not in text \
+                and "BatchEvalPython" not in text, name
+
+
+def test_hot_key_is_split_by_ranks(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from hirelake.operators import rate
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, 1 if i % 3 else 2 + i % 5, base + dt.timedelta(seconds=7 * i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz")
+    # the hot user (two thirds of the rows) lands in several range partitions
+    ev = df.withColumn("_c", rate.epoch_micros("ts"))
+    parts = (ev.repartitionByRange(4, "user_id", "_c").where(F.col("user_id") == 1)
+             .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert parts >= 2
+    a = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", 600, method="ranks").collect()}
+    b = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", 600).collect()}
+    assert a == b
