@@ -145,7 +145,7 @@ def _segments(events: DataFrame, key: str, ts: str, w_us: int) -> DataFrame:
     carry = per_bucket.select(key, "_bucket", F.max("_last").over(earlier).alias("_carry"))
     return (marked.join(carry, [key, "_bucket"])
             .withColumn("_segment", F.coalesce("_seg_b", "_carry"))
-            .drop("_seg_b", "_carry", "_reset", "_bucket", "_n"))
+            .drop("_seg_b", "_carry", "_reset", "_bucket"))
 
 
 def replay_limiter(us: np.ndarray, window_us: int, max_accepted: int,
@@ -172,10 +172,11 @@ def throttle_flags(events: DataFrame, key: str, ts: str, id_col: str,
     rejects.  Events of a key are taken in (ts, id) order.
 
     Segments are hash-partitioned on (key, segment) and sorted inside each
-    partition; a pandas pass over the partition's Arrow batches replays the
-    limiter, carrying at most ``M`` accepted times from batch to batch and
-    resetting at each new (key, segment).  No group is ever held whole in
-    memory, and there is no per-group call overhead."""
+    partition; a pandas pass over the partition's Arrow batches decides
+    every uncontended event at once (at most ``M`` events in its window:
+    accepted whatever came before) and replays the limiter only from the
+    first contended event of a segment, carrying at most ``M`` accepted
+    times from batch to batch.  No group is ever held whole in memory."""
     w_us = int(window_seconds * US)
     seg = _segments(events.select(id_col, key, ts), key, ts, w_us)
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -185,23 +186,45 @@ def throttle_flags(events: DataFrame, key: str, ts: str, id_col: str,
                                T.StructField("ok", T.BooleanType())])
 
     def run(batches):
-        current, keep = None, []
+        # State carried between Arrow batches: the accepted times of the
+        # (key, segment) that was open when the previous batch ended.
+        open_group, keep = None, []
         for pdf in batches:
             if pdf.empty:
                 continue
             k = pdf[key].to_numpy()
-            s_ = pdf["_segment"].to_numpy()
+            seg_ = pdf["_segment"].to_numpy()
             us = pdf["_us"].to_numpy()
-            ok = np.zeros(len(pdf), dtype=bool)
-            # Runs of equal (key, segment) inside the batch.
+            # An event with at most M events (itself included) in its window
+            # is accepted whatever happened before: no replay needed.
+            ok = pdf["_n"].to_numpy() <= max_accepted
             change = np.ones(len(pdf), dtype=bool)
-            change[1:] = (k[1:] != k[:-1]) | (s_[1:] != s_[:-1])
-            starts = np.flatnonzero(change).tolist() + [len(pdf)]
-            for a, b in zip(starts[:-1], starts[1:]):
-                group = (k[a], s_[a])
-                carried = keep if group == current else []
-                ok[a:b], keep = replay_limiter(us[a:b], w_us, max_accepted, carried)
-                current = group
+            change[1:] = (k[1:] != k[:-1]) | (seg_[1:] != seg_[:-1])
+            starts = np.flatnonzero(change)
+            ends = np.append(starts[1:], len(pdf))
+            run_of = np.cumsum(change) - 1
+            carried = keep if (k[0], seg_[0]) == open_group else []
+            last = len(starts) - 1
+            last_keep = None
+            # Replay only runs with a contended event, from that event on.
+            for r in np.unique(run_of[~ok]).tolist():
+                a, b = starts[r], ends[r]
+                j = a + int(np.flatnonzero(~ok[a:b])[0])
+                lo = us[j] - w_us
+                before = us[a:j]
+                init = [x for x in (carried if r == 0 else []) if x >= lo]
+                init += before[before >= lo].tolist()
+                ok[j:b], state = replay_limiter(us[j:b], w_us, max_accepted, init)
+                if r == last:
+                    last_keep = state
+            if last_keep is None:
+                # The open run ends uncontended: its window holds only
+                # accepted events (at most M of them).
+                lo = us[-1] - w_us
+                tail = us[starts[last]:]
+                last_keep = [x for x in (carried if last == 0 else []) if x >= lo]
+                last_keep += tail[tail >= lo].tolist()
+            open_group, keep = (k[-1], seg_[-1]), last_keep
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key: k, ts: pdf[ts].to_numpy(),
                                 "ok": ok})
 

@@ -87,3 +87,15 @@ def test_trailing_count_by_ranks_matches_brute_force(spark):
     for w in (60, 3600, 86400):
         got = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", w, method="ranks").collect()}
         assert got == brute_trailing(rows, dt.timedelta(seconds=w)), w
+
+
+def test_throttle_state_carries_across_arrow_batches(spark):
+    rows, df = events(spark, n=400, seed=5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for w_s, m in ((3600, 2), (6 * 3600, 3)):
+            got = {r.event_id: r.ok
+                   for r in rate.throttle_flags(df, "user_id", "ts", "event_id", w_s, m, partitions=2).collect()}
+            assert got == brute_throttle(rows, dt.timedelta(seconds=w_s), m), (w_s, m)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
