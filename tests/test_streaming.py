@@ -31,3 +31,22 @@ def test_stream_intake_equals_batch_intake(spark, tmp):
     q = start_intake(spark, f"{tmp}/in", stream_store, f"{tmp}/chk")
     q.awaitTermination()
     assert as_set(intake_summary(spark, f"{tmp}/chk")) == as_set(b.summary)
+
+
+def test_stream_intake_one_file_per_micro_batch(spark, tmp):
+    docs = [{"departamentos": [{"id": 1, "departamento": "d1"}, {"id": 2, "departamento": "d2"}]},
+            {"empleados_contratados": [{"id": 10, "id_departamento": 1}, {"id": 11, "id_departamento": 3}]},
+            {"empleados_contratados": [{"id": 10, "nombre": "again", "id_departamento": 2}]}]
+    os.makedirs(f"{tmp}/in")
+    for i, d in enumerate(docs):                      # arrival order = file order
+        with open(f"{tmp}/in/{i}.json", "w") as f:
+            json.dump(d, f)
+        os.utime(f"{tmp}/in/{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    store = TableStore(spark, f"{tmp}/t", default_buckets=2)
+    q = start_intake(spark, f"{tmp}/in", store, f"{tmp}/chk", max_files_per_trigger=1)
+    q.awaitTermination()
+    s = {r.tabla: (r.recibidos, r.validos, r.upsert) for r in intake_summary(spark, f"{tmp}/chk").collect()}
+    assert s == {"departamentos": (2, 2, 2), "empleados_contratados": (3, 2, 2)}
+    rows = {r.id: (r.nombre, r.id_departamento) for r in store.read(SPECS[HIRES]).collect()}
+    assert rows == {10: ("again", 2)}                 # later micro-batch upserted over the earlier one
+    assert spark.read.parquet(f"{tmp}/chk/summary").select("batch_id").distinct().count() == 3
