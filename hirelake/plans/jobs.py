@@ -58,6 +58,15 @@ def check_batch(store: TableStore, spec: TableSpec, validated: DataFrame) -> Dat
     return validated.withColumn("ok", (F.size("errs") == 0) & (F.size("fk_errs") == 0))
 
 
+def _write_counted(checked: DataFrame, label: str) -> tuple[DataFrame, dict]:
+    """Write a checked batch once and count it while writing (an
+    ``Observation``, so no second pass): recibidos and validos."""
+    obs = Observation(label)
+    observed = checked.observe(obs, F.count(F.lit(1)).alias("recibidos"),
+                               F.count_if("ok").alias("validos"))
+    return materialize(observed, label), obs.get
+
+
 def batch_errors(checked: DataFrame, tabla: str) -> DataFrame:
     model = validate.error_rows(checked, tabla, "modelo")
     quality = validate.error_rows(checked.drop("errs").withColumnRenamed("fk_errs", "errs"),
@@ -90,9 +99,7 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
         spec = table_spec(tabla)
         recs = records.where(F.col("tabla") == tabla)
         checked = check_batch(store, spec, validate.validate_json(recs, "raw", spec))
-        checked = materialize(checked, f"ingest-{tabla}")
-        counts = checked.agg(F.count(F.lit(1)).alias("recibidos"),
-                             F.count_if("ok").alias("validos")).first()
+        checked, counts = _write_counted(checked, f"ingest-{tabla}")
         valid = (checked.where(F.col("ok"))
                  .withColumn("_pos", F.struct("payload", "indice")))
         n = store.upsert(spec, valid, on_duplicate=on_duplicate, order="_pos", materialized=True)
@@ -230,8 +237,7 @@ def restore_table(store: TableStore, tabla: str, path: str, fmt: str,
     # No file order survives a distributed read: the key itself orders
     # duplicates for the "last" policy.
     validated = validate.validate_typed(rows.withColumn("indice", F.lit(None).cast("bigint")), spec)
-    checked = materialize(check_batch(store, spec, validated), f"restore-{tabla}")
-    counts = checked.agg(F.count(F.lit(1)).alias("recibidos"), F.count_if("ok").alias("validos")).first()
+    checked, counts = _write_counted(check_batch(store, spec, validated), f"restore-{tabla}")
     valid = checked.where(F.col("ok")).withColumn("_pos", F.col(spec.key))
     n = store.upsert(spec, valid, on_duplicate=on_duplicate, order="_pos", materialized=True)
     summary = spark.createDataFrame([(tabla, n, counts["recibidos"], counts["validos"])],
