@@ -73,3 +73,13 @@ def test_hot_key_is_split_by_ranks(spark):
     a = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", 600, method="ranks").collect()}
     b = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", 600).collect()}
     assert a == b
+
+
+def test_hires_cte_is_computed_once(spark):
+    """The per-department counts feed both the comparison and the mean;
+    the executed plan reuses the exchange and the scalar subquery."""
+    load_all()
+    df = QUERIES["above_average"](spark, SF)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text and "ReusedSubquery" in text
