@@ -59,3 +59,21 @@ def test_top_groups_ties_keep_report_order(spark):
     top = [(r.position, r.department, r.job) for r in kpis.top_groups(q).orderBy("position").collect()]
     expected = sorted((d, j) for d, j, *_ in rows)[:10]
     assert [(d, j) for _, d, j in top] == expected and [p for p, *_ in top] == list(range(1, 11))
+
+
+def test_quarter_sums_equal_fact_rows_of_the_year(spark):
+    from pyspark.sql import functions as F
+
+    from hirelake.functions.scalar import year_range
+    from hirelake.plans.tables import LINEITEM_STAR, lineitem_with_null_keys, table
+    sf = "/root/testdata/sf0.001"
+    li, sup, part = lineitem_with_null_keys(spark, sf), table(spark, sf, "supplier"), table(spark, sf, "part")
+    for year in (1994, 1996, 1998):
+        of_year = li.where(year_range("l_shipdate", year))
+        joined = (of_year.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+                  .join(part, F.col("l_partkey") == F.col("p_partkey")).count())
+        inner = kpis.quarter_totals(metrics.quarterly_hires(li, sup, part, year, LINEITEM_STAR)).first()
+        outer = kpis.quarter_totals(metrics.quarterly_hires(li, sup, part, year, LINEITEM_STAR,
+                                                            include_nulls=True)).first()
+        assert inner.total == joined
+        assert outer.total == of_year.count()
