@@ -46,6 +46,7 @@ class TableStore:
         self._buckets = dict(buckets or {})
         self._default = default_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._known: set[str] = set()
+        self._empty: set[str] = set()   # tables this store just emptied
 
     # -- layout ---------------------------------------------------------
     def path(self, spec: TableSpec) -> str:
@@ -95,6 +96,7 @@ class TableStore:
         (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy(BUCKET).parquet(self.path(spec)))
         self._mark(spec)
+        self._empty.add(spec.name)
 
     # -- reads ----------------------------------------------------------
     def read(self, spec: TableSpec) -> DataFrame:
@@ -133,7 +135,7 @@ class TableStore:
         new = not self._exists(spec)
         batch = rows.select(*spec.columns).withColumn(BUCKET, self.bucket_of(spec))
         stats = _stats if _stats is not None else self._batch_stats(spec, batch, check_duplicates=True)
-        if not new:
+        if not new and spec.name not in self._empty:
             clash = self.read(spec).join(batch.select(spec.key), spec.key, "left_semi")
             if not clash.isEmpty():
                 raise ValueError(f"{spec.name}: keys already present")
@@ -146,6 +148,7 @@ class TableStore:
         else:
             (batch.repartition(BUCKET).write.mode("append")
              .partitionBy(BUCKET).parquet(self.path(spec)))
+        self._empty.discard(spec.name)
         return sum(r["n"] for r in stats)
 
     def upsert(self, spec: TableSpec, rows: DataFrame, on_duplicate: str = "error",
@@ -172,7 +175,8 @@ class TableStore:
         if not stats:
             self.create_if_missing(spec)
             return 0
-        if not self._exists(spec):
+        if not self._exists(spec) or spec.name in self._empty:
+            # Nothing stored to merge with: a plain write.
             return self.append(spec, batch.drop(BUCKET), _stats=stats)
         touched = [r[BUCKET] for r in stats]
         old = self._read_buckets(spec, touched)
