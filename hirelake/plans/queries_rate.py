@@ -3,7 +3,6 @@ payloads built from the driver's tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from hirelake.operators import rate
 from hirelake.plans.queries_io import (_VALID_DEPT, _VALID_HIRE, _store, write_payloads)

@@ -2,7 +2,6 @@ import datetime as dt
 import json
 import os
 
-import pytest
 
 from hirelake.sources.csv_files import read_dimension_csv, read_hires_csv
 from hirelake.sources.payloads import payload_records, read_payloads
