@@ -36,15 +36,20 @@ BUCKET = "b"
 # File at a table's root recording its bucket count (readers skip names
 # that start with "_").
 MARKER = "_BUCKETS_"
+# A new table gets at least one bucket per this many rows of its first batch
+# (about a gigabyte for rows of a few dozen bytes), so no single writer task
+# inherits a huge bucket.
+ROWS_PER_BUCKET = 20_000_000
 
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str, buckets: dict[str, int] | None = None,
-                 default_buckets: int | None = None):
+                 default_buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET):
         self.spark = spark
         self.root = root.rstrip("/")
         self._buckets = dict(buckets or {})
         self._default = default_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._rows_per_bucket = rows_per_bucket
         self._known: set[str] = set()
         self._empty: set[str] = set()   # tables this store just emptied
 
@@ -91,11 +96,18 @@ class TableStore:
             self.recreate(spec)
 
     def recreate(self, spec: TableSpec) -> None:
-        """W12 / delete-all: replace the table by an empty one."""
+        """W12 / delete-all: replace the table by an empty one.  A table that
+        existed keeps its bucket count; a new one gets its count from its
+        first batch."""
+        existed = self._exists(spec)
+        if existed:
+            self.buckets(spec)  # read the recorded count before overwriting
         empty = self.spark.createDataFrame([], self._stored_schema(spec))
         (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy(BUCKET).parquet(self.path(spec)))
-        self._mark(spec)
+        if existed:
+            self._mark(spec)
+        self._known.add(spec.name)
         self._empty.add(spec.name)
 
     # -- reads ----------------------------------------------------------
@@ -139,15 +151,24 @@ class TableStore:
             clash = self.read(spec).join(batch.select(spec.key), spec.key, "left_semi")
             if not clash.isEmpty():
                 raise ValueError(f"{spec.name}: keys already present")
+        if spec.name not in self._buckets and (new or spec.name in self._empty):
+            # First data of the table: its bucket count follows the batch
+            # size unless one was given; the marker then fixes it for the
+            # table's life.
+            total = sum(r["n"] for r in stats)
+            wanted = max(self._default, -(-total // self._rows_per_bucket))
+            self._buckets[spec.name] = wanted
+            if wanted != self._default:
+                batch = batch.withColumn(BUCKET, self.bucket_of(spec))
         if new:
-            # First write creates the table (every bucket directory, even
-            # an empty table's, is readable with the explicit schema).
             (batch.repartition(BUCKET).write.mode("overwrite")
              .option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(self.path(spec)))
             self._mark(spec)
         else:
             (batch.repartition(BUCKET).write.mode("append")
              .partitionBy(BUCKET).parquet(self.path(spec)))
+            if spec.name in self._empty:
+                self._mark(spec)
         self._empty.discard(spec.name)
         return sum(r["n"] for r in stats)
 

@@ -184,3 +184,27 @@ def test_reopened_store_keeps_its_bucket_count(spark, tmp):
     got = dict(rows(again.read(DEP)))
     assert len(got) == 20 and again.buckets(DEP) == 2
     assert all(got[i] == "new" for i in range(1, 21, 3))
+
+
+def test_new_table_buckets_follow_batch_size(spark, tmp):
+    store = TableStore(spark, f"{tmp}/t", default_buckets=2, rows_per_bucket=5)
+    store.append(DEP, spark.createDataFrame([(i, f"d{i}") for i in range(1, 21)], DEP.schema))
+    assert store.buckets(DEP) == 4
+    again = TableStore(spark, f"{tmp}/t", default_buckets=2)
+    assert again.buckets(DEP) == 4
+    again.upsert(DEP, spark.createDataFrame([(5, "five")], DEP.schema))
+    got = dict(rows(again.read(DEP)))
+    assert len(got) == 20 and got[5] == "five"
+    assert again.read(DEP).where("id = 5").count() == 1
+
+
+def test_recreated_table_sized_by_first_batch_and_wipe_keeps_it(spark, tmp):
+    store = TableStore(spark, f"{tmp}/t", default_buckets=2, rows_per_bucket=4)
+    store.recreate(DEP)
+    store.append(DEP, spark.createDataFrame([(i, f"d{i}") for i in range(1, 21)], DEP.schema))
+    assert store.buckets(DEP) == 5
+    assert TableStore(spark, f"{tmp}/t", default_buckets=3).buckets(DEP) == 5
+    assert store.truncate(DEP) == 20
+    assert TableStore(spark, f"{tmp}/t", default_buckets=3).buckets(DEP) == 5
+    store.upsert(DEP, spark.createDataFrame([(7, "x")], DEP.schema))
+    assert rows(store.read(DEP)) == [(7, "x")]
