@@ -102,8 +102,6 @@ def trailing_count_by_ranks(events: DataFrame, key: str, ts: str, window_seconds
     equi-joins on (key, time) put the two counts together and back on the
     events (AQE splits a hot join key)."""
     w_us = int(window_seconds * US)
-    spark = events.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ev = events.withColumn("_us", epoch_micros(ts))
     pts = ev.groupBy(key, "_us").agg(F.count(F.lit(1)).alias("_m"))      # map-side combined
     # Order key: position * 2 + kind puts a probe before an event at the same
@@ -112,7 +110,10 @@ def trailing_count_by_ranks(events: DataFrame, key: str, ts: str, window_seconds
                        F.col("_m").alias("_w"))
             .unionByName(pts.select(key, F.col("_us").alias("_src"),
                                     ((F.col("_us") - w_us) * 2).alias("_c"), F.lit(0).cast("bigint").alias("_w"))))
-    ranged = (rows.repartitionByRange(n, key, "_c").sortWithinPartitions(key, "_c")
+    # Without an explicit count AQE may merge neighbouring ranges, which
+    # keeps every slice contiguous.
+    ranged = (rows.repartitionByRange(*([partitions] if partitions else []), key, "_c")
+              .sortWithinPartitions(key, "_c")
               .withColumn("_pid", F.spark_partition_id()))
     schema = T.StructType([*ranged.schema.fields, T.StructField("_local", T.LongType())])
     local = materialize(ranged.mapInPandas(_running_sums(key), schema), "trailing-ranks")
@@ -179,8 +180,7 @@ def throttle_flags(events: DataFrame, key: str, ts: str, id_col: str,
     times from batch to batch.  No group is ever held whole in memory."""
     w_us = int(window_seconds * US)
     seg = _segments(events.select(id_col, key, ts), key, ts, w_us)
-    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (seg.repartition(n, key, "_segment")
+    ordered = (seg.repartition(*([partitions] if partitions else []), key, "_segment")
                .sortWithinPartitions(key, "_segment", "_us", id_col))
     out_schema = T.StructType([*events.select(id_col, key, ts).schema.fields,
                                T.StructField("ok", T.BooleanType())])
