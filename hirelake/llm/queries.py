@@ -9,7 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import quality_crf
+from hirelake.llm import (
+    decontaminate,
+    license_templates,
+    minhash_dedup,
+    quality_crf,
+    secret_grammar,
+    swap_packing,
+)
 from hirelake.plans.tables import table
 
 QUERIES: dict = {}
@@ -21,6 +28,33 @@ def query(fn):
     return fn
 
 
+@query
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(decontaminate.find_benchmark(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_templates.summarise(license_templates.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_grammar.digest(secret_grammar.find_secrets(docs, secret_grammar.learn_formats(docs)))
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swap_packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -157,8 +157,8 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bo
     first = np.concatenate(([0], np.cumsum(size)))
     if inside is None:
         edge = np.zeros(len(data) + 1, np.int8)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, end, -1)
+        edge[start] += 1
+        edge[end] -= 1
         inside = np.cumsum(edge[:-1]).astype(bool)
     place = np.arange(first[-1]) - np.repeat(first[:-1], size)
     value = (_BYTE_LOWER if lower else _BYTE)[data[inside]] * powers(int(size.max()))[place]
