@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelake.llm import (
     decontaminate,
+    lattice_lm,
     license_templates,
+    lpf_dedup,
     minhash_dedup,
     quality_crf,
     secret_grammar,
     swap_packing,
+    url_rules,
+    weak_toxicity,
 )
 from hirelake.plans.tables import table
 
@@ -33,12 +37,26 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLE["op2_url_filter"] = url_rules.ORACLE_SQL
+
+
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(decontaminate.find_benchmark(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_texts(table(spark, sf_dir, "documents"), class_col="lang")
+
+
 @query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_templates.summarise(license_templates.scan_licenses(table(spark, sf_dir, "documents")))
@@ -50,11 +68,22 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_grammar.digest(secret_grammar.find_secrets(docs, secret_grammar.learn_formats(docs)))
 
 
+@query
+def op7_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swap_packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return weak_toxicity.score_toxicity(docs, weak_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

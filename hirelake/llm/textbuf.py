@@ -50,6 +50,16 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def power(n: int) -> np.uint64:
+    """The hash base to the ``n``, modulo 2^64."""
+    return np.uint64(pow(int(_BASE), n, 1 << 64))
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """The random 64-bit value of each byte."""
+    return _BYTE[data]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the output."""
     x = x ^ (x >> np.uint64(33))

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from hirelake.llm import minhash_dedup as md
 from hirelake.llm.graph import connected_components
 from tests.llm.conftest import make_docs, texts_of
@@ -58,6 +60,31 @@ def test_chains_and_groups(spark):
     assert run(df) == brute(dict(rows))
 
 
+@pytest.mark.parametrize("strays", [0, 32])
+def test_many_strays_of_one_centre(spark, monkeypatch, strays):
+    """Variants of one text at all distances, some of which only link one
+    another: with the strays compared one by one, and by what they share."""
+    import random
+    monkeypatch.setattr(md, "STRAYS", strays)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows, d = [(0, " ".join(base))], 1
+    for edits in range(1, 12):
+        for _ in range(5):
+            words = base[:]
+            for i in rng.sample(range(100), edits):
+                words[i] = f"e{rng.randrange(10 ** 6)}"
+            rows.append((d, " ".join(words)))
+            d += 1
+            for i in rng.sample(range(100), rng.randint(0, 3)):  # a variant of the variant
+                words[i] = f"e{rng.randrange(10 ** 6)}"
+            rows.append((d, " ".join(words + base[:rng.randint(0, 9)])))
+            d += 1
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    assert run(make_docs(spark, rows)) == brute(dict(rows))
+
+
 def test_threshold_is_exact(spark):
     # 3 common shingles of 4 are a link, 3 of 5 are none.
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "p q r s t u v"), (4, "o p q r s t u v w")]
