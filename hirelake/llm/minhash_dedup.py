@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     members = materialize(bands.join(shared, "bucket").distinct(), "members")
     degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
     centres = (members.join(degree, "doc_id").groupBy("bucket")
-               .agg((-F.max(F.struct("degree", -F.col("doc_id")))["col2"]).alias("a")))
+               .agg((-F.max(F.struct("degree", (-F.col("doc_id")).alias("minus")))["minus"]).alias("a")))
     stars = (members.join(centres, "bucket").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct())
     texts = materialize(data.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     compared = materialize(_compare(stars, texts), "compared")
