@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hirelake.llm import textbuf as tb
 from hirelake.session import materialize
@@ -37,9 +38,8 @@ SHARD_BYTES = 8 << 20
 #: Code points of benchmark words begin here; this one separates stretches.
 _FIRST_CODE, _BREAK = 0x10000, 1
 
-SCHEMA = ("doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, "
-          "items array<string>")
-_CARRIED = "doc_id long, text string, first array<long>, stop array<long>, items array<string>"
+_FINDINGS = "_n_words long, _n_hit long, _spans array<struct<start:long,end:long>>, _items array<string>"
+_CARRIED = "_first array<long>, _stop array<long>, _items array<string>"
 
 _built: dict[str, tuple] = {}
 
@@ -119,20 +119,17 @@ def _result(words: tb.Words, hits, before):
     return hit, begins, closes, [sorted(x) for x in names]
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                   shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text",
-                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, n_hit, spans, items)``, one row per row of ``docs``.
-
-    ``spans`` are the maximal runs of hit words as code-point offsets into the
-    original text (end exclusive); ``items`` the sorted ids, as text, of the
-    items with a window in the document."""
-    spark = docs.sparkSession
+def _scanned(data: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, item_col: str,
+             item_text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` of ``data`` (which has ``text``), with the findings in ``_n_words``,
+    ``_n_hit``, ``_spans`` and ``_items``."""
+    spark = data.sparkSession
     items = (benchmark.select(F.col(item_col).cast("string").alias("item"),
                               F.col(item_text_col).alias("text")).where("item is not null and text is not null"))
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    names, at = data.columns, data.columns.index("text")
+    schema = data.schema
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.crc32(F.col("item")), F.lit(shards)) == k)
         rows = sorted((r.item, r.text) for r in part.collect())
@@ -143,36 +140,61 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key, last=last, carried=k > 0):
             vocabulary, machine, shortest = _automaton(key, sent.value, window)
             for batch in tb.slices(batches):
-                texts = tb.Texts(batch.column(1))
+                texts = tb.Texts(batch.column(at))
                 words = tb.Words(texts, tb.ALNUM)
-                before = [c.to_pylist() for c in batch.columns[2:]] if carried else None
-                hit, begins, closes, names = _result(words, _scan(words, vocabulary, machine, shortest), before)
-                at = np.searchsorted(begins, words.off)
+                before = [c.to_pylist() for c in batch.columns[len(names):]] if carried else None
+                hit, begins, closes, found = _result(words, _scan(words, vocabulary, machine, shortest), before)
+                cut = np.searchsorted(begins, words.off)
+                offs, ids = pa.array(cut, pa.int32()), pa.array(found, pa.list_(pa.string()))
                 if last:
                     span = pa.StructArray.from_arrays(
                         [pa.array(v, pa.int64()) for v in _points(texts, words, begins, closes)], ["start", "end"])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array(words.n, pa.int64()),
-                         pa.array(tb.per_doc(hit, words.off), pa.int64()),
-                         pa.ListArray.from_arrays(pa.array(at, pa.int32()), span),
-                         pa.array(names, pa.list_(pa.string()))],
-                        ["doc_id", "n_words", "n_hit", "spans", "items"])
+                        [*(batch.column(names.index(c)) for c in keep), pa.array(words.n, pa.int64()),
+                         pa.array(tb.per_doc(hit, words.off), pa.int64()), pa.ListArray.from_arrays(offs, span), ids],
+                        [*keep, "_n_words", "_n_hit", "_spans", "_items"])
                 else:
-                    base = np.repeat(words.off[:-1], np.diff(at))
-                    offs = pa.array(at, pa.int32())
+                    base = np.repeat(words.off[:-1], np.diff(cut))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), batch.column(1),
+                        [*batch.columns[:len(names)],
                          pa.ListArray.from_arrays(offs, pa.array(begins - base, pa.int64())),
-                         pa.ListArray.from_arrays(offs, pa.array(closes + 1 - base, pa.int64())),
-                         pa.array(names, pa.list_(pa.string()))],
-                        ["doc_id", "text", "first", "stop", "items"])
+                         pa.ListArray.from_arrays(offs, pa.array(closes + 1 - base, pa.int64())), ids],
+                        [*names, "_first", "_stop", "_items"])
 
-        data = data.mapInArrow(run, SCHEMA if last else _CARRIED)
+        more = _FINDINGS if last else _CARRIED
+        out = T.StructType([*(schema[c] for c in (keep if last else names)), *T.StructType.fromDDL(more).fields])
+        data = data.mapInArrow(run, out)
         if not last:
             data = materialize(data, "decontaminate")
     return data
 
 
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                   shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text",
+                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_words, n_hit, spans, items)``, one row per row of ``docs``.
+
+    ``spans`` are the maximal runs of hit words as code-point offsets into the
+    original text (end exclusive); ``items`` the sorted ids, as text, of the
+    items with a window in the document."""
+    data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = _scanned(data, benchmark, window, shard_bytes, item_col, item_text_col, ["doc_id"])
+    return found.toDF("doc_id", "n_words", "n_hit", "spans", "items")
+
+
+def contaminated(n_hit, n_words):
+    """The contamination rule: a twentieth of the words or more are hit."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                      shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows and columns of ``docs`` (with a column ``text``) that aren't
+    contaminated, in one pass."""
+    found = _scanned(docs, benchmark, window, shard_bytes, "item_id", "text", docs.columns)
+    return found.where(~contaminated(F.col("_n_hit"), F.col("_n_words"))).select(*docs.columns)
+
+
 def _points(texts: tb.Texts, words: tb.Words, begins, closes):
     """Code-point offsets, from the start of the document, of word runs."""
     if not len(begins):
@@ -183,9 +205,8 @@ def _points(texts: tb.Texts, words: tb.Words, begins, closes):
 
 
 def judge(found: DataFrame) -> DataFrame:
-    """The contamination rule on the output of ``find_benchmark``: a twentieth
-    of the words or more stand in benchmark windows."""
+    """Counts, a digest of the items and the verdict from ``find_benchmark``."""
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))

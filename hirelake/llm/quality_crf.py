@@ -294,6 +294,18 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
           "base_failed boolean, kept boolean")
 
 
+def _verdicts(texts: tb.Texts, crf: LineCrf, min_share: float):
+    """Counts and verdict of each text of a batch, in the order of ``SCHEMA``."""
+    x = _Lines(texts)
+    content = _viterbi(crf, x.features, x.off).astype(bool)
+    share = tb.per_doc(np.where(content, x.n, 0), x.off) / np.maximum(x.n_words, 1)
+    failed = (x.n_words < MIN_WORDS) | (100 * x.n_repeat_words > MAX_REPEAT_PERCENT * x.n_words)
+    counts = [x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words,
+              np.diff(x.off), tb.per_doc(content, x.off)]
+    return [*(pa.array(c, pa.int64()) for c in counts), pa.array(share), pa.array(failed),
+            pa.array(~failed & (share >= min_share))]
+
+
 def score_quality(docs: DataFrame, crf: LineCrf, min_share: float = 0.5,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rule counts, content share and verdict, one row per row of ``docs``.
@@ -305,16 +317,20 @@ def score_quality(docs: DataFrame, crf: LineCrf, min_share: float = 0.5,
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in tb.slices(batches):
-            x = _Lines(tb.Texts(batch.column(1)))
-            content = _viterbi(crf, x.features, x.off).astype(bool)
-            share = tb.per_doc(np.where(content, x.n, 0), x.off) / np.maximum(x.n_words, 1)
-            failed = (x.n_words < MIN_WORDS) | (100 * x.n_repeat_words > MAX_REPEAT_PERCENT * x.n_words)
-            columns = [x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words,
-                       np.diff(x.off), tb.per_doc(content, x.off)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(share),
-                 pa.array(failed), pa.array(~failed & (share >= min_share))],
+                [batch.column(0), *_verdicts(tb.Texts(batch.column(1)), crf, min_share)],
                 [c.split()[0] for c in SCHEMA.split(", ")])
 
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return data.mapInArrow(run, SCHEMA)
+
+
+def keep_quality(docs: DataFrame, crf: LineCrf, min_share: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, in one pass."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in tb.slices(batches, text_col):
+            yield batch.filter(_verdicts(tb.Texts(batch.column(at)), crf, min_share)[-1])
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from hirelake.llm import (
     decontaminate,
     lattice_lm,
@@ -89,3 +90,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crf = quality_crf.fit_line_crf(docs, table(spark, sf_dir, "labels"))
     return quality_crf.score_quality(docs, crf)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
