@@ -115,10 +115,34 @@ def path_exists(spark, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def touch(spark, path: str) -> None:
-    """Create an empty file (a marker) at ``path``."""
+def read_text(spark, path: str) -> str:
+    """A small text file (a table state), whole."""
     p, fs = _fs(spark, path)
-    fs.create(p, True).close()
+    stream = fs.open(p)
+    try:
+        raw = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)
+    finally:
+        stream.close()
+    return bytes(raw).decode()
+
+
+def write_text(spark, path: str, text: str) -> None:
+    """Write a small text file so that it appears whole or not at all: to a
+    hidden name first, then renamed.  Fails if ``path`` exists."""
+    p, fs = _fs(spark, path)
+    hidden = p.suffix(f".{uuid.uuid4().hex[:8]}.tmp")
+    stream = fs.create(hidden, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(p) or not fs.rename(hidden, p):
+        fs.delete(hidden, False)
+        raise FileExistsError(f"{path} exists: another writer was faster")
+
+
+def delete_path(spark, path: str) -> None:
+    """Delete a file or folder."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
 
 
 def list_names(spark, path: str) -> list[str] | None:

@@ -1,176 +1,159 @@
 """Bucketed Parquet tables with keyed upsert (W4-W12, J7, SURVEY 4.2).
 
-Layout: ``<root>/<table>/b=<pmod(hash(key), B)>/part-*.parquet``.
+Layout: ``<root>/<table>/<write>/b=<pmod(hash(key), B)>/part-*.parquet``,
+one folder per write, and small state files ``_STATE_<n>.json`` that name
+the bucket count and, per bucket, the folders that hold it.  The state with
+the greatest number is the table.
 
 Plain Parquet has no row-level MERGE, so an upsert rewrites only the
 buckets its batch touches:
 
 1. the batch's bucket numbers are collected (at most ``B`` small ints);
-2. those buckets alone are read (static partition pruning);
+2. those buckets alone are read;
 3. old rows whose key is in the batch are dropped (``left_anti``) and the
    batch is added (``unionByName``) - every non-key column of a matched
    row is replaced, NULLs included, as ``ON CONFLICT DO UPDATE`` does;
-4. the result replaces exactly those buckets (dynamic partition
-   overwrite).
-
-The cost is proportional to the touched buckets, not the table.  The
-anti join and the write shuffle on the key's bucket, so a batch is never
-gathered in one task.  Each bucket directory is committed by Spark's
-file committer; a failed run leaves every bucket either old or new, and
-re-running the same batch gives the same table (idempotent), which is
-what a restarted stream batch needs.  Where the session's catalog offers
-a MERGE-capable format, that is the better tool; this store needs none.
+4. the result goes to a new folder, and a new state file, written last and
+   renamed into place, points these buckets at it.
+
+A run that fails at any point leaves the old state, and with it the old
+table, untouched; re-running the batch gives the same table, which is what
+a restarted stream batch needs.  Folders that no state names are left over
+from such runs or replaced by later writes; ``vacuum`` deletes them once no
+reader needs them.  The bucket count is chosen when a table is created and
+kept in its state, so every store sends a key to the same bucket;
+``rebucket`` changes it for a table that has outgrown it.  One writer at a
+time is assumed, as with any plain Parquet table.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.operators.keys import DuplicateKeyError, keep_last
-from hirelake.session import list_names, materialize, path_exists, touch
+from hirelake.session import delete_path, list_names, materialize, read_text, write_text
 from hirelake.spec import TableSpec
 
 BUCKET = "b"
-# File at a table's root recording its bucket count (readers skip names
-# that start with "_").
-MARKER = "_BUCKETS_"
-# A new table gets at least one bucket per this many rows of its first batch
-# (about a gigabyte for rows of a few dozen bytes), so no single writer task
-# inherits a huge bucket.
-ROWS_PER_BUCKET = 20_000_000
+STATE = "_STATE_"
 
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str, buckets: dict[str, int] | None = None,
-                 default_buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET):
+                 default_buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._buckets = dict(buckets or {})
+        self._wanted = dict(buckets or {})
         self._default = default_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self._rows_per_bucket = rows_per_bucket
-        self._known: set[str] = set()
-        self._empty: set[str] = set()   # tables this store just emptied
 
-    # -- layout ---------------------------------------------------------
+    # -- state ----------------------------------------------------------
     def path(self, spec: TableSpec) -> str:
         return f"{self.root}/{spec.name}"
 
+    def _state(self, spec: TableSpec) -> dict | None:
+        """The table's current state; ``None`` when it was never created.
+        Always read from storage: another store may have written."""
+        names = list_names(self.spark, self.path(spec))
+        numbers = [int(n[len(STATE):-len(".json")]) for n in names or []
+                   if n.startswith(STATE) and n.endswith(".json")]
+        if not numbers:
+            if names:
+                raise ValueError(f"{self.path(spec)} holds files but no table state")
+            return None
+        n = max(numbers)
+        return {"number": n, **json.loads(read_text(self.spark, f"{self.path(spec)}/{STATE}{n}.json"))}
+
+    def _switch(self, spec: TableSpec, old: dict | None, buckets: int, folders: dict[int, list[str]]) -> None:
+        """Make a new state current.  The rename is the commit."""
+        n = old["number"] + 1 if old else 1
+        body = {"buckets": buckets, "folders": {str(b): f for b, f in sorted(folders.items())}}
+        write_text(self.spark, f"{self.path(spec)}/{STATE}{n}.json", json.dumps(body))
+
+    def _folders(self, state: dict) -> dict[int, list[str]]:
+        return {int(b): list(f) for b, f in state["folders"].items()}
+
     def buckets(self, spec: TableSpec) -> int:
-        """Bucket count of a table.  An existing table keeps the count it was
-        written with (its marker file), whatever this store was given:
-        another count would send a key to another bucket and an upsert
-        would miss the stored row."""
-        if spec.name not in self._buckets and self._exists(spec):
-            stored = [n for n in (list_names(self.spark, self.path(spec)) or [])
-                      if n.startswith(MARKER)]
-            if stored:
-                self._buckets[spec.name] = int(stored[0][len(MARKER):])
-        return self._buckets.get(spec.name, self._default)
-
-    def _mark(self, spec: TableSpec) -> None:
-        self._buckets.setdefault(spec.name, self._default)
-        touch(self.spark, f"{self.path(spec)}/{MARKER}{self._buckets[spec.name]}")
-        self._known.add(spec.name)
-
-    def bucket_of(self, spec: TableSpec, key=None):
-        key = F.col(spec.key) if key is None else key
-        return F.pmod(F.hash(key), F.lit(self.buckets(spec)))
-
-    def _exists(self, spec: TableSpec) -> bool:
-        if spec.name in self._known:
-            return True
-        if not path_exists(self.spark, self.path(spec)):
-            return False
-        self._known.add(spec.name)
-        return True
-
-    def _stored_schema(self, spec: TableSpec):
-        return T.StructType([*spec.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        """Bucket count: a created table's own, whatever this store was given."""
+        state = self._state(spec)
+        return state["buckets"] if state else self._wanted.get(spec.name, self._default)
+
+    def bucket_of(self, spec: TableSpec, buckets: int):
+        return F.pmod(F.hash(F.col(spec.key)), F.lit(buckets))
 
     # -- DDL ------------------------------------------------------------
     def create_if_missing(self, spec: TableSpec) -> None:
         """An empty table when none exists yet."""
-        if not self._exists(spec):
+        if self._state(spec) is None:
             self.recreate(spec)
 
     def recreate(self, spec: TableSpec) -> None:
-        """W12 / delete-all: replace the table by an empty one.  A table that
-        existed keeps its bucket count; a new one gets its count from its
-        first batch."""
-        existed = self._exists(spec)
-        if existed:
-            self.buckets(spec)  # read the recorded count before overwriting
-        empty = self.spark.createDataFrame([], self._stored_schema(spec))
-        (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .partitionBy(BUCKET).parquet(self.path(spec)))
-        if existed:
-            self._mark(spec)
-        self._known.add(spec.name)
-        self._empty.add(spec.name)
+        """W12 / delete-all: replace the table by an empty one, which keeps
+        the bucket count of a table that existed."""
+        old = self._state(spec)
+        self._switch(spec, old, old["buckets"] if old else self.buckets(spec), {})
+
+    def _created(self, spec: TableSpec) -> dict:
+        self.create_if_missing(spec)
+        return self._state(spec)
 
     # -- reads ----------------------------------------------------------
+    def _read(self, spec: TableSpec, folders: dict[int, list[str]]) -> DataFrame:
+        paths = [f"{self.path(spec)}/{f}/{BUCKET}={b}" for b, fs in sorted(folders.items()) for f in fs]
+        if not paths:
+            return self.spark.createDataFrame([], spec.schema)
+        return self.spark.read.schema(spec.schema).parquet(*paths)
+
     def read(self, spec: TableSpec) -> DataFrame:
         """S3: the whole table with the spec's schema (an empty table
         reads fine; nothing is inferred).  A table never created reads as
         empty, as the service's tables always exist."""
-        if not self._exists(spec):
-            return self.spark.createDataFrame([], spec.schema)
-        return (self.spark.read.schema(self._stored_schema(spec)).parquet(self.path(spec))
-                .select(*spec.columns))
-
-    def _read_buckets(self, spec: TableSpec, buckets: list[int]) -> DataFrame:
-        return (self.spark.read.schema(self._stored_schema(spec)).parquet(self.path(spec))
-                .where(F.col(BUCKET).isin(buckets)))
+        state = self._state(spec)
+        return self._read(spec, self._folders(state) if state else {})
 
     # -- writes ---------------------------------------------------------
-    def _write_buckets(self, spec: TableSpec, df: DataFrame) -> None:
-        (df.repartition(BUCKET).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy(BUCKET).parquet(self.path(spec)))
-
-    def _batch_stats(self, spec: TableSpec, batch: DataFrame, check_duplicates: bool) -> list:
-        """One pass over a bucketed batch: rows and distinct keys per bucket
-        (at most ``B`` rows come back to the driver)."""
+    def _write(self, spec: TableSpec, df: DataFrame, buckets: int) -> tuple[str, DataFrame]:
+        """Write rows by bucket into a new folder; AQE splits a bucket that
+        is too large for one task.  Returns the folder and its rows."""
+        folder = f"w-{uuid.uuid4().hex[:12]}"
+        path = f"{self.path(spec)}/{folder}"
+        (df.select(*spec.columns).withColumn(BUCKET, self.bucket_of(spec, buckets)).hint("rebalance", BUCKET)
+         .write.partitionBy(BUCKET).parquet(path))
+        schema = T.StructType([*spec.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        return folder, self.spark.read.schema(schema).parquet(path)
+
+    def _batch_stats(self, spec: TableSpec, batch: DataFrame) -> tuple[dict[int, int], bool]:
+        """Rows per bucket (at most ``B`` rows come back to the driver), and
+        whether a key repeats."""
         stats = (batch.groupBy(BUCKET)
                  .agg(F.count(F.lit(1)).alias("n"), F.count_distinct(spec.key).alias("keys"))
                  .collect())
-        if check_duplicates and any(r["n"] != r["keys"] for r in stats):
-            raise DuplicateKeyError(f"{spec.name}: duplicate values of {spec.key!r} in batch")
-        return stats
+        return {r[BUCKET]: r["n"] for r in stats}, any(r["n"] != r["keys"] for r in stats)
 
-    def append(self, spec: TableSpec, rows: DataFrame, _stats: list | None = None) -> int:
+    def append(self, spec: TableSpec, rows: DataFrame) -> int:
         """Add rows whose keys are new; a key already stored or
         repeated in ``rows`` fails the whole batch, as a primary-key clash
-        aborts COPY."""
-        new = not self._exists(spec)
-        batch = rows.select(*spec.columns).withColumn(BUCKET, self.bucket_of(spec))
-        stats = _stats if _stats is not None else self._batch_stats(spec, batch, check_duplicates=True)
-        if not new and spec.name not in self._empty:
-            clash = self.read(spec).join(batch.select(spec.key), spec.key, "left_semi")
+        aborts COPY.  ``rows`` is evaluated once: it is written first and
+        tested as written, and only then becomes part of the table."""
+        state = self._created(spec)
+        folder, written = self._write(spec, rows, state["buckets"])
+        stats, repeats = self._batch_stats(spec, written)
+        if repeats:
+            raise DuplicateKeyError(f"{spec.name}: duplicate values of {spec.key!r} in batch")
+        folders = self._folders(state)
+        touched = {b: f for b, f in folders.items() if b in stats}
+        if touched:
+            clash = self._read(spec, touched).join(written.select(spec.key), spec.key, "left_semi")
             if not clash.isEmpty():
                 raise ValueError(f"{spec.name}: keys already present")
-        if spec.name not in self._buckets and (new or spec.name in self._empty):
-            # First data of the table: its bucket count follows the batch
-            # size unless one was given; the marker then fixes it for the
-            # table's life.
-            total = sum(r["n"] for r in stats)
-            wanted = max(self._default, -(-total // self._rows_per_bucket))
-            self._buckets[spec.name] = wanted
-            if wanted != self._default:
-                batch = batch.withColumn(BUCKET, self.bucket_of(spec))
-        if new:
-            (batch.repartition(BUCKET).write.mode("overwrite")
-             .option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(self.path(spec)))
-            self._mark(spec)
-        else:
-            (batch.repartition(BUCKET).write.mode("append")
-             .partitionBy(BUCKET).parquet(self.path(spec)))
-            if spec.name in self._empty:
-                self._mark(spec)
-        self._empty.discard(spec.name)
-        return sum(r["n"] for r in stats)
+        for b in stats:
+            folders.setdefault(b, []).append(folder)
+        self._switch(spec, state, state["buckets"], folders)
+        return sum(stats.values())
 
     def upsert(self, spec: TableSpec, rows: DataFrame, on_duplicate: str = "error",
                order: str | None = None, materialized: bool = False) -> int:
@@ -181,33 +164,57 @@ class TableStore:
         (reading it twice gives the same rows); otherwise the batch is
         written once to the checkpoint folder here, because it is read for
         the statistics, the anti join and the union."""
-        if on_duplicate == "last":
-            batch = keep_last(rows.select(*spec.columns, order), spec.key, order).select(*spec.columns)
-            materialized = False
-        elif on_duplicate == "error":
-            batch = rows.select(*spec.columns)
-        else:
+        if on_duplicate not in ("error", "last"):
             raise ValueError(f"unknown duplicate policy {on_duplicate!r}")
-        batch = batch.withColumn(BUCKET, self.bucket_of(spec))
+        last = on_duplicate == "last"
+        state = self._created(spec)
+        folders = self._folders(state)
+        batch = rows.select(*spec.columns, order) if last else rows.select(*spec.columns)
         if not materialized:
             batch = materialize(batch, f"upsert-{spec.name}")
-        # One pass: touched buckets (<= B rows), row count, duplicate test.
-        stats = self._batch_stats(spec, batch, check_duplicates=on_duplicate == "error")
+        bucketed = batch.withColumn(BUCKET, self.bucket_of(spec, state["buckets"]))
+        stats, repeats = self._batch_stats(spec, bucketed)
+        if repeats and not last:
+            raise DuplicateKeyError(f"{spec.name}: duplicate values of {spec.key!r} in batch")
         if not stats:
-            self.create_if_missing(spec)
             return 0
-        if not self._exists(spec) or spec.name in self._empty:
-            # Nothing stored to merge with: a plain write.
-            return self.append(spec, batch.drop(BUCKET), _stats=stats)
-        touched = [r[BUCKET] for r in stats]
-        old = self._read_buckets(spec, touched)
-        merged = (old.join(batch.select(spec.key), spec.key, "left_anti")
-                  .unionByName(batch))
-        self._write_buckets(spec, merged)
-        return sum(r["n"] for r in stats)
+        # Most batches have no repeats and need no pass that picks the last.
+        if repeats:
+            batch = materialize(keep_last(batch, spec.key, order), f"upsert-{spec.name}")
+            stats, _ = self._batch_stats(spec, batch.withColumn(BUCKET, self.bucket_of(spec, state["buckets"])))
+        batch = batch.select(*spec.columns)
+        touched = {b: f for b, f in folders.items() if b in stats}
+        if touched:
+            batch = self._read(spec, touched).join(batch.select(spec.key), spec.key, "left_anti").unionByName(batch)
+        folder, _ = self._write(spec, batch, state["buckets"])
+        self._switch(spec, state, state["buckets"], folders | {b: [folder] for b in stats})
+        return sum(stats.values())
 
     def truncate(self, spec: TableSpec) -> int:
         """Delete every row; returns how many there were."""
-        n = self.read(spec).count() if self._exists(spec) else 0
+        n = self.read(spec).count()
         self.recreate(spec)
         return n
+
+    # -- maintenance ----------------------------------------------------
+    def rebucket(self, spec: TableSpec, buckets: int) -> None:
+        """Rewrite the table with another bucket count."""
+        state = self._created(spec)
+        if not state["folders"]:
+            self._switch(spec, state, buckets, {})
+            return
+        folder, written = self._write(spec, self._read(spec, self._folders(state)), buckets)
+        used = [r[BUCKET] for r in written.select(BUCKET).distinct().collect()]
+        self._switch(spec, state, buckets, {b: [folder] for b in used})
+
+    def vacuum(self, spec: TableSpec) -> int:
+        """Delete folders and states that the current state doesn't need;
+        call it when no reader or writer is at work.  Returns how many."""
+        state = self._state(spec)
+        if state is None:
+            return 0
+        keep = {f"{STATE}{state['number']}.json", *(f for fs in state["folders"].values() for f in fs)}
+        gone = [n for n in list_names(self.spark, self.path(spec)) or [] if n not in keep]
+        for n in gone:
+            delete_path(self.spark, f"{self.path(spec)}/{n}")
+        return len(gone)
