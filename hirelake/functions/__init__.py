@@ -2,5 +2,5 @@
 
 from hirelake.functions.scalar import (  # noqa: F401
     blank_to_null, csv_int, csv_timestamp, iso_string, iso_timestamp, is_blank,
-    quarter_flag, signed_label, strip_ws, year_range,
+    signed_label, strip_ws, year_range,
 )

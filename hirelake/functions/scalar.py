@@ -58,16 +58,17 @@ def csv_timestamp(c) -> Column:
     return F.when(ok, F.try_make_timestamp_ntz(*part))
 
 
-# ISO-8601 text with a zone designator (Z or +hh:mm); rejected by the JSON
-# intake because the target column has no zone.
-_ZONED = r"\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*([Zz]|[+-]\d{2}(:?\d{2})?)$"
+# ISO-8601 date, or date and time to the minute, second or microsecond, without
+# a zone: the target column has none.  Anything else (a year alone, one-digit
+# parts, signs, zone names or offsets) is rejected before Spark's wider cast.
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 
 
 def iso_timestamp(c) -> Column:
     """P5: ISO-8601 date or date-time to TIMESTAMP_NTZ; NULL on failure or
-    when the text carries a zone offset."""
-    col = _c(c)
-    return F.when(~F.trim(col).rlike(_ZONED), _try_cast(F.trim(col), "timestamp_ntz"))
+    when the text carries a zone."""
+    col = F.trim(_c(c))
+    return F.when(col.rlike(_ISO), _try_cast(col, "timestamp_ntz"))
 
 
 def iso_string(c) -> Column:
@@ -90,11 +91,6 @@ def year_range(c, year: int) -> Column:
     return (col >= lo) & (col < hi)
 
 
-def quarter_flag(c, q: int) -> Column:
-    """1 when the month falls in quarter ``q``, else 0."""
-    return F.when(F.quarter(_c(c)) == q, 1).otherwise(0)
-
-
 def signed_label(c) -> Column:
     """Integer with an explicit sign; zero prints as +0."""
     return F.format_string("%+d", _c(c))

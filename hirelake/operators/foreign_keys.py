@@ -22,14 +22,16 @@ def _marker(name: str) -> str:
 
 
 def check_foreign_keys(rows: DataFrame, spec: TableSpec, dims: dict[str, DataFrame],
-                       dim_key: str = "id") -> DataFrame:
+                       dim_key: str = "id", unique: bool = False) -> DataFrame:
     """Add ``fk_errs`` (array of campo/regla/valor) to ``rows``, one entry
-    per FK column whose non-NULL value has no row in its dimension."""
+    per FK column whose non-NULL value has no row in its dimension.
+    ``unique`` tells that the dimensions' keys are (a store table's are), which
+    saves a shuffle of each dimension."""
     out = rows
     errs = []
     for f in spec.foreign_keys:
-        keys = (dims[f.references].select(F.col(dim_key).alias(f"_fk_key_{f.name}"))
-                .distinct().withColumn(_marker(f.name), F.lit(True)))
+        keys = dims[f.references].select(F.col(dim_key).alias(f"_fk_key_{f.name}"))
+        keys = (keys if unique else keys.distinct()).withColumn(_marker(f.name), F.lit(True))
         out = out.join(keys, F.col(f.name) == F.col(f"_fk_key_{f.name}"), "left") \
                  .drop(f"_fk_key_{f.name}")
         broken = F.col(f.name).isNotNull() & F.col(_marker(f.name)).isNull()

@@ -17,6 +17,10 @@ points are events with no earlier event of their key inside the window
 (key, segment) is then replayed in time order by a small pandas helper.
 A key that stays above the limit without any gap forms one segment - the
 semantics allow no finer exact split.
+
+A NULL key is a key of its own, as in GROUP BY.  Events without a time lie
+in no window of others: each counts the key's events without a time, and
+the limiter accepts them.
 """
 
 from __future__ import annotations
@@ -40,6 +44,11 @@ def epoch_micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
 
 
+def _key_text(key: str) -> Column:
+    """A key as text that is never NULL and keeps NULL apart."""
+    return F.when(F.col(key).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(key).cast("string")))
+
+
 def trailing_count(events: DataFrame, key: str, ts: str, window_seconds: float,
                    out: str = "n", method: str = "buckets") -> DataFrame:
     """Add ``out`` = number of events of the same key with timestamp in
@@ -56,7 +65,7 @@ def trailing_count(events: DataFrame, key: str, ts: str, window_seconds: float,
     base = events.withColumns({"_us": epoch_micros(ts)}).withColumn(
         "_bucket", F.floor(F.col("_us") / w_us))
     self_rows = base.withColumn("_self", F.lit(True))
-    context = (base.select(key, "_us", (F.col("_bucket") + 1).alias("_bucket"))
+    context = (base.where("_us is not null").select(key, "_us", (F.col("_bucket") + 1).alias("_bucket"))
                .withColumn("_self", F.lit(False)))
     both = self_rows.unionByName(context, allowMissingColumns=True)
     win = (Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-w_us, 0))
@@ -102,7 +111,8 @@ def trailing_count_by_ranks(events: DataFrame, key: str, ts: str, window_seconds
     equi-joins on (key, time) put the two counts together and back on the
     events (AQE splits a hot join key)."""
     w_us = int(window_seconds * US)
-    ev = events.withColumn("_us", epoch_micros(ts))
+    timed, key = events.withColumns({"_us": epoch_micros(ts), "_k": _key_text(key)}), "_k"
+    ev = timed.where("_us is not null")
     pts = ev.groupBy(key, "_us").agg(F.count(F.lit(1)).alias("_m"))      # map-side combined
     # Order key: position * 2 + kind puts a probe before an event at the same
     # position, so a probe counts events strictly before it.
@@ -125,16 +135,24 @@ def trailing_count_by_ranks(events: DataFrame, key: str, ts: str, window_seconds
     lt = ranked.where(F.col("_c") % 2 == 0).select(key, "_src", F.col("_rank").alias("_lt"))
     counts = le.join(lt, [key, "_src"]).select(key, F.col("_src").alias("_us"),
                                                (F.col("_le") - F.col("_lt")).alias(out))
-    return ev.join(counts, [key, "_us"]).drop("_us")
+    untimed = timed.where("_us is null")
+    alone = untimed.groupBy(key).agg(F.count(F.lit(1)).alias(out))
+    columns = [*events.columns, out]
+    return (ev.join(counts, [key, "_us"]).select(*columns)
+            .unionAll(untimed.join(alone, key).select(*columns)))
 
 
 def _segments(events: DataFrame, key: str, ts: str, w_us: int) -> DataFrame:
     """Segment id = time of the latest reset point at or before each event
     (a reset point has no earlier event of its key within ``W``)."""
-    with_n = trailing_count(events, key, ts, w_us / US, out="_n")
+    with_n = trailing_count(events.withColumn("_k", _key_text(key)), "_k", ts, w_us / US, out="_n")
+    key = "_k"
     marked = (with_n.withColumn("_us", epoch_micros(ts))
               .withColumn("_bucket", F.floor(F.col("_us") / w_us))
-              .withColumn("_reset", F.when(F.col("_n") == 1, F.col("_us"))))
+              .withColumn("_now", F.count(F.lit(1)).over(
+                  Window.partitionBy(key, F.col("_bucket")).orderBy("_us").rangeBetween(0, 0)))
+              # Only events of the same time lie in the window.
+              .withColumn("_reset", F.when(F.col("_n") == F.col("_now"), F.col("_us"))))
     # Latest reset inside the bucket up to the event ...
     in_bucket = Window.partitionBy(key, "_bucket").orderBy("_us").rowsBetween(
         Window.unboundedPreceding, 0)
@@ -146,7 +164,7 @@ def _segments(events: DataFrame, key: str, ts: str, w_us: int) -> DataFrame:
     carry = per_bucket.select(key, "_bucket", F.max("_last").over(earlier).alias("_carry"))
     return (marked.join(carry, [key, "_bucket"])
             .withColumn("_segment", F.coalesce("_seg_b", "_carry"))
-            .drop("_seg_b", "_carry", "_reset", "_bucket"))
+            .drop("_seg_b", "_carry", "_reset", "_bucket", "_now"))
 
 
 def replay_limiter(us: np.ndarray, window_us: int, max_accepted: int,
@@ -179,9 +197,10 @@ def throttle_flags(events: DataFrame, key: str, ts: str, id_col: str,
     first contended event of a segment, carrying at most ``M`` accepted
     times from batch to batch.  No group is ever held whole in memory."""
     w_us = int(window_seconds * US)
-    seg = _segments(events.select(id_col, key, ts), key, ts, w_us)
-    ordered = (seg.repartition(*([partitions] if partitions else []), key, "_segment")
-               .sortWithinPartitions(key, "_segment", "_us", id_col))
+    rows = events.select(id_col, key, ts)
+    seg = _segments(rows.where(F.col(ts).isNotNull()), key, ts, w_us)
+    ordered = (seg.repartition(*([partitions] if partitions else []), "_k", "_segment")
+               .sortWithinPartitions("_k", "_segment", "_us", id_col))
     out_schema = T.StructType([*events.select(id_col, key, ts).schema.fields,
                                T.StructField("ok", T.BooleanType())])
 
@@ -192,7 +211,7 @@ def throttle_flags(events: DataFrame, key: str, ts: str, id_col: str,
         for pdf in batches:
             if pdf.empty:
                 continue
-            k = pdf[key].to_numpy()
+            k = pdf["_k"].to_numpy()
             seg_ = pdf["_segment"].to_numpy()
             us = pdf["_us"].to_numpy()
             # An event with at most M events (itself included) in its window
@@ -225,7 +244,7 @@ def throttle_flags(events: DataFrame, key: str, ts: str, id_col: str,
                 last_keep = [x for x in (carried if last == 0 else []) if x >= lo]
                 last_keep += tail[tail >= lo].tolist()
             open_group, keep = (k[-1], seg_[-1]), last_keep
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key: k, ts: pdf[ts].to_numpy(),
-                                "ok": ok})
+            yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], ts: pdf[ts], "ok": ok})
 
-    return ordered.mapInPandas(run, out_schema)
+    untimed = rows.where(F.col(ts).isNull()).withColumn("ok", F.lit(True))
+    return ordered.mapInPandas(run, out_schema).unionByName(untimed)

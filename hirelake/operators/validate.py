@@ -101,12 +101,24 @@ def _code(name: str) -> str:
     return f"_c_{name}"
 
 
+# Text of a number without a fraction, and of one with an exponent.
+_WHOLE = r"^[+-]?\d+(\.0*)?$"
+_EXPONENT = r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$"
+FRACTION = "fraction"
+
+
 def _stage_numbers(f: FieldSpec) -> dict[str, Column]:
-    """Stage 1: numeric reading of an int field's text."""
+    """Stage 1: an int field's number as whole-number text, or ``FRACTION``.
+    The text itself is looked at, as any numeric type would round it."""
     if f.kind != "int":
         return {}
-    kind = F.col(_k(f.name))
-    return {_n(f.name): F.when(kind.rlike(_NUMBER_KIND), F.col(_t(f.name)).try_cast("decimal(38,6)"))}
+    kind, txt = F.col(_k(f.name)), F.col(_t(f.name))
+    double = txt.try_cast("double")
+    number = (F.when(txt.rlike(_WHOLE), F.regexp_replace(txt, r"\.0*$", ""))
+              .when(txt.rlike(_EXPONENT) & (double == F.rint(double)),
+                    F.coalesce(double.try_cast("decimal(38,0)").cast("string"), txt))
+              .otherwise(FRACTION))
+    return {_n(f.name): F.when(kind.rlike(_NUMBER_KIND), F.coalesce(number, F.lit(FRACTION)))}
 
 
 def _stage_value(f: FieldSpec) -> Column:
@@ -115,7 +127,7 @@ def _stage_value(f: FieldSpec) -> Column:
     if f.kind == "int":
         num = F.col(_n(f.name))
         value = (F.when(kind == "STRING", strip_ws(txt).try_cast("int"))
-                 .when(num == F.floor(num), num.try_cast("int")))
+                 .when(num != FRACTION, num.try_cast("int")))
     elif f.kind == "str":
         value = F.when(kind == "STRING", txt)
     elif f.kind == "datetime":
@@ -132,7 +144,7 @@ def _stage_code(f: FieldSpec) -> Column:
     if f.kind == "int":
         num = F.col(_n(f.name))
         code = (code.when((kind != "STRING") & num.isNull() & ~kind.rlike(_NUMBER_KIND), "int_type")
-                .when(num.isNotNull() & (num != F.floor(num)), "int_from_float")
+                .when(num == FRACTION, "int_from_float")
                 .when(value.isNull(), "int_parsing"))
         if f.positive:
             code = code.when(value <= 0, "greater_than")

@@ -26,7 +26,7 @@ from hirelake.sinks.table_store import TableStore
 from hirelake.sources import backups as bk
 from hirelake.sources.csv_files import read_dimension_csv, read_hires_csv
 from hirelake.sources.payloads import payload_records
-from hirelake.spec import (BACKUP_FORMATS, DEPARTMENTS, HIRES, JOBS, SPECS, TABLE_ORDER,
+from hirelake.spec import (BACKUP_DAY, BACKUP_FORMATS, BACKUP_STAMP, DEPARTMENTS, HIRES, JOBS, SPECS, TABLE_ORDER,
                            TableSpec, table_spec)
 
 SUMMARY_SCHEMA = "tabla string, recibidos bigint, validos bigint, upsert bigint"
@@ -50,7 +50,7 @@ def check_batch(store: TableStore, spec: TableSpec, validated: DataFrame) -> Dat
         # FKs are checked on every row (one left join each, no filter that
         # Catalyst could push into the rule projections); only records that
         # passed V1 report FK errors, as in the service.
-        checked = foreign_keys.check_foreign_keys(validated, spec, dims)
+        checked = foreign_keys.check_foreign_keys(validated, spec, dims, unique=True)
         validated = checked.withColumn(
             "fk_errs", F.when(F.size("errs") == 0, F.col("fk_errs")).otherwise(empty))
     else:
@@ -81,11 +81,24 @@ class IngestResult:
     rejected: DataFrame  # payload, motivo
 
 
+def _repeated(valid: DataFrame, spec: TableSpec) -> DataFrame:
+    """V5: keys that occur more than once in one group, with the last position."""
+    return (valid.groupBy("payload", "orden", spec.key)
+            .agg(F.count(F.lit(1)).alias("n"), F.max("indice").alias("indice")).where("n > 1"))
+
+
 def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "error") -> IngestResult:
-    """J2p over exploded records (payload, tabla, indice, raw): per table in
-    whitelist order, validate (V1), check FKs (V2/V3), upsert the valid
+    """J2p over exploded records (payload, orden, tabla, indice, raw): per table
+    in whitelist order, validate (V1), check FKs (V2/V3), upsert the valid
     rows (W7-W9) and count (V4).  Each table commits on its own, so a
-    failure in a later table keeps the earlier ones, as in the service."""
+    failure in a later table keeps the earlier ones, as in the service.
+
+    Payloads stand alone: an id that occurs twice in one group fails that group
+    (``on_duplicate="error"``: an error row, none of its rows written) or
+    its last occurrence counts (``"last"``); the same id in a later payload
+    replaces the row, as a later request would."""
+    if on_duplicate not in ("error", "last"):
+        raise ValueError(f"unknown duplicate policy {on_duplicate!r}")
     spark = records.sparkSession
     # Written once, in one folder per table: each table's pass below reads
     # only its own records (partition pruning).  Then spread: JSON parsing
@@ -101,10 +114,16 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
         checked = check_batch(store, spec, validate.validate_json(recs, "raw", spec))
         checked, counts = _write_counted(checked, f"ingest-{tabla}")
         valid = (checked.where(F.col("ok"))
-                 .withColumn("_pos", F.struct("payload", "indice")))
-        n = store.upsert(spec, valid, on_duplicate=on_duplicate, order="_pos", materialized=True)
-        summary.append((tabla, counts["recibidos"], counts["validos"], n))
+                 .withColumn("_pos", F.struct("orden", "indice")))
         errors.append(batch_errors(checked, tabla))
+        if on_duplicate == "error":
+            repeated = _repeated(valid, spec)
+            errors.append(repeated.select(
+                F.lit(tabla).alias("tabla"), "indice", F.lit("carga").alias("etapa"), F.lit(spec.key).alias("campo"),
+                F.lit("duplicate_key").alias("regla"), F.col(spec.key).cast("string").alias("valor")))
+            valid = valid.join(repeated.select("payload", "orden").distinct(), ["payload", "orden"], "left_anti")
+        n = store.upsert(spec, valid, on_duplicate="last", order="_pos", materialized=True)
+        summary.append((tabla, counts["recibidos"], counts["validos"], n))
     return IngestResult(
         spark.createDataFrame(summary, SUMMARY_SCHEMA),
         _union(errors, spark, ERROR_SCHEMA),
@@ -130,23 +149,41 @@ class LoadResult:
     preview: DataFrame
 
 
+def check_constraints(store: TableStore, spec: TableSpec, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V2, V3, V7 on loaded rows: (rows that the schema allows, error rows).
+
+    What the service's tables forbid is no text longer than its column and
+    no key without its dimension row; ids of any sign are allowed there."""
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in spec.columns])
+    long = [(F.char_length(f.name) > f.max_len, validate._err(f.name, F.lit("string_too_long"), line))
+            for f in spec.fields if f.max_len is not None]
+    checked = rows.withColumns({"errs": validate.collect_errors(long), "indice": F.lit(None).cast("bigint"),
+                                "_line": line})
+    if spec.foreign_keys:
+        dims = {f.references: store.read(SPECS[f.references]).select("id") for f in spec.foreign_keys}
+        checked = foreign_keys.check_foreign_keys(checked, spec, dims, unique=True)
+        checked = checked.withColumn("fk_errs", F.transform("fk_errs", lambda e: e.withField("valor", F.col("_line"))))
+    else:
+        checked = checked.withColumn("fk_errs", F.array().cast(validate.ERR_TYPE))
+    checked = materialize(checked.withColumn("ok", (F.size("errs") == 0) & (F.size("fk_errs") == 0)), f"load-{spec.name}")
+    return checked.where("ok").select(*spec.columns), batch_errors(checked, spec.name)
+
+
 def full_load(store: TableStore, departments_csv: str, jobs_csv: str, hires_csv: str) -> LoadResult:
     """J1p: recreate the three tables, then append departments, jobs and
-    hires from their CSV files (dimensions first)."""
+    hires from their CSV files (dimensions first).  Rows that the schema
+    forbids (V2, V3, V7) become error rows."""
     spark = store.spark
     for name in TABLE_ORDER:
         store.recreate(SPECS[name])
     errs = []
-    for name, path in ((DEPARTMENTS, departments_csv), (JOBS, jobs_csv)):
-        load = read_dimension_csv(spark, path, SPECS[name])
-        store.append(SPECS[name], load.rows)
-        errs.append(load.errors)
-    hires = read_hires_csv(spark, hires_csv, SPECS[HIRES])
-    store.append(SPECS[HIRES], hires.rows)
-    errs.append(hires.errors)
-    counts = table_counts({n: store.read(SPECS[n]) for n in TABLE_ORDER})
-    return LoadResult(counts, _union(errs, spark, ERROR_SCHEMA),
-                      store.read(SPECS[HIRES]).limit(5))
+    for name, path, read in ((DEPARTMENTS, departments_csv, read_dimension_csv), (JOBS, jobs_csv, read_dimension_csv),
+                             (HIRES, hires_csv, read_hires_csv)):
+        load = read(spark, path, SPECS[name])
+        good, bad = check_constraints(store, SPECS[name], load.rows)
+        store.append(SPECS[name], good)
+        errs += [load.errors.select(*ERROR_COLUMNS), bad.select(*ERROR_COLUMNS)]
+    return LoadResult(verify_counts(store), _union(errs, spark, ERROR_SCHEMA), store.read(SPECS[HIRES]).limit(5))
 
 
 def verify_counts(store: TableStore) -> DataFrame:
@@ -179,7 +216,7 @@ def backup_tables(store: TableStore, fmt: str, directory: str, tables: list[str]
     specs = [table_spec(n) for n in names]
     if fmt == "avro" and not bk.avro_available(spark):
         raise bk.AvroUnavailable("the avro data source is not on this session's classpath")
-    stamp = (now or dt.datetime.now()).strftime("%Y%m%d_%H%M%S")
+    stamp = (now or dt.datetime.now()).strftime(BACKUP_STAMP)
     out = []
     for spec in specs:
         ruta = f"{directory.rstrip('/')}/{spec.name}_{stamp}.{fmt}"
@@ -203,11 +240,13 @@ def wipe_table(store: TableStore, tabla: str, directory: str, only_today: bool =
                today: dt.date | None = None) -> DataFrame:
     """Delete every row of ``tabla`` only when a backup of it exists
     (of today, by default) and - for a dimension - no hire still points to
-    one of its rows (V6).  Returns (tabla, borrados)."""
+    one of its rows (V6).  Returns (tabla, borrados, total_archivos, respaldos):
+    the rows deleted and the backups found, newest first."""
     spec = table_spec(tabla)
     spark = store.spark
-    day = (today or dt.date.today()).strftime("%Y%m%d") if only_today else None
-    if bk.list_backups(spark, directory, tabla, day).isEmpty():
+    day = (today or dt.date.today()).strftime(BACKUP_DAY) if only_today else None
+    found = [r["archivo"] for r in bk.list_backups(spark, directory, tabla, day).collect()]  # names only
+    if not found:
         when = "of today " if only_today else ""
         raise GuardError(f"no backup {when}for {tabla!r} in {directory!r}")
     hires = SPECS[HIRES]
@@ -217,7 +256,8 @@ def wipe_table(store: TableStore, tabla: str, directory: str, only_today: bool =
             if not used.isEmpty():
                 raise GuardError(f"{tabla!r} rows are still referenced by {HIRES}.{f.name}")
     n = store.truncate(spec)
-    return spark.createDataFrame([(tabla, n)], "tabla string, borrados bigint")
+    return spark.createDataFrame([(tabla, n, len(found), ",".join(found))],
+                                 "tabla string, borrados bigint, total_archivos bigint, respaldos string")
 
 
 @dataclass
@@ -233,13 +273,9 @@ def restore_table(store: TableStore, tabla: str, path: str, fmt: str,
     the backup stay."""
     spec = table_spec(tabla)
     spark = store.spark
-    rows = bk.read_backup(spark, path, spec, fmt)
-    # No file order survives a distributed read: the key itself orders
-    # duplicates for the "last" policy.
-    validated = validate.validate_typed(rows.withColumn("indice", F.lit(None).cast("bigint")), spec)
-    checked, counts = _write_counted(check_batch(store, spec, validated), f"restore-{tabla}")
-    valid = checked.where(F.col("ok")).withColumn("_pos", F.col(spec.key))
-    n = store.upsert(spec, valid, on_duplicate=on_duplicate, order="_pos", materialized=True)
+    rows = bk.read_backup_positions(spark, path, spec, fmt)
+    checked, counts = _write_counted(check_batch(store, spec, validate.validate_typed(rows, spec)), f"restore-{tabla}")
+    n = store.upsert(spec, checked.where(F.col("ok")), on_duplicate=on_duplicate, order="indice", materialized=True)
     summary = spark.createDataFrame([(tabla, n, counts["recibidos"], counts["validos"])],
                                     "tabla string, restaurados bigint, recibidos bigint, validos bigint")
     return RestoreResult(summary, batch_errors(checked, tabla).select(*ERROR_COLUMNS))

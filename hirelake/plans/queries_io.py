@@ -22,14 +22,17 @@ from hirelake.session import scratch_dir, spread
 from hirelake.sinks.table_store import TableStore
 from hirelake.sources.backups import list_backups
 from hirelake.sources.csv_files import read_dimension_csv, read_hires_csv, write_csv
-from hirelake.sources.payloads import read_payloads
-from hirelake.spec import DEPARTMENTS, HIRES, JOBS, SPECS, TABLE_ORDER
+from hirelake.sources.payloads import payload_records, read_payloads
+from hirelake.spec import BACKUP_DAY, BACKUP_STAMP, DEPARTMENTS, HIRES, JOBS, SPECS, TABLE_ORDER
 
 # Clock of the backup queries (a parameter, so results repeat).
 BACKUP_CLOCK = dt.datetime(2024, 1, 2, 3, 4, 5)
 PAYLOAD_GROUP = 1000  # records per payload group, the service's maximum
 
 
+ABSENT_JOB = 100_000_000  # added to a job id, it names no job
+
+
 def departments_rows(spark, sf) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("id"),
                                                 F.col("c_name").alias("departamento"))
@@ -41,10 +44,16 @@ def jobs_rows(spark, sf) -> DataFrame:
 
 
 def hires_rows(spark, sf) -> DataFrame:
-    return table(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("int").alias("id"), F.col("o_orderpriority").alias("nombre"),
+    """``orders`` as hires.  The job is the smallest part of the order's
+    lines; orders without lines have none, and every eleventh order points
+    to a job that doesn't exist."""
+    job = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.min("l_partkey").alias("_job"))
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").join(job, "o_orderkey", "left").select(
+        k.cast("int").alias("id"), F.col("o_orderpriority").alias("nombre"),
         F.col("o_orderdate").alias("fecha_hora"), F.col("o_custkey").cast("int").alias("id_departamento"),
-        F.lit(None).cast("int").alias("id_trabajo"))
+        F.when(k % 11 == 4, F.col("_job") + ABSENT_JOB).otherwise(F.col("_job")).cast("int").alias("id_trabajo"))
 
 
 def _store(spark, name: str) -> TableStore:
@@ -55,9 +64,18 @@ def _store(spark, name: str) -> TableStore:
                       default_buckets=spark.sparkContext.defaultParallelism)
 
 
-HIRES_OUT = "id, nombre, fecha_hora, id_departamento, id_trabajo"
-HIRES_SQL = """CAST(o_orderkey AS INTEGER) AS id, o_orderpriority AS nombre, o_orderdate AS fecha_hora,
-       CAST(o_custkey AS INTEGER) AS id_departamento, CAST(NULL AS INTEGER) AS id_trabajo"""
+# The hires, and which of their rows pass every rule, in SQL.
+HIRES_SQL = f"""(SELECT CAST(o_orderkey AS INTEGER) AS id, o_orderpriority AS nombre, o_orderdate AS fecha_hora,
+    CAST(o_custkey AS INTEGER) AS id_departamento,
+    CAST(CASE WHEN o_orderkey % 11 = 4 THEN job + {ABSENT_JOB} ELSE job END AS INTEGER) AS id_trabajo
+  FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS job FROM lineitem GROUP BY l_orderkey) j
+    ON l_orderkey = o_orderkey)"""
+_VALID_DEPT = "c_custkey > 0 AND length(c_name) BETWEEN 1 AND 50"
+_VALID_JOB = "p_partkey > 0 AND length(p_name) BETWEEN 1 AND 200"
+_FIELDS_OK = "id > 0 AND ifnull(id_departamento, 1) > 0 AND ifnull(id_trabajo, 1) > 0"
+_DEPT_OK = f"(id_departamento IS NULL OR id_departamento IN (SELECT c_custkey FROM customer WHERE {_VALID_DEPT}))"
+_JOB_OK = f"(id_trabajo IS NULL OR id_trabajo IN (SELECT p_partkey FROM part WHERE {_VALID_JOB}))"
+_VALID_HIRE = f"{_FIELDS_OK} AND {_DEPT_OK} AND {_JOB_OK}"
 
 
 # --------------------------------------------------------------------------
@@ -96,7 +114,17 @@ def _hires_csv(spark, sf) -> str:
     return path
 
 
-@register("csv_roundtrip_fact", f"""
+_ISO_SQL = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"
+# The date as the CSV file spells it.
+_DATE_SQL = f"""CASE o_orderkey % 5 WHEN 0 THEN {_ISO_SQL} || 'Z' WHEN 1 THEN {_ISO_SQL} || '.000Z'
+  WHEN 2 THEN concat(year(o_orderdate), '-', month(o_orderdate), '-', day(o_orderdate), ' ', hour(o_orderdate), ':',
+                     minute(o_orderdate), ':', CAST(second(o_orderdate) AS INTEGER))
+  ELSE {_ISO_SQL} END"""
+_LINE_SQL = f"""o_orderkey || ',  ' || o_orderpriority || ' ,' || ({_DATE_SQL}) || ',' || o_custkey || ','
+  || CASE WHEN o_orderkey % 9 = 0 THEN 'abc' ELSE '' END"""
+
+
+@register("csv_roundtrip_fact", """
 SELECT CAST(o_orderkey AS INTEGER) AS id, o_orderpriority AS nombre,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate END AS fecha_hora,
        CAST(o_custkey AS INTEGER) AS id_departamento, CAST(NULL AS INTEGER) AS id_trabajo
@@ -106,15 +134,44 @@ def csv_roundtrip_fact(spark, sf):
     return read_hires_csv(spark, _hires_csv(spark, sf), SPECS[HIRES]).rows
 
 
-@register("csv_load_errors", """
+@register("csv_load_errors", f"""
 SELECT 'empleados_contratados' AS tabla, CAST(NULL AS BIGINT) AS indice, 'csv' AS etapa,
-       'id_trabajo' AS campo, 'int_parsing' AS regla, CAST(o_orderkey AS VARCHAR) AS valor
+       'id_trabajo' AS campo, 'int_parsing' AS regla, {_LINE_SQL} AS valor
 FROM orders WHERE o_orderkey % 9 = 0
 """)
 def csv_load_errors(spark, sf):
+    """The report of a bad row holds the row."""
     return read_hires_csv(spark, _hires_csv(spark, sf), SPECS[HIRES]).errors
 
 
+_QUOTED = "{c} || chr(10) || 'line \"two\", and, ,three'"
+
+
+@register("csv_quoted_dim", f"""
+SELECT CAST(s_suppkey AS INTEGER) AS id, {_QUOTED.format(c='s_name')} AS departamento FROM supplier
+""")
+def csv_quoted_dim(spark, sf):
+    """Names with line breaks, quotes and commas survive the round trip."""
+    path = scratch_dir(spark, "csv-quoted")
+    name = F.concat("s_name", F.lit('\nline "two", and, ,three'))
+    write_csv(table(spark, sf, "supplier").select("s_suppkey", name.alias("s_name")), path, header=False)
+    return read_dimension_csv(spark, path, SPECS[DEPARTMENTS]).rows
+
+
+@register("csv_quoted_fact", f"""
+SELECT CAST(o_orderkey AS INTEGER) AS id, {_QUOTED.format(c='o_orderpriority')} AS nombre, o_orderdate AS fecha_hora,
+       CAST(o_custkey AS INTEGER) AS id_departamento, CAST(NULL AS INTEGER) AS id_trabajo
+FROM orders
+""")
+def csv_quoted_fact(spark, sf):
+    path = scratch_dir(spark, "csv-quoted")
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.concat("o_orderpriority", F.lit('\nline "two", and, ,three')).alias("nombre"),
+        iso_string(F.col("o_orderdate")).alias("fecha_hora"), "o_custkey", F.lit(None).cast("string").alias("j"))
+    write_csv(rows, path, header=True)
+    return read_hires_csv(spark, path, SPECS[HIRES]).rows
+
+
 # --------------------------------------------------------------------------
 # JSON payload ingest (S6, S7, F11, J2p, V1-V4, W7-W9)
 # --------------------------------------------------------------------------
@@ -126,12 +183,19 @@ def _payload_records(df: DataFrame, tabla: str) -> DataFrame:
                              F.col("id").alias("k"), rec.alias("r"))
 
 
+# The payload files of a session's tables: several queries read the same.
+_payload_paths: dict[tuple, str] = {}
+
+
 def write_payloads(spark, sf) -> str:
     """The three tables as JSON Lines payloads, one document per table and
     key range of 1000 (keys are unique, so no group exceeds the service's
     maximum); records inside a group are in key order."""
+    known = (spark.sparkContext.applicationId, sf)
+    if known in _payload_paths:
+        return _payload_paths[known]
     path = scratch_dir(spark, "payloads")
-    h = hires_rows(spark, sf).withColumn("fecha_hora", iso_string("fecha_hora")).drop("id_trabajo")
+    h = hires_rows(spark, sf).withColumn("fecha_hora", iso_string("fecha_hora"))
     recs = (_payload_records(departments_rows(spark, sf), DEPARTMENTS)
             .unionByName(_payload_records(jobs_rows(spark, sf), JOBS))
             .unionByName(_payload_records(h, HIRES)))
@@ -140,6 +204,7 @@ def write_payloads(spark, sf) -> str:
              .select(F.concat(F.lit('{"'), F.col("tabla"), F.lit('": ['),
                               F.array_join("_r", ", "), F.lit("]}")).alias("value")))
     lines.write.text(path)
+    _payload_paths[known] = path
     return path
 
 
@@ -149,59 +214,63 @@ def run_json_ingest(spark, sf):
     return store, result
 
 
-_VALID_DEPT = "c_custkey > 0 AND length(c_name) BETWEEN 1 AND 50"
-_VALID_HIRE = f"""o_orderkey > 0 AND length(o_orderpriority) <= 100
-  AND (o_custkey IS NULL OR o_custkey IN (SELECT c_custkey FROM customer WHERE {_VALID_DEPT}))
-  AND (o_custkey IS NULL OR o_custkey > 0)"""
-
-
-@register("json_batch_ingest", f"""
+INGEST_SUMMARY_SQL = f"""
 SELECT 'departamentos' AS tabla, COUNT(*) AS recibidos,
        COUNT(*) FILTER (WHERE {_VALID_DEPT}) AS validos,
        COUNT(*) FILTER (WHERE {_VALID_DEPT}) AS upsert FROM customer
 UNION ALL
-SELECT 'trabajos', COUNT(*), COUNT(*) FILTER (WHERE p_partkey > 0 AND length(p_name) BETWEEN 1 AND 200),
-       COUNT(*) FILTER (WHERE p_partkey > 0 AND length(p_name) BETWEEN 1 AND 200) FROM part
+SELECT 'trabajos', COUNT(*), COUNT(*) FILTER (WHERE {_VALID_JOB}),
+       COUNT(*) FILTER (WHERE {_VALID_JOB}) FROM part
 UNION ALL
 SELECT 'empleados_contratados', COUNT(*), COUNT(*) FILTER (WHERE {_VALID_HIRE}),
-       COUNT(*) FILTER (WHERE {_VALID_HIRE}) FROM orders
-""")
+       COUNT(*) FILTER (WHERE {_VALID_HIRE}) FROM {HIRES_SQL} h
+"""
+
+
+@register("json_batch_ingest", INGEST_SUMMARY_SQL)
 def json_batch_ingest(spark, sf):
     return run_json_ingest(spark, sf)[1].summary
 
 
-@register("json_ingest_table", f"SELECT {HIRES_SQL} FROM orders WHERE {_VALID_HIRE}")
+@register("json_ingest_table", f"SELECT * FROM {HIRES_SQL} h WHERE {_VALID_HIRE}")
 def json_ingest_table(spark, sf):
     store, _ = run_json_ingest(spark, sf)
     return store.read(SPECS[HIRES])
 
 
+@register("json_ingest_dimensions", f"""
+SELECT 'departamentos' AS tabla, CAST(c_custkey AS INTEGER) AS id, c_name AS nombre FROM customer WHERE {_VALID_DEPT}
+UNION ALL SELECT 'trabajos', CAST(p_partkey AS INTEGER), p_name FROM part WHERE {_VALID_JOB}
+""")
+def json_ingest_dimensions(spark, sf):
+    """The other two stored tables, row by row."""
+    store, _ = run_json_ingest(spark, sf)
+    return (store.read(SPECS[DEPARTMENTS]).select(F.lit(DEPARTMENTS).alias("tabla"), "id", F.col("departamento").alias("nombre"))
+            .unionAll(store.read(SPECS[JOBS]).select(F.lit(JOBS), "id", "trabajo")))
+
+
 def _pos(key: str) -> str:
     return f"row_number() OVER (PARTITION BY floor({key} / {PAYLOAD_GROUP}) ORDER BY {key}) - 1"
 
 
+def _fields_sql(source: str, tabla: str, *columns: tuple[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{tabla}' AS tabla, pos AS indice, 'modelo' AS etapa, '{name}' AS campo, 'greater_than' AS regla, "
+        f"CAST({column} AS VARCHAR) AS valor FROM {source} WHERE {column} <= 0" for column, name in columns)
+
+
 @register("json_ingest_errors", f"""
 WITH c AS (SELECT *, {_pos('c_custkey')} AS pos FROM customer),
      p AS (SELECT *, {_pos('p_partkey')} AS pos FROM part),
-     o AS (SELECT *, {_pos('o_orderkey')} AS pos FROM orders)
-SELECT 'departamentos' AS tabla, pos AS indice, 'modelo' AS etapa, 'id' AS campo,
-       'greater_than' AS regla, CAST(c_custkey AS VARCHAR) AS valor
-FROM c WHERE c_custkey <= 0
-UNION ALL
-SELECT 'trabajos', pos, 'modelo', 'id', 'greater_than', CAST(p_partkey AS VARCHAR)
-FROM p WHERE p_partkey <= 0
-UNION ALL
-SELECT 'empleados_contratados', pos, 'modelo', 'id', 'greater_than', CAST(o_orderkey AS VARCHAR)
-FROM o WHERE o_orderkey <= 0
-UNION ALL
-SELECT 'empleados_contratados', pos, 'modelo', 'id_departamento', 'greater_than',
-       CAST(o_custkey AS VARCHAR)
-FROM o WHERE o_custkey <= 0
-UNION ALL
-SELECT 'empleados_contratados', pos, 'calidad', 'id_departamento', 'fk_missing',
-       CAST(o_custkey AS VARCHAR)
-FROM o WHERE o_orderkey > 0 AND o_custkey > 0
-  AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE {_VALID_DEPT})
+     h AS (SELECT *, {_pos('id')} AS pos FROM {HIRES_SQL} x)
+{_fields_sql('c', 'departamentos', ('c_custkey', 'id'))}
+UNION ALL {_fields_sql('p', 'trabajos', ('p_partkey', 'id'))}
+UNION ALL {_fields_sql('h', 'empleados_contratados', ('id', 'id'), ('id_departamento', 'id_departamento'),
+                       ('id_trabajo', 'id_trabajo'))}
+UNION ALL SELECT 'empleados_contratados', pos, 'calidad', 'id_departamento', 'fk_missing', CAST(id_departamento AS VARCHAR)
+FROM h WHERE {_FIELDS_OK} AND NOT {_DEPT_OK}
+UNION ALL SELECT 'empleados_contratados', pos, 'calidad', 'id_trabajo', 'fk_missing', CAST(id_trabajo AS VARCHAR)
+FROM h WHERE {_FIELDS_OK} AND NOT {_JOB_OK}
 """)
 def json_ingest_errors(spark, sf):
     """Error rows of the ingest (``indice`` = position in the payload group)."""
@@ -209,6 +278,99 @@ def json_ingest_errors(spark, sf):
     return result.errors
 
 
+# --------------------------------------------------------------------------
+# Payloads that repeat ids, and rejected payloads (J2p, V5, F11, S6, T1)
+# --------------------------------------------------------------------------
+def _write_documents(spark, records: DataFrame, path: str, per: int) -> None:
+    """``(id, k, r)`` as JSON Lines: one departments group per ``per`` ids."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "k", "r"))), lambda x: x["r"])
+    (records.groupBy(F.floor(F.col("id") / per).alias("g")).agg(ordered.alias("rs"))
+     .select(F.concat(F.lit('{"departamentos": ['), F.array_join("rs", ", "), F.lit("]}")).alias("value"))
+     .write.text(path))
+
+
+def _repeating_ingest(spark, sf, on_duplicate: str):
+    """Three waves of payloads about the same departments, one after the
+    other: all of them; every third renamed; every fifth twice in one group."""
+    base = scratch_dir(spark, "repeating")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("id"), "s_name")
+
+    def records(df, prefix, times=1):
+        named = F.struct("id", F.concat(F.lit(prefix), F.col("k").cast("string"), F.lit(" "), F.col("s_name")).alias("departamento"))
+        return df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times)))).select("id", "k", F.to_json(named).alias("r"))
+
+    waves = ((records(s, "first"), "w1"), (records(s.where("id % 3 = 0"), "renamed"), "w2"),
+             (records(s.where("id % 5 = 0"), "twice", 2), "w3"))
+    for rows, name in waves:
+        _write_documents(spark, rows, f"{base}/{name}", 20)
+    store = _store(spark, "repeating-store")
+    paths = [f"{base}/{name}" for _, name in waves]
+    result = jobs.ingest_payloads(store, read_payloads(spark, paths, multi_line=False), on_duplicate=on_duplicate)
+    return store, result
+
+
+def _winner_sql(fifth: str) -> str:
+    return f"""SELECT CAST(s_suppkey AS INTEGER) AS id,
+  CASE {fifth} WHEN s_suppkey % 3 = 0 THEN 'renamed1 ' ELSE 'first1 ' END || s_name AS departamento
+FROM supplier WHERE s_suppkey > 0"""
+
+
+@register("ingest_repeated_ids", _winner_sql(""))
+def ingest_repeated_ids(spark, sf):
+    """V5: an id twice in one group fails that group alone; the same id in a
+    later payload replaces the row."""
+    return _repeating_ingest(spark, sf, "error")[0].read(SPECS[DEPARTMENTS])
+
+
+@register("ingest_repeated_last", _winner_sql("WHEN s_suppkey % 5 = 0 THEN 'twice2 '"))
+def ingest_repeated_last(spark, sf):
+    """With the policy "last", the last occurrence in the latest payload wins."""
+    return _repeating_ingest(spark, sf, "last")[0].read(SPECS[DEPARTMENTS])
+
+
+@register("ingest_repeated_errors", """
+SELECT 'departamentos' AS tabla, 2 * row_number() OVER (PARTITION BY floor(s_suppkey / 20) ORDER BY s_suppkey)
+         - 1 + CASE WHEN s_suppkey < 20 AND z THEN 2 ELSE 0 END AS indice,
+       'carga' AS etapa, 'id' AS campo, 'duplicate_key' AS regla, CAST(s_suppkey AS VARCHAR) AS valor
+FROM supplier, (SELECT count(*) > 0 AS z FROM supplier WHERE s_suppkey = 0) WHERE s_suppkey % 5 = 0 AND s_suppkey > 0
+""")
+def ingest_repeated_errors(spark, sf):
+    """One error row per repeated id, at its last position in the group (an
+    invalid id 0 before it takes two places)."""
+    return _repeating_ingest(spark, sf, "error")[1].errors.where("etapa = 'carga'")
+
+
+REJECT_MAX = 3
+
+
+@register("ingest_rejected", f"""
+WITH n AS (SELECT n_nationkey % 7 AS k FROM nation)
+SELECT CASE k WHEN 2 THEN 'no known table group' WHEN 3 THEN 'unknown table' WHEN 4 THEN 'group too small'
+            WHEN 5 THEN 'group too large' ELSE 'group is not a list or document is not valid JSON' END AS motivo, COUNT(*) AS n
+FROM n WHERE k BETWEEN 2 AND 6 GROUP BY 1
+UNION ALL SELECT 'registros departamentos', COUNT(*) FROM n WHERE k = 1
+UNION ALL SELECT 'registros trabajos', COUNT(*) + COUNT(*) FILTER (WHERE k = 1) FROM n WHERE k IN (0, 1)
+""")
+def ingest_rejected(spark, sf):
+    """One document per nation, of seven forms: a single group, two
+    groups and an unknown key, none known, an unknown table, none, too many
+    records, no list.  Why payloads are rejected, and the records of the rest."""
+    k, key = F.col("n_nationkey") % 7, F.col("n_nationkey").cast("string")
+    rec = F.concat(F.lit('{"id": '), key, F.lit(', "trabajo": "x"}'))
+    forms = (("{\"tabla\": \"trabajos\", \"registros\": [", rec, "]}"),
+             ('{"departamentos": [', rec, '], "trabajos": [', rec, ", ", rec, '], "otro": [1]}'),
+             ('{"otro": [', rec, "]}"), ('{"tabla": "nada", "registros": [', rec, "]}"), ('{"departamentos": []}',),
+             ('{"trabajos": [', *[rec, ", "] * REJECT_MAX, rec, "]}"), ('{"tabla": "trabajos", "registros": ', rec, "}"))
+    value = F.lit(None).cast("string")
+    for i, parts in enumerate(forms):
+        value = F.when(k == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(value)
+    path = scratch_dir(spark, "rejected")
+    table(spark, sf, "nation").select(value.alias("value")).write.text(path)
+    p = payload_records(read_payloads(spark, path, multi_line=False), max_rows=REJECT_MAX)
+    return (p.rejected.groupBy("motivo").agg(F.count("*").alias("n"))
+            .unionAll(p.records.groupBy(F.concat(F.lit("registros "), F.col("tabla"))).agg(F.count("*"))))
+
+
 # --------------------------------------------------------------------------
 # Upsert (W7-W9, J7)
 # --------------------------------------------------------------------------
@@ -217,11 +379,9 @@ TARGET_END = "1997-01-01 00:00:00"     # target: orders before this date
 
 
 @register("upsert", f"""
-SELECT CAST(o_orderkey AS INTEGER) AS id,
-       CASE WHEN o_orderdate >= TIMESTAMP '{UPSERT_SPLIT}' THEN o_orderstatus ELSE o_orderpriority END AS nombre,
-       o_orderdate AS fecha_hora, CAST(o_custkey AS INTEGER) AS id_departamento,
-       CAST(NULL AS INTEGER) AS id_trabajo
-FROM orders
+SELECT id, CASE WHEN fecha_hora >= TIMESTAMP '{UPSERT_SPLIT}' THEN o_orderstatus ELSE nombre END AS nombre,
+       fecha_hora, id_departamento, id_trabajo
+FROM {HIRES_SQL} h JOIN orders ON o_orderkey = id
 """)
 def upsert(spark, sf):
     """Load the older orders, then upsert the newer ones (overlapping half
@@ -240,6 +400,29 @@ def upsert(spark, sf):
     return store.read(spec)
 
 
+@register("upsert_reopened", f"""
+WITH h AS (SELECT * FROM {HIRES_SQL} x),
+second AS (SELECT id, NULL AS nombre, fecha_hora, NULL AS id_departamento, id_trabajo FROM h WHERE id % 3 = 0),
+third AS (SELECT id, 'third' AS nombre, fecha_hora, id_departamento, NULL AS id_trabajo FROM h WHERE id % 4 = 0)
+SELECT * FROM third
+UNION ALL SELECT * FROM second WHERE id NOT IN (SELECT id FROM third)
+UNION ALL SELECT * FROM h WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM third) AND id NOT IN (SELECT id FROM second)
+""")
+def upsert_reopened(spark, sf):
+    """Three stores of different bucket counts on one table: one creates it,
+    the others open it again and upsert, also NULLs over values."""
+    root, spec = scratch_dir(spark, "reopened-store"), SPECS[HIRES]
+    h = hires_rows(spark, sf)
+    none = lambda c: F.lit(None).cast(h.schema[c].dataType)
+    first = TableStore(spark, root, default_buckets=8)
+    first.create_if_missing(spec)
+    TableStore(spark, root, default_buckets=3).upsert(spec, h.where("id % 2 = 0"))
+    TableStore(spark, root, default_buckets=5).upsert(
+        spec, h.where("id % 3 = 0").withColumns({c: none(c) for c in ("nombre", "id_departamento")}))
+    first.upsert(spec, h.where("id % 4 = 0").withColumns({"nombre": F.lit("third"), "id_trabajo": none("id_trabajo")}))
+    return TableStore(spark, root, default_buckets=2).read(spec)
+
+
 # --------------------------------------------------------------------------
 # Backup -> guarded wipe -> restore (W1, W3, W10, S4, J3p) and catalog
 # --------------------------------------------------------------------------
@@ -260,9 +443,12 @@ def _backup_wipe_restore(spark, sf):
     return store, result
 
 
-@register("backup_restore_parquet", f"""
-SELECT {HIRES_SQL} FROM orders WHERE o_orderkey > 0 AND (o_custkey IS NULL OR o_custkey > 0)
-""")
+# A restore is checked against the stored dimensions, which hold every id.
+_RESTORED = (f"{_FIELDS_OK} AND (id_departamento IS NULL OR id_departamento IN (SELECT c_custkey FROM customer)) "
+             "AND (id_trabajo IS NULL OR id_trabajo IN (SELECT p_partkey FROM part))")
+
+
+@register("backup_restore_parquet", f"SELECT * FROM {HIRES_SQL} h WHERE {_RESTORED}")
 def backup_restore_parquet(spark, sf):
     """Backup the hires, wipe them (guarded by that backup), restore: the
     rows that pass the restore's rules come back unchanged."""
@@ -270,19 +456,32 @@ def backup_restore_parquet(spark, sf):
     return store.read(SPECS[HIRES])
 
 
-@register("restore_summary", """
-SELECT 'empleados_contratados' AS tabla,
-       COUNT(*) FILTER (WHERE o_orderkey > 0 AND (o_custkey IS NULL OR o_custkey > 0)) AS restaurados,
-       COUNT(*) AS recibidos,
-       COUNT(*) FILTER (WHERE o_orderkey > 0 AND (o_custkey IS NULL OR o_custkey > 0)) AS validos
-FROM orders
+@register("restore_summary", f"""
+SELECT 'empleados_contratados' AS tabla, COUNT(*) FILTER (WHERE {_RESTORED}) AS restaurados,
+       COUNT(*) AS recibidos, COUNT(*) FILTER (WHERE {_RESTORED}) AS validos
+FROM {HIRES_SQL} h
 """)
 def restore_summary(spark, sf):
     return _backup_wipe_restore(spark, sf)[1].summary
 
 
-@register("wipe_guarded", """
-SELECT 'empleados_contratados' AS tabla, COUNT(*) AS borrados FROM orders
+@register("restore_error_positions", f"""
+SELECT COUNT(*) AS filas, COUNT(DISTINCT id) AS posiciones, true AS dentro
+FROM {HIRES_SQL} h WHERE NOT ({_RESTORED})
+""")
+def restore_error_positions(spark, sf):
+    """Every row that a restore refuses has a position of its own, within the
+    backup (rows of a distributed backup have no order that SQL knows)."""
+    _, result = _backup_wipe_restore(spark, sf)
+    n = F.lit(result.summary.first()["recibidos"])
+    return result.errors.groupBy("indice").agg(F.count("*").alias("e")).agg(
+        F.count("*").alias("filas"), F.count_distinct("indice").alias("posiciones"),
+        F.coalesce((F.min("indice") >= 0) & (F.max("indice") < n), F.lit(True)).alias("dentro"))
+
+
+@register("wipe_guarded", f"""
+SELECT 'empleados_contratados' AS tabla, COUNT(*) AS borrados, 1 AS total_archivos,
+       'empleados_contratados_{BACKUP_CLOCK.strftime(BACKUP_STAMP)}.parquet' AS respaldos FROM orders
 """)
 def wipe_guarded(spark, sf):
     """Back up the hires, then wipe them; the guard finds that day's
@@ -293,8 +492,8 @@ def wipe_guarded(spark, sf):
     return jobs.wipe_table(store, HIRES, directory, only_today=True, today=BACKUP_CLOCK.date())
 
 
-_STAMP = BACKUP_CLOCK.strftime("%Y%m%d_%H%M%S")
-_DAY = BACKUP_CLOCK.strftime("%Y%m%d")
+_STAMP = BACKUP_CLOCK.strftime(BACKUP_STAMP)
+_DAY = BACKUP_CLOCK.strftime(BACKUP_DAY)
 
 
 @register("backup_catalog", " UNION ALL ".join(
@@ -360,18 +559,40 @@ def _full_load(spark, sf):
     return jobs.full_load(store, f"{base}/departments", f"{base}/jobs", _hires_csv(spark, sf))
 
 
-@register("full_load_counts", """
-SELECT 'departamentos' AS tabla, COUNT(*) AS registros FROM supplier
-UNION ALL SELECT 'trabajos', COUNT(*) FROM part
-UNION ALL SELECT 'empleados_contratados', COUNT(*) FROM orders WHERE o_orderkey % 9 <> 0
+_LOADED_SQL = "o_orderkey % 9 <> 0 AND o_custkey IN (SELECT s_suppkey FROM supplier)"
+
+
+@register("full_load_counts", f"""
+SELECT 'departamentos' AS tabla, COUNT(*) AS registros FROM supplier WHERE length(s_name) <= 50
+UNION ALL SELECT 'trabajos', COUNT(*) FROM part WHERE length(p_name) <= 200
+UNION ALL SELECT 'empleados_contratados', COUNT(*) FROM orders WHERE {_LOADED_SQL}
 """)
 def full_load_counts(spark, sf):
-    """Load departments, jobs and hires from CSV into fresh tables, then
-    count each table (the loader's report)."""
+    """Load departments (the suppliers), jobs and hires from CSV into fresh
+    tables, then count each table (the loader's report).  Hires of customers
+    who are no supplier point to no department and aren't loaded."""
     return _full_load(spark, sf).counts
 
 
-@register("full_load_preview")
+@register("full_load_errors", """
+SELECT 'csv' AS etapa, 'id_trabajo' AS campo, 'int_parsing' AS regla, COUNT(*) AS n FROM orders WHERE o_orderkey % 9 = 0
+UNION ALL
+SELECT 'calidad', 'id_departamento', 'fk_missing', COUNT(*) FROM orders
+WHERE o_orderkey % 9 <> 0 AND o_custkey NOT IN (SELECT s_suppkey FROM supplier)
+""")
+def full_load_errors(spark, sf):
+    return _full_load(spark, sf).errors.groupBy("etapa", "campo", "regla").agg(F.count("*").alias("n"))
+
+
+@register("full_load_preview", f"""
+SELECT LEAST(5, COUNT(*)) AS filas, LEAST(5, COUNT(*)) AS cargadas FROM orders WHERE {_LOADED_SQL}
+""")
 def full_load_preview(spark, sf):
-    """L1: five rows of the loaded hires, no order (row count only)."""
-    return _full_load(spark, sf).preview
+    """L1: the preview's five rows of the loaded hires (no order), and how many
+    of them are rows of the orders."""
+    preview = _full_load(spark, sf).preview
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("int").alias("id"), F.col("o_custkey").cast("int").alias("id_departamento"),
+        F.col("o_orderpriority").alias("nombre"), F.lit(True).alias("found"))
+    return preview.join(orders, ["id", "id_departamento", "nombre"], "left").agg(
+        F.count("*").alias("filas"), F.count("found").alias("cargadas"))

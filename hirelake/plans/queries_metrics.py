@@ -12,41 +12,33 @@ from hirelake.plans.tables import (LINEITEM_STAR, NULL_KEYS_SQL, REPORT_YEAR,
 
 Y = REPORT_YEAR
 
-_Q_SUMS = ",\n".join(
-    f"  CAST(SUM(CASE WHEN month(l.l_shipdate) BETWEEN {3 * i - 2} AND {3 * i} THEN 1 ELSE 0 END)"
-    f" AS BIGINT) AS q{i}" for i in range(1, 5))
-
-QUARTERLY_SQL = f"""
-SELECT s.s_name AS department, p.p_name AS job,
-{_Q_SUMS}
-FROM lineitem l
-JOIN supplier s ON l.l_suppkey = s.s_suppkey
-JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_shipdate IS NOT NULL AND year(l.l_shipdate) = {Y}
-GROUP BY s.s_name, p.p_name
-"""
+# Names of a hire's department and job, by scalar lookups on the unique keys.
+_NAMED = """SELECT quarter(l_shipdate) AS q,
+    (SELECT s_name FROM supplier WHERE s_suppkey = l_suppkey) AS d,
+    (SELECT p_name FROM part WHERE p_partkey = l_partkey) AS j
+  FROM {fact} WHERE l_shipdate >= TIMESTAMP '{y}-01-01' AND l_shipdate < TIMESTAMP '{z}-01-01'"""
 
-QUARTERLY_NULLS_SQL = f"""
-SELECT COALESCE(s.s_name, '{UNASSIGNED}') AS department,
-       COALESCE(p.p_name, '{UNASSIGNED}') AS job,
-{_Q_SUMS}
-FROM {NULL_KEYS_SQL} l
-LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
-LEFT JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_shipdate IS NOT NULL AND year(l.l_shipdate) = {Y}
-GROUP BY 1, 2
-"""
 
-HIRES_CTE = f"""hires AS (
-  SELECT s.s_suppkey AS id, s.s_name AS department, COUNT(l.l_orderkey) AS hired
-  FROM supplier s
-  LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey
-    AND l.l_shipdate IS NOT NULL AND year(l.l_shipdate) = {Y}
-  GROUP BY s.s_suppkey, s.s_name)"""
+def _pivot_sql(fact: str, department: str, job: str, keep: str) -> str:
+    quarters = ", ".join(f"count(*) FILTER (q = {i}) AS q{i}" for i in range(1, 5))
+    return (f"SELECT {department} AS department, {job} AS job, {quarters} "
+            f"FROM ({_NAMED.format(fact=fact, y=Y, z=Y + 1)}) named WHERE {keep} GROUP BY 1, 2")
+
+
+QUARTERLY_SQL = _pivot_sql("lineitem", "d", "j", "d IS NOT NULL AND j IS NOT NULL")
+QUARTERLY_NULLS_SQL = _pivot_sql(f"{NULL_KEYS_SQL} nulled", f"ifnull(d, '{UNASSIGNED}')", f"ifnull(j, '{UNASSIGNED}')", "true")
+
+# Every department with its number of hires of the year, zero included.
+PER_DEPARTMENT_SQL = f"""
+SELECT s_suppkey AS id, s_name AS department,
+       (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey AND year(l_shipdate) = {Y}) AS hired
+FROM supplier"""
+HIRES_CTE = f"hires AS ({PER_DEPARTMENT_SQL})"
 
 ABOVE_SQL = f"""
-WITH {HIRES_CTE}, avg_h AS (SELECT AVG(hired) AS avg_hired FROM hires)
-SELECT id, department, hired FROM hires, avg_h WHERE hired > avg_hired
+SELECT id, department, hired FROM (
+  SELECT *, sum(hired) OVER () AS total, count(*) OVER () AS n FROM ({PER_DEPARTMENT_SQL}) x) y
+WHERE hired * n > total
 """
 
 

@@ -131,6 +131,42 @@ def validate_fact(spark, sf):
     return validate.error_rows(_validated_hires(spark, sf), HIRES, "modelo")
 
 
+# --- coercion: number and date spellings ------------------------------------
+# (spelling of the number n, error code or None) by event_id % length.
+NUMBERS = (("{n}", None), ("{n}.0", None), ("{n}.0000001", "int_from_float"), ("{n}e0", None),
+           ("0.0000001", "int_from_float"), ("{n}.5", "int_from_float"), ("-{n}", "greater_than"),
+           ("1e40", "int_parsing"), ("true", "int_type"))
+DATES = (("2021-07-27T16:02:08", True), ("2021-07-27 16:02:08.25", True), ("2021-07-27", True), ("2021-07-27T16:02", True),
+         ("2021", False), ("2021-07", False), ("2021-7-2", False), ("+12021-01-01", False), ("2021-07-27T16:02:08 UTC", False),
+         ("2021-07-27T16:02:08 Europe/Madrid", False), ("2021-07-27T16:02:08GMT+8", False), ("2021-02-30", False),
+         ("2021-07-27T16:02:08Z", False), ("16:02:08", False))
+_CYCLE = len(NUMBERS)
+
+
+_CODES = " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(NUMBERS) if c)
+_BAD_DATES = ", ".join(str(i) for i, (_, ok) in enumerate(DATES) if not ok)
+
+
+@register("coercion_errors", f"""
+SELECT event_id AS indice, 'id' AS campo, CASE event_id % {_CYCLE} {_CODES} END AS regla
+FROM events WHERE CASE event_id % {_CYCLE} {_CODES} END IS NOT NULL
+UNION ALL
+SELECT event_id, 'fecha_hora', 'datetime_parsing' FROM events WHERE event_id % {len(DATES)} IN ({_BAD_DATES})
+""")
+def coercion_errors(spark, sf):
+    """V1, P5: which spellings of whole numbers and ISO dates pass."""
+    k = F.col("event_id")
+    number, date = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (form, _) in enumerate(NUMBERS):
+        number = F.when(k % _CYCLE == i, F.replace(F.lit(form), F.lit("{n}"), (k + 1).cast("string"))).otherwise(number)
+    for i, (text, _) in enumerate(DATES):
+        date = F.when(k % len(DATES) == i, F.lit(text)).otherwise(date)
+    raw = _record(_member("id", number), _member("fecha_hora", json_text(date)))
+    rows = table(spark, sf, "events").select(k.alias("indice"), raw.alias("raw"))
+    return validate.error_rows(validate.validate_json(rows, "raw", table_spec(HIRES)), HIRES, "modelo") \
+        .select("indice", "campo", "regla")
+
+
 @register("validate_fact_rows", f"""
 SELECT CAST(o_orderkey AS INTEGER) AS id,
        CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_orderpriority END AS nombre,

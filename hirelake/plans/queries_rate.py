@@ -3,9 +3,10 @@ payloads built from the driver's tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from hirelake.operators import rate
-from hirelake.plans.queries_io import (_VALID_DEPT, _VALID_HIRE, _store, write_payloads)
+from hirelake.plans.queries_io import INGEST_SUMMARY_SQL, _store, write_payloads
 from hirelake.plans.registry import register
 from hirelake.plans.tables import table
 from hirelake.session import scratch_dir
@@ -65,17 +66,69 @@ def throttle_flags(spark, sf):
                                THROTTLE_MAX).select("event_id", "ok")
 
 
+_NULLS_SQL = """(SELECT event_id, CASE WHEN user_id % 10 <> 3 THEN user_id END AS user_id,
+    CASE WHEN event_id % 7 <> 2 THEN ts END AS ts FROM events)"""
+NULL_KEYS_SQL = f"""
+SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts
+                 RANGE BETWEEN INTERVAL {TRAILING_SECONDS} SECOND PRECEDING AND CURRENT ROW) AS n
+FROM {_NULLS_SQL} e WHERE ts IS NOT NULL
+UNION ALL
+SELECT event_id, COUNT(*) OVER (PARTITION BY user_id) AS n FROM {_NULLS_SQL} e WHERE ts IS NULL
+"""
+
+
+def _with_nulls(spark, sf):
+    """Events of which some have no user (one key) and some no time."""
+    return table(spark, sf, "events").select(
+        "event_id", F.when(F.col("user_id") % 10 != 3, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_id") % 7 != 2, F.col("ts")).alias("ts"))
+
+
+@register("trailing_rate_null_keys", NULL_KEYS_SQL)
+def trailing_rate_null_keys(spark, sf):
+    """T3 keeps rows without a key or a time, by windows ..."""
+    return rate.trailing_count(_with_nulls(spark, sf), "user_id", "ts", TRAILING_SECONDS).select("event_id", "n")
+
+
+@register("trailing_rate_ranks_null_keys", NULL_KEYS_SQL)
+def trailing_rate_ranks_null_keys(spark, sf):
+    """... and by ranks."""
+    return rate.trailing_count(_with_nulls(spark, sf), "user_id", "ts", TRAILING_SECONDS,
+                               method="ranks").select("event_id", "n")
+
+
+STREAM_FILES = 5                 # micro-batches of the stream query
+STREAM_DISORDER_SECONDS = 3600   # how far events of one time are spread over them
+
+
+def write_event_log(spark, sf) -> str:
+    """``events`` as a log of ``STREAM_FILES`` files by time, where every
+    event is up to an hour late, and a heartbeat after them."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    us = rate.epoch_micros("ts")
+    late = us + (F.col("event_id") * 7919 % STREAM_DISORDER_SECONDS) * 1_000_000
+    span = ev.agg(F.min(us).alias("a"), F.max(us).alias("b")).first()
+    width = (span["b"] - span["a"] + STREAM_DISORDER_SECONDS * 1_000_000) // STREAM_FILES + 1
+    path = scratch_dir(spark, "events-src")
+    part = F.least(F.floor((late - span["a"]) / width), F.lit(STREAM_FILES - 1))
+    for k in range(STREAM_FILES):
+        ev.where(part == k).write.mode("append").parquet(path)
+    beat = F.timestamp_micros(F.lit(span["b"] + 3 * _W_US)).cast("timestamp_ntz")
+    spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"),
+                          beat.alias("ts")).write.mode("append").parquet(path)
+    return path
+
+
 @register("throttle_stream", THROTTLE_SQL)
 def throttle_stream_query(spark, sf):
-    """T2 as a stream over the events log (copied once into a stream
-    source folder), drained with availableNow into a Parquet sink."""
-    ev = table(spark, sf, "events")
-    src = scratch_dir(spark, "events-src")
-    ev.write.parquet(src)
+    """T2 as a stream over a log whose files arrive out of order within an
+    hour, one file a micro-batch, drained into a Parquet sink."""
+    src = write_event_log(spark, sf)
     out = scratch_dir(spark, "throttle-out")
-    stream = spark.readStream.schema(ev.schema).parquet(src)
+    schema = table(spark, sf, "events").select("event_id", "user_id", "ts").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     flags = throttle_stream(stream, "user_id", "ts", "event_id", THROTTLE_SECONDS, THROTTLE_MAX,
-                            lateness=f"{THROTTLE_SECONDS} seconds")
+                            lateness=f"{STREAM_DISORDER_SECONDS + 1} seconds")
     # The state store has one partition per shuffle partition, fixed when the
     # query first starts (the conf is read at start): size it to the cores.
     key = "spark.sql.shuffle.partitions"
@@ -88,20 +141,10 @@ def throttle_stream_query(spark, sf):
     finally:
         spark.conf.set(key, before)
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/data").select("event_id", "ok")
+    return spark.read.parquet(f"{out}/data").where("event_id >= 0").select("event_id", "ok")
 
 
-@register("stream_ingest", f"""
-SELECT 'departamentos' AS tabla, COUNT(*) AS recibidos,
-       COUNT(*) FILTER (WHERE {_VALID_DEPT}) AS validos,
-       COUNT(*) FILTER (WHERE {_VALID_DEPT}) AS upsert FROM customer
-UNION ALL
-SELECT 'trabajos', COUNT(*), COUNT(*) FILTER (WHERE p_partkey > 0 AND length(p_name) BETWEEN 1 AND 200),
-       COUNT(*) FILTER (WHERE p_partkey > 0 AND length(p_name) BETWEEN 1 AND 200) FROM part
-UNION ALL
-SELECT 'empleados_contratados', COUNT(*), COUNT(*) FILTER (WHERE {_VALID_HIRE}),
-       COUNT(*) FILTER (WHERE {_VALID_HIRE}) FROM orders
-""")
+@register("stream_ingest", INGEST_SUMMARY_SQL)
 def stream_ingest(spark, sf):
     """The payload files consumed as a stream (one availableNow run)."""
     source = write_payloads(spark, sf)

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hirelake.session import list_names
-from hirelake.spec import BACKUP_FORMATS, TableSpec, table_spec
+from hirelake.spec import BACKUP_FORMATS, BACKUP_NAME, TableSpec, table_spec
 
 CATALOG_SCHEMA = "tabla string, archivo string, ruta string, fecha string, formato string"
 
@@ -41,8 +41,28 @@ def read_backup(spark: SparkSession, path: str, spec: TableSpec, fmt: str) -> Da
     return spark.read.schema(spec.backup_schema).format(fmt).load(path)
 
 
+def read_backup_positions(spark: SparkSession, path: str, spec: TableSpec, fmt: str) -> DataFrame:
+    """The rows of one backup with ``indice``, their position in it: part files
+    in name order, rows in file order.  Only one count per part file is
+    gathered.  Avro files give no row numbers; rows keep the order of the scan."""
+    rows = read_backup(spark, path, spec, fmt)
+    if fmt != "parquet":
+        return rows.withColumn("indice", F.monotonically_increasing_id())
+    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_file").select(*spec.columns, (F.col("_start") + F.col("_row")).alias("indice"))
+
+
+def backup_totals(listed: DataFrame) -> DataFrame:
+    """Whether a listing has any backup, and how many files."""
+    n = F.count(F.lit(1))
+    return listed.agg((n > 0).alias("existen"), n.alias("total_archivos"))
+
+
 def _entry_pattern(tabla: str) -> str:
-    return rf"^{re.escape(tabla)}_(\d{{8}})_\d{{6}}\.(avro|parquet)$"
+    return "^" + re.escape(tabla) + BACKUP_NAME
 
 
 def list_backups(spark: SparkSession, directory: str, tabla: str,

@@ -10,8 +10,11 @@ Two files, two rules, as the historical loader has them:
   NULL but keeps the row, while a bad integer or a short row drops it.
 
 Dropped rows are not lost: they come back as error rows (``etapa`` =
-"csv") next to the loaded rows.  The scan is an ordinary splittable CSV
-read, so a file of any size is read in parallel.
+"csv") next to the loaded rows.
+
+Quoted fields may hold commas and line breaks.  A file that may hold line
+breaks is one task's work, however large; ``multi_line=False`` reads files
+known to have none in parallel splits.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.functions.scalar import blank_to_null, csv_int, csv_timestamp, is_blank, strip_ws
+from hirelake.functions.scalar import blank_to_null, csv_int, csv_timestamp, is_blank
 from hirelake.operators.validate import ERROR_COLUMNS
 from hirelake.spec import TableSpec
 
@@ -34,22 +37,21 @@ class CsvLoad:
     errors: DataFrame    # tabla, indice, etapa, campo, regla, valor
 
 
-def _raw(spark: SparkSession, path, spec: TableSpec, header: bool) -> DataFrame:
+def _raw(spark: SparkSession, path, spec: TableSpec, header: bool, multi_line: bool) -> DataFrame:
     """All fields as text.  The parser flags a row whose field count differs
     from the schema in ``_corrupt`` (and still fills the fields)."""
     schema = ", ".join(f"`{c}` string" for c in spec.columns) + f", {CORRUPT} string"
     return (spark.read.schema(schema)
-            .option("header", header).option("encoding", "UTF-8")
+            .option("header", header).option("encoding", "UTF-8").option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .csv(path))
+            .csv(path).withColumn("_line", _line(spec)))
 
 
-def _field_count(text):
-    """Fields of a CSV line: quoted sections are collapsed first, so a
-    comma inside quotes does not count."""
-    return F.size(F.split(F.regexp_replace(text, r'"([^"]|"")*"', "q"), ","))
+def _fields(text):
+    """The fields of a CSV record as written: split at commas outside quotes."""
+    return F.split(text, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
 
 
 def _shape(spec: TableSpec):
@@ -59,12 +61,12 @@ def _shape(spec: TableSpec):
     all_fields = F.length(F.concat_ws(",", *[F.col(c) for c in spec.columns])) >= 0
     bad = F.col(CORRUPT).isNotNull() & all_fields
     k = len(spec.columns)
-    return bad & (_field_count(F.col(CORRUPT)) < k), bad & (_field_count(F.col(CORRUPT)) > k)
+    return bad & (F.size(_fields(F.col(CORRUPT))) < k), bad & (F.size(_fields(F.col(CORRUPT))) > k)
 
 
 def _line(spec: TableSpec):
     """The row as read, for error reports."""
-    return F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.col(c) for c in spec.columns]))
+    return F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in spec.columns]))
 
 
 def _errors(df: DataFrame, spec: TableSpec, campo, regla, valor) -> DataFrame:
@@ -74,37 +76,35 @@ def _errors(df: DataFrame, spec: TableSpec, campo, regla, valor) -> DataFrame:
                      as_col(regla).alias("regla"), valor.cast("string").alias("valor"))
 
 
-def read_dimension_csv(spark: SparkSession, path, spec: TableSpec) -> CsvLoad:
+def read_dimension_csv(spark: SparkSession, path, spec: TableSpec, multi_line: bool = True) -> CsvLoad:
     """S1 + F3 + P3 for a two-column dimension file."""
     key, name = spec.columns[0], spec.columns[1]
-    raw = _raw(spark, path, spec, header=False)
+    raw = _raw(spark, path, spec, header=False, multi_line=multi_line)
     short, long = _shape(spec)
     # Every field must be non-blank, a long row's extra fields included.
-    blank = is_blank(key) | is_blank(name) | (long & F.col(CORRUPT).rlike(r"(^|,)\s*(,|$)"))
+    extra = F.exists(_fields(F.col(CORRUPT)), lambda f: is_blank(F.regexp_replace(f, r'^"|"$', "")))
+    blank = is_blank(key) | is_blank(name) | (long & extra)
     typed = raw.withColumn("_id", csv_int(key))
     keep = ~short & ~blank
     rows = (typed.where(keep & F.col("_id").isNotNull())
             .select(F.col("_id").alias(key), F.col(name)))
-    errs = _errors(typed.where(short & ~is_blank(key)), spec, "__root__", "short_row", _line(spec)) \
+    errs = _errors(typed.where(short & ~is_blank(key)), spec, "__root__", "short_row", F.col("_line")) \
         .unionByName(_errors(typed.where(keep & F.col("_id").isNull()), spec, key, "int_parsing",
-                             F.col(key)))
+                             F.col("_line")))
     return CsvLoad(rows, errs.select(*ERROR_COLUMNS))
 
 
-def read_hires_csv(spark: SparkSession, path, spec: TableSpec) -> CsvLoad:
+def read_hires_csv(spark: SparkSession, path, spec: TableSpec, multi_line: bool = True) -> CsvLoad:
     """S2 + F4 + P3/P4/P11 for the hires file (five columns, header line)."""
     cols = spec.columns
-    raw = _raw(spark, path, spec, header=True).withColumn("_short", _shape(spec)[0])
+    raw = _raw(spark, path, spec, header=True, multi_line=multi_line).withColumn("_short", _shape(spec)[0])
     trimmed = raw.withColumns({c: blank_to_null(c) for c in cols})
     present = trimmed.where(F.col(cols[0]).isNotNull())
     ints = [f.name for f in spec.fields if f.kind == "int"]
     parsed = present.withColumns({f"_i_{c}": csv_int(c) for c in ints})
-    bad_int = None
-    for c in ints:
-        broken = F.col(c).isNotNull() & F.col(f"_i_{c}").isNull()
-        bad_int = broken if bad_int is None else (bad_int | broken)
+    broken = {c: F.col(c).isNotNull() & F.col(f"_i_{c}").isNull() for c in ints}
     short = F.col("_short")
-    ok = ~short & ~bad_int
+    bad_ints = F.array_compact(F.array(*[F.when(b, F.lit(c)) for c, b in broken.items()]))
     out = {}
     for f in spec.fields:
         if f.kind == "int":
@@ -113,13 +113,12 @@ def read_hires_csv(spark: SparkSession, path, spec: TableSpec) -> CsvLoad:
             out[f.name] = csv_timestamp(f.name)
         else:
             out[f.name] = F.col(f.name)
-    rows = parsed.where(ok).select(*[out[c].alias(c) for c in cols])
-    first_bad = F.coalesce(*[F.when(F.col(c).isNotNull() & F.col(f"_i_{c}").isNull(), F.lit(c))
-                             for c in ints])
-    errs = _errors(parsed.where(short | bad_int), spec,
-                   F.when(short, F.lit("__root__")).otherwise(first_bad),
-                   F.when(short, F.lit("short_row")).otherwise(F.lit("int_parsing")),
-                   F.when(short, _line(spec)).otherwise(F.col(cols[0])))
+    rows = parsed.where(~short & (F.size(bad_ints) == 0)).select(*[out[c].alias(c) for c in cols])
+    # One error per bad field; a short row is one error.
+    fields = F.when(short, F.array(F.lit("__root__"))).otherwise(bad_ints)
+    errs = parsed.select("_line", "_short", F.explode(fields).alias("_campo"))
+    errs = _errors(errs, spec, F.col("_campo"), F.when(short, F.lit("short_row")).otherwise(F.lit("int_parsing")),
+                   F.col("_line"))
     return CsvLoad(rows, errs)
 
 
@@ -127,7 +126,5 @@ def write_csv(df: DataFrame, path: str, header: bool) -> None:
     """Write rows as CSV in the intake's format (used to round-trip tables)."""
     (df.write.mode("errorifexists").option("header", header)
      .option("quote", '"').option("escape", '"').option("nullValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("emptyValue", "").csv(path))
-
-
-__all__ = ["CsvLoad", "read_dimension_csv", "read_hires_csv", "write_csv", "strip_ws"]

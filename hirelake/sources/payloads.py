@@ -7,7 +7,9 @@ element verbatim), so validation can tell a number from a string and an
 object from anything else.  Unknown keys are ignored by the schema.
 
 ``payload_records`` turns any number of payload files into one long
-DataFrame (payload, tabla, indice, raw) with ``posexplode``; payload-level
+DataFrame (payload, orden, tabla, indice, raw) with ``posexplode``; ``orden`` is
+the payload's place in the order of arrival (file time, path, place in
+the file).  Payload-level
 problems (a group that is not a list, a group outside 1..1000 records, no
 known group) reject the whole payload, as the service does before writing
 anything.
@@ -30,23 +32,36 @@ PAYLOAD_SCHEMA = ("tabla string, registros array<string>, "
 
 @dataclass
 class Payloads:
-    records: DataFrame   # payload, tabla, indice, raw  (accepted payloads only)
+    records: DataFrame   # payload, orden, tabla, indice, raw  (accepted payloads only)
     rejected: DataFrame  # payload, motivo
 
 
+GROUPS = ["tabla", "registros", *TABLE_ORDER, CORRUPT]
+
+
+def with_source(df: DataFrame) -> DataFrame:
+    """Add what tells the order of arrival of file payloads."""
+    return df.withColumns({"_time": F.col("_metadata.file_modification_time"), "_path": F.col("_metadata.file_path"),
+                           "_block": F.col("_metadata.file_block_start")})
+
+
+def with_order(df: DataFrame, multi_line: bool) -> DataFrame:
+    """Add ``payload`` (the document's name: its file, plus a content hash for
+    JSON Lines) and ``orden`` to payloads with their source."""
+    name = F.col("_path") if multi_line else F.concat_ws("#", "_path", F.xxhash64(*GROUPS).cast("string"))
+    # Rows of one split keep the file's order, and splits of a file that of their offsets.
+    order = F.struct(F.col("_time").alias("t"), F.col("_path").alias("f"), F.col("_block").alias("b"),
+                     F.monotonically_increasing_id().alias("i"))
+    return df.withColumns({"payload": name, "orden": order}).drop("_time", "_path", "_block")
+
+
 def read_payloads(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """One row per payload: one document per file (``multi_line``), or one
-    document per line (JSON Lines, the scalable layout for many payloads).
-    ``payload`` names the document: its file, plus a content hash for
-    JSON Lines."""
+    document per line (JSON Lines, the scalable layout for many payloads)."""
     df = (spark.read.schema(PAYLOAD_SCHEMA).option("multiLine", multi_line)
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
           .json(path))
-    file = F.col("_metadata.file_path")
-    if multi_line:
-        return df.withColumn("payload", file)
-    groups = ["tabla", "registros", *TABLE_ORDER, CORRUPT]
-    return df.withColumn("payload", F.concat_ws("#", file, F.xxhash64(*groups).cast("string")))
+    return with_order(with_source(df), multi_line)
 
 
 def _groups(df: DataFrame) -> Column:
@@ -77,8 +92,8 @@ def payload_records(payloads: DataFrame, max_rows: int | None = GROUP_MAX_ROWS)
     checked = g.withColumn("_motivo", reason)
     rejected = checked.where(F.col("_motivo").isNotNull()).select("payload", F.col("_motivo").alias("motivo"))
     records = (checked.where(F.col("_motivo").isNull())
-               .select("payload", F.explode("_groups").alias("g"))
-               .select("payload", F.col("g.tabla").alias("tabla"),
+               .select("payload", "orden", F.explode("_groups").alias("g"))
+               .select("payload", "orden", F.col("g.tabla").alias("tabla"),
                        F.posexplode("g.registros").alias("indice", "raw"))
                .withColumn("indice", F.col("indice").cast("bigint")))
     return Payloads(records, rejected)

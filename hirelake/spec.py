@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 UNASSIGNED = "Sin asignar"
 # Message of a foreign-key error: "<column> <value> no existe".
 FK_MESSAGE_SUFFIX = "no existe"
-# Backup file stem: <table>_<YYYYmmdd>_<HHMMSS>.<format>
-BACKUP_STAMP_FORMAT = "yyyyMMdd_HHmmss"
-BACKUP_DAY_FORMAT = "yyyyMMdd"
+# Backup name: <table>_<YYYYmmdd>_<HHMMSS>.<format>
+BACKUP_STAMP = "%Y%m%d_%H%M%S"
+BACKUP_DAY = "%Y%m%d"
+BACKUP_NAME = r"_(\d{8})_\d{6}\.(avro|parquet)$"
 BACKUP_FORMATS = ("avro", "parquet")
 # Batch intake: records per group, inclusive bounds.
 GROUP_MIN_ROWS = 1

@@ -15,26 +15,25 @@ from pyspark.sql import functions as F
 
 from hirelake.plans import jobs
 from hirelake.sinks.table_store import TableStore
-from hirelake.sources.payloads import PAYLOAD_SCHEMA, TABLE_ORDER, payload_records
+from hirelake.sources.payloads import PAYLOAD_SCHEMA, payload_records, with_order, with_source
+from hirelake.spec import GROUP_MAX_ROWS
 
 
 def start_intake(spark: SparkSession, source: str, store: TableStore, checkpoint: str,
                  multi_line: bool = True, on_duplicate: str = "last",
-                 available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the intake stream; returns the ``StreamingQuery``."""
+                 available_now: bool = True, max_files_per_trigger: int | None = None,
+                 max_rows: int | None = GROUP_MAX_ROWS):
+    """Start the intake stream; returns the ``StreamingQuery``.  ``max_rows``
+    is the largest group accepted (``None``: any)."""
     reader = (spark.readStream.schema(PAYLOAD_SCHEMA).option("multiLine", multi_line)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.json(source)
-    file = F.col("_metadata.file_path")
-    groups = ["tabla", "registros", *TABLE_ORDER, "_corrupt"]
-    payloads = raw.withColumn(
-        "payload", file if multi_line else F.concat_ws("#", file, F.xxhash64(*groups).cast("string")))
+    payloads = with_source(reader.json(source))
     out = checkpoint.rstrip("/")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        p = payload_records(batch)
+        p = payload_records(with_order(batch, multi_line), max_rows)
         result = jobs.ingest_records(store, p.records, on_duplicate=on_duplicate)
         tag = F.lit(batch_id).cast("bigint").alias("batch_id")
         result.summary.select(tag, "*").write.mode("overwrite").parquet(f"{out}/summary/batch_id={batch_id}")

@@ -50,20 +50,49 @@ def test_throttle_matches_brute_force(spark):
         assert got == brute_throttle(rows, dt.timedelta(seconds=w_s), m), (w_s, m)
 
 
-def test_throttle_stream_equals_batch(spark):
-    rows, df = events(spark, n=300, seed=3)
-    src = scratch_dir(spark, "t-src")
-    df.write.parquet(src)
-    out = scratch_dir(spark, "t-out")
-    stream = spark.readStream.schema(df.schema).parquet(src)
-    q = (throttle_stream(stream, "user_id", "ts", "event_id", 3600, 2, lateness="1 hour")
+def run_stream(spark, files, w_s, m, lateness):
+    """The stream over one file a micro-batch, then a heartbeat."""
+    schema = "event_id bigint, user_id bigint, ts timestamp_ntz"
+    src, out = scratch_dir(spark, "t-src"), scratch_dir(spark, "t-out")
+    last = max(t for f in files for _, _, t in f if t)
+    for rows in [*files, [(-1, None, last + dt.timedelta(days=30))]]:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (throttle_stream(stream, "user_id", "ts", "event_id", w_s, m, lateness=lateness)
          .writeStream.format("parquet").option("path", f"{out}/d").option("checkpointLocation", f"{out}/c")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    got = {r.event_id: r.ok for r in spark.read.parquet(f"{out}/d").collect()}
+    got = spark.read.parquet(f"{out}/d").where("event_id >= 0").collect()
+    assert len({r.event_id for r in got}) == len(got)
+    return {r.event_id: r.ok for r in got}
+
+
+def test_throttle_stream_equals_batch_out_of_order(spark):
+    rows, _ = events(spark, n=240, seed=3)
+    rnd = random.Random(1)
+    late = sorted(rows, key=lambda r: r[2] + dt.timedelta(seconds=rnd.randint(0, 5000)))
+    files = [late[:80], late[80:160], late[160:]]
+    got = run_stream(spark, files, 3600, 2, "5001 seconds")
     assert got == brute_throttle(rows, dt.timedelta(hours=1), 2)
 
 
+def test_stream_decides_a_late_event_first(spark):
+    base = dt.datetime(2024, 1, 1)
+    files = [[(1, 1, base + dt.timedelta(seconds=300))], [(2, 1, base + dt.timedelta(seconds=280)), (3, 1, None)]]
+    assert run_stream(spark, files, 60, 1, "60 seconds") == {1: False, 2: True, 3: True}
+
+
+def test_null_keys_and_times_are_kept(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, None, t), (2, None, t), (3, 7, None), (4, 7, None), (5, 7, t)],
+                               "event_id bigint, user_id bigint, ts timestamp_ntz")
+    for method in ("buckets", "ranks"):
+        got = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", 60, method=method).collect()}
+        assert got == {1: 2, 2: 2, 3: 2, 4: 2, 5: 1}, method
+    got = {r.event_id: r.ok for r in rate.throttle_flags(df, "user_id", "ts", "event_id", 60, 1).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: True}
+
+
 from hypothesis import given, settings, strategies as st  # noqa: E402
 
 

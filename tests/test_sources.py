@@ -72,3 +72,15 @@ def test_payload_forms_and_rejections(spark, tmp):
                     ("000.json", "trabajos", 0), ("001.json", "trabajos", 0), ("001.json", "trabajos", 1)]
     rejected = {os.path.basename(r.payload) for r in p.rejected.collect()}
     assert rejected == {"002.json", "003.json", "004.json", "005.json", "006.json"}
+
+
+def test_quoted_line_breaks_and_commas(spark, tmp):
+    write(f"{tmp}/d/departments.csv", '1,"Ana\nMaria"\n2,"Legal, , Tax",x\n3,"a ""b"", c"\n4,ok, \n')
+    rows = {r.id: r.departamento for r in read_dimension_csv(spark, f"{tmp}/d", table_spec(DEPARTMENTS)).rows.collect()}
+    assert rows == {1: "Ana\nMaria", 2: "Legal, , Tax", 3: 'a "b", c'}
+    write(f"{tmp}/h/hires.csv", 'id,name,datetime,department_id,job_id\n1,"Ana\nMaria",2021-01-01 00:00:00,1,2\n2,x,,a,b\n')
+    load = read_hires_csv(spark, f"{tmp}/h", table_spec(HIRES))
+    assert [(r.id, r.nombre) for r in load.rows.collect()] == [(1, "Ana\nMaria")]
+    # both bad fields are reported, with the row
+    assert sorted((r.campo, r.valor) for r in load.errors.collect()) == [
+        ("id_departamento", "2,x,,a,b"), ("id_trabajo", "2,x,,a,b")]
