@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm import textbuf as tb
+from hirelake.session import materialize
 
 #: Fixed patterns of the contract, in the order in which they are listed, and
 #: the least length of the group that counts.
@@ -137,7 +138,8 @@ def credential_samples(docs: DataFrame, sample: int = 3000, id_col: str = "doc_i
             [pa.array([k for k, v in kept.items() for _ in v], pa.string()),
              pa.array([x.decode() for v in kept.values() for x in v], pa.string())], ["kind", "value"])
 
-    values = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, value string").distinct()
+    values = materialize(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, value string")
+                         .distinct(), "credentials")
     picked = None
     for kind in (*KINDS, "ordinary"):
         part = values.where(F.col("kind") == kind).orderBy(F.crc32("value"), "value").limit(sample)
