@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -39,9 +42,28 @@ def build_session(master: str | None = None, app_name: str = "hirelake",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python tasks find it
+    wherever the driver was started.  Once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hirelake_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="hirelake-zip-"), "hirelake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("hirelake", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._hirelake_shipped = True
+
+
 def _checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -72,6 +94,22 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/hirelake/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Folders that ``materialize`` wrote, by open scope.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete on exit what ``materialize`` writes inside: for jobs whose
+    results are all written out by then, such as a stream's micro-batch."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
 def materialize(df, label: str, partition_by: str | None = None):
     """Write ``df`` once as Parquet under the checkpoint folder and read it
     back: lineage is cut, a lost executor does not recompute the input, and
@@ -83,6 +121,8 @@ def materialize(df, label: str, partition_by: str | None = None):
     it read only their own folders."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
+    if _scopes:
+        _scopes[-1].append(path)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.plans import jobs
+from hirelake.session import scratch_scope
 from hirelake.sinks.table_store import TableStore
 from hirelake.sources.payloads import PAYLOAD_SCHEMA, payload_records, with_order, with_source
 from hirelake.spec import GROUP_MAX_ROWS
@@ -33,12 +34,13 @@ def start_intake(spark: SparkSession, source: str, store: TableStore, checkpoint
     out = checkpoint.rstrip("/")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        p = payload_records(with_order(batch, multi_line), max_rows)
-        result = jobs.ingest_records(store, p.records, on_duplicate=on_duplicate)
-        tag = F.lit(batch_id).cast("bigint").alias("batch_id")
-        result.summary.select(tag, "*").write.mode("overwrite").parquet(f"{out}/summary/batch_id={batch_id}")
-        result.errors.write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
-        p.rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
+        with scratch_scope(spark):
+            p = payload_records(with_order(batch, multi_line), max_rows)
+            result = jobs.ingest_records(store, p.records, on_duplicate=on_duplicate)
+            tag = F.lit(batch_id).cast("bigint").alias("batch_id")
+            result.summary.select(tag, "*").write.mode("overwrite").parquet(f"{out}/summary/batch_id={batch_id}")
+            result.errors.write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
+            p.rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
 
     writer = (payloads.writeStream.foreachBatch(one_batch)
               .option("checkpointLocation", f"{out}/offsets"))
