@@ -33,6 +33,55 @@ def query(fn):
     return fn
 
 
+def _words_sql(pattern: str) -> str:
+    lowered = f"translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}')"
+    return f"regexp_extract_all({lowered}, '{pattern}')"
+
+
+_SPACED = _words_sql(r"[^\x20\x09-\x0D]+")
+_ALNUM = _words_sql(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+ORACLE["op1_minhash_dedup"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SPACED} AS ws FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w
+  UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, min(b) = doc_id AS kept
+FROM w LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = doc_id GROUP BY doc_id
+"""
+
+ORACLE["op3_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+items AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(ws), 13) AS k, array_to_string(ws[i:i + 12], ' ') AS g
+  FROM items, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) t(i) WHERE len(ws) > 0),
+places AS (
+  SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT k FROM windows) s, unnest(range(1, len(ws) - k + 2)) t(i)),
+hits AS (SELECT doc_id, i, places.k, item FROM places JOIN windows ON places.k = windows.k AND places.g = windows.g),
+hit_words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + k)) t(j) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
 @query
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
