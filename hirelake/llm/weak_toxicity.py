@@ -1,8 +1,8 @@
 """Toxicity by weak supervision (operator 9).
 
-1. ``learn_lexicon``: words that stand in far more toxic than clean documents of a
-   bounded sample of labelled rows (log-likelihood ratio test), near copies
-   counted once; a short fixed list of insults goes with them.
+1. ``learn_lexicon``: words and word beginnings that stand in far more toxic than
+   clean documents of a bounded sample of labelled rows (log-likelihood ratio
+   test), near copies counted once; a short fixed list of insults goes with them.
 2. Voters: the lexicon dealt out to several, the fixed list, and patterns (an
    insult near a form of address, several insults, shouting, nothing at all).
    Each votes toxic, clean or abstains.
@@ -42,6 +42,8 @@ WORDS, LEAST_RATIO = 256, 30.0
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "worthless", "pathetic", "disgusting", "clown",
            "dumb", "imbecile", "retard", "bastard", "bitch", "asshole", "dumbass", "vermin", "filth", "pig")
 ADDRESS = ("you", "your", "youre", "u", "du", "dich", "dein", "ihr", "tu", "te", "vous", "usted", "eres", "ton", "votre")
+#: Lengths, in code points, of word beginnings; one is written with a final ``*``.
+BEGINNINGS = (5, 6)
 DEALT = 5
 VOTERS = (*(f"lexicon{i}" for i in range(DEALT)), "insults", "address", "several", "shouting")
 N_EXTRA = 4  # features besides the words
@@ -51,8 +53,21 @@ _MARK[33] = True
 
 
 def _hashes(words) -> np.ndarray:
-    texts = tb.Texts(pa.array(list(words), pa.string()))
-    return tb.range_hashes(texts.data, texts.off[:-1], texts.off[1:], lower=True)
+    """Hashes of words, and of word beginnings (``abcde*``)."""
+    words = list(words)
+    texts = tb.Texts(pa.array([w.removesuffix("*") for w in words], pa.string()))
+    keys = tb.range_hashes(texts.data, texts.off[:-1], texts.off[1:], lower=True)
+    size = np.array([len(w) - 1 if w.endswith("*") else 0 for w in words], np.int64)
+    return np.where(size > 0, tb.mix(keys + tb.PLACE[size]), keys)
+
+
+def _beginnings(words: tb.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of more than ``size`` code points, and the hashes of their beginnings."""
+    points, starts = words.texts.points, np.flatnonzero((words.texts.data & 0xC0) != 0x80)
+    at = np.flatnonzero(points[words.end] - points[words.start] > size)
+    start = words.start[at]
+    keys = tb.range_hashes(words.texts.data, start, starts[points[start] + size], lower=True)
+    return at, tb.mix(keys + tb.PLACE[size])
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
@@ -69,7 +84,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def learn_lexicon(picked: DataFrame, words: int = WORDS, least_ratio: float = LEAST_RATIO) -> list[str]:
-    """Toxic words of a labelled sample, the strongest first.
+    """Toxic words and word beginnings of a labelled sample, the strongest first.
 
     Of documents that agree in a minimum over their three-word windows (near
     copies do) only one counts, so that the words of a copied text aren't taken
@@ -93,10 +108,12 @@ def learn_lexicon(picked: DataFrame, words: int = WORDS, least_ratio: float = LE
             for k in range(KEYS if len(some) else 0):
                 keys[k, some] = np.minimum.reduceat(tb.mix(grams * tb.PLACE[11 + k]), cut[some])
             low = tb.LOWER[found.texts.data].tobytes()
-            names = [low[a:b] for a, b in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
+            names = [low[a:b].decode() for a, b in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
+            own = [sorted({*names[a:b], *(w[:k] + "*" for w in names[a:b] for k in BEGINNINGS if len(w) > k)})
+                   for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2).cast(pa.int32()), *(pa.array(k.view(np.int64)) for k in keys),
-                 pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(names, pa.binary()).cast(pa.string()))],
+                 pa.array(own, pa.list_(pa.string()))],
                 ["doc_id", "toxic", *(f"key{k}" for k in range(KEYS)), "words"])
 
     keys = ", ".join(f"key{k} long" for k in range(KEYS))
@@ -120,8 +137,13 @@ def learn_lexicon(picked: DataFrame, words: int = WORDS, least_ratio: float = LE
 
     strong = (counts.where((a / toxic > 2 * b / clean) & (a > b)).where(share < 1)
               .withColumn("ratio", 2 * (part(a, F.lit(float(toxic))) + part(b, F.lit(float(clean)))))
-              .where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "word").limit(words))
-    return [r["word"] for r in strong.collect()]
+              .where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), F.length("word"), "word").limit(8 * words))
+    chosen: list[str] = []
+    for r in strong.collect():
+        # A beginning that stands before it says as much as the word.
+        if len(chosen) < words and not any(r["word"].startswith(w[:-1]) for w in chosen if w[-1] == "*"):
+            chosen.append(r["word"])
+    return chosen
 
 
 class Features:
@@ -141,12 +163,19 @@ class Features:
         """Vote pattern of each text, and its features as ``(text, feature, value)``."""
         words = tb.Words(texts, tb.ALNUM)
         n = texts.n
-        at = np.minimum(np.searchsorted(self.keys, words.hash), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == words.hash)
-        doc, number = words.doc[hit], self.number[at[hit]]
-        pair = np.unique(doc * self.size + number)
+        hits, numbers = [], []
+        for of, keys in ((np.arange(len(words)), words.hash), *(_beginnings(words, k) for k in BEGINNINGS)):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            same = self.keys[at] == keys
+            hits.append(of[same])
+            numbers.append(self.number[at[same]])
+        hit, number = np.concatenate(hits), np.concatenate(numbers)
+        pair = np.unique(words.doc[hit] * self.size + number)
         d, w = pair // self.size, pair % self.size
-        distinct = np.bincount(d, minlength=n)
+        hit = np.unique(hit)  # words that any entry fits
+        doc = words.doc[hit]
+        _, first = np.unique(tb.mix(words.hash[hit] + doc.astype(np.uint64) * tb.PLACE[10]), return_index=True)
+        distinct = np.bincount(doc[first], minlength=n)
         votes = np.zeros((len(VOTERS), n), np.int64)  # 0 abstains, 1 toxic, 2 clean
         learnt = w < self.learnt
         for i in range(DEALT):
