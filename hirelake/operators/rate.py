@@ -15,8 +15,9 @@ is order-dependent and no window function expresses it.  The exact split
 points are events with no earlier event of their key inside the window
 (the limiter's memory is empty there), found with ``trailing_count``; each
 (key, segment) is then replayed in time order by a small pandas helper.
-A key that stays above the limit without any gap forms one segment - the
-semantics allow no finer exact split.
+A key that stays above the limit without any gap forms one segment; if that
+is long, it is cut into slices that are replayed in parallel from a guessed
+state, and again where the guess was wrong, until nothing changes.
 
 A NULL key is a key of its own, as in GROUP BY.  Events without a time lie
 in no window of others: each counts the key's events without a time, and
@@ -183,10 +184,117 @@ def replay_limiter(us: np.ndarray, window_us: int, max_accepted: int,
     return ok, list(keep)
 
 
+def _decide(pdf: pd.DataFrame, w_us: int, max_accepted: int, group, keep: list[int]):
+    """Accept flags of events sorted by (key, segment, time), given the open
+    (key, segment) before them and its accepted times inside the window;
+    also the group and times that are open after them."""
+    k, seg, us = pdf["_k"].to_numpy(), pdf["_segment"].to_numpy(), pdf["_us"].to_numpy()
+    # An event with at most M events (itself included) in its window
+    # is accepted whatever happened before: no replay needed.
+    ok = pdf["_n"].to_numpy() <= max_accepted
+    change = np.ones(len(pdf), dtype=bool)
+    change[1:] = (k[1:] != k[:-1]) | (seg[1:] != seg[:-1])
+    starts = np.flatnonzero(change)
+    ends = np.append(starts[1:], len(pdf))
+    run_of = np.cumsum(change) - 1
+    carried = keep if (k[0], seg[0]) == group else []
+    last = len(starts) - 1
+    last_keep = None
+    # Replay only runs with a contended event, from that event on.
+    for r in np.unique(run_of[~ok]).tolist():
+        a, b = starts[r], ends[r]
+        j = a + int(np.flatnonzero(~ok[a:b])[0])
+        lo = us[j] - w_us
+        before = us[a:j]
+        init = [x for x in (carried if r == 0 else []) if x >= lo]
+        init += before[before >= lo].tolist()
+        ok[j:b], state = replay_limiter(us[j:b], w_us, max_accepted, init)
+        if r == last:
+            last_keep = state
+    if last_keep is None:
+        # The open run ends uncontended: its window holds only
+        # accepted events (at most M of them).
+        lo = us[-1] - w_us
+        tail = us[starts[last]:]
+        last_keep = [x for x in (carried if last == 0 else []) if x >= lo]
+        last_keep += tail[tail >= lo].tolist()
+    return ok, (k[-1], int(seg[-1])), [int(x) for x in last_keep]
+
+
+def _replay_slices(rows: DataFrame, id_col: str, key: str, ts: str, w_us: int, max_accepted: int,
+                   slices: int | None) -> DataFrame:
+    """The limiter over segments too long for one task.
+
+    The events are cut into even slices of the (key, segment, time) order by
+    a range partitioning, and all slices are replayed at once, each as if
+    nothing were open before it.  Then the slices whose predecessor left
+    something else open are replayed again, until nothing changes: the result is
+    that of one pass.  Per slice, its first and last group and at most ``M``
+    times reach the driver."""
+    spark = rows.sparkSession
+    order = ["_k", "_segment", "_us", id_col]
+    cut = materialize(rows.repartitionByRange(*([slices] if slices else []), *order)
+                      .withColumn("_slice", F.spark_partition_id()), "limiter-slices")
+    fields = [*rows.select(id_col, key, ts).schema.fields, T.StructField("ok", T.BooleanType())]
+    schema = T.StructType([*fields, T.StructField("_slice", T.IntegerType()), T.StructField("_open", T.ArrayType(T.StringType()))])
+
+    def replay(part: DataFrame, before: dict[int, tuple]) -> DataFrame:
+        def run(batches):
+            now, first, group, keep = None, None, None, []
+
+            def state():
+                # A row without an event: the slice's first and last group, then the times.
+                words = [first[0], str(first[1]), group[0], str(group[1]), *map(str, keep)]
+                return pd.DataFrame({id_col: [None], key: [None], ts: [pd.NaT], "ok": [None], "_slice": [now], "_open": [words]})
+
+            for pdf in batches:
+                for number, part_ in pdf.groupby("_slice", sort=True):
+                    if number != now:
+                        if now is not None:
+                            yield state()
+                        now, (group, keep) = int(number), before.get(int(number), (None, []))
+                        first = (part_["_k"].iloc[0], int(part_["_segment"].iloc[0]))
+                    ok, group, keep = _decide(part_, w_us, max_accepted, group, keep)
+                    yield pd.DataFrame({id_col: part_[id_col], key: part_[key], ts: part_[ts], "ok": ok,
+                                        "_slice": now, "_open": None})
+            if now is not None:
+                yield state()
+
+        ordered = part.repartition("_slice").sortWithinPartitions("_slice", *order)
+        return materialize(ordered.mapInPandas(run, schema), "limiter-flags")
+
+    used: dict[int, tuple] = {}
+    ends: dict[int, tuple] = {}
+    done: list[tuple[DataFrame, set[int]]] = []
+    part, todo = cut, None
+    while todo is None or todo:
+        flags = replay(part, used)
+        for r in flags.where("_open is not null").select("_slice", "_open").collect():
+            a, b, c, d, *times = r["_open"]
+            ends[r["_slice"]] = ((a, int(b)), (c, int(d)), [int(t) for t in times])
+        redone = set(ends) if todo is None else todo
+        done = [(df, own - redone) for df, own in done] + [(flags, redone)]
+        found, last = {}, None
+        for number in sorted(ends):
+            first, group, keep = ends[number]
+            if last is not None and last[0] == first and last[1]:
+                found[number] = last
+            last = (group, keep)
+        todo = {n for n in ends if found.get(n, (None, []))[1] != used.get(n, (None, []))[1]}
+        used = found
+        part = cut.where(F.col("_slice").isin(sorted(todo)))
+    out = None
+    for df, own in done:
+        if own:
+            kept = df.where(F.col("_open").isNull() & F.col("_slice").isin(sorted(own))).select(id_col, key, ts, "ok")
+            out = kept if out is None else out.unionAll(kept)
+    return out if out is not None else spark.createDataFrame([], T.StructType(fields))
+
+
 def throttle_flags(events: DataFrame, key: str, ts: str, id_col: str,
                    window_seconds: float = RATE_WINDOW_SECONDS,
                    max_accepted: int = RATE_MAX_REQUESTS,
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, segment_rows: int = 1_000_000) -> DataFrame:
     """(id, key, ts, ok) with ``ok`` false for events the limiter
     rejects.  Events of a key are taken in (ts, id) order.
 
@@ -195,56 +303,29 @@ def throttle_flags(events: DataFrame, key: str, ts: str, id_col: str,
     every uncontended event at once (at most ``M`` events in its window:
     accepted whatever came before) and replays the limiter only from the
     first contended event of a segment, carrying at most ``M`` accepted
-    times from batch to batch.  No group is ever held whole in memory."""
+    times from batch to batch.  No group is ever held whole in memory.
+    Segments of more than ``segment_rows`` events are cut into slices (see
+    :func:`_replay_slices`); the flags are the same either way."""
     w_us = int(window_seconds * US)
     rows = events.select(id_col, key, ts)
-    seg = _segments(rows.where(F.col(ts).isNotNull()), key, ts, w_us)
-    ordered = (seg.repartition(*([partitions] if partitions else []), "_k", "_segment")
+    seg = materialize(_segments(rows.where(F.col(ts).isNotNull()), key, ts, w_us), "limiter-segments")
+    long = (seg.groupBy("_k", "_segment").agg(F.count(F.lit(1)).alias("_rows"))
+            .where(F.col("_rows") > segment_rows).select("_k", "_segment"))
+    cut = not long.isEmpty()
+    short = seg.join(long, ["_k", "_segment"], "left_anti") if cut else seg
+    ordered = (short.repartition(*([partitions] if partitions else []), "_k", "_segment")
                .sortWithinPartitions("_k", "_segment", "_us", id_col))
-    out_schema = T.StructType([*events.select(id_col, key, ts).schema.fields,
-                               T.StructField("ok", T.BooleanType())])
+    out_schema = T.StructType([*rows.schema.fields, T.StructField("ok", T.BooleanType())])
 
     def run(batches):
-        # State carried between Arrow batches: the accepted times of the
-        # (key, segment) that was open when the previous batch ended.
-        open_group, keep = None, []
+        group, keep = None, []
         for pdf in batches:
-            if pdf.empty:
-                continue
-            k = pdf["_k"].to_numpy()
-            seg_ = pdf["_segment"].to_numpy()
-            us = pdf["_us"].to_numpy()
-            # An event with at most M events (itself included) in its window
-            # is accepted whatever happened before: no replay needed.
-            ok = pdf["_n"].to_numpy() <= max_accepted
-            change = np.ones(len(pdf), dtype=bool)
-            change[1:] = (k[1:] != k[:-1]) | (seg_[1:] != seg_[:-1])
-            starts = np.flatnonzero(change)
-            ends = np.append(starts[1:], len(pdf))
-            run_of = np.cumsum(change) - 1
-            carried = keep if (k[0], seg_[0]) == open_group else []
-            last = len(starts) - 1
-            last_keep = None
-            # Replay only runs with a contended event, from that event on.
-            for r in np.unique(run_of[~ok]).tolist():
-                a, b = starts[r], ends[r]
-                j = a + int(np.flatnonzero(~ok[a:b])[0])
-                lo = us[j] - w_us
-                before = us[a:j]
-                init = [x for x in (carried if r == 0 else []) if x >= lo]
-                init += before[before >= lo].tolist()
-                ok[j:b], state = replay_limiter(us[j:b], w_us, max_accepted, init)
-                if r == last:
-                    last_keep = state
-            if last_keep is None:
-                # The open run ends uncontended: its window holds only
-                # accepted events (at most M of them).
-                lo = us[-1] - w_us
-                tail = us[starts[last]:]
-                last_keep = [x for x in (carried if last == 0 else []) if x >= lo]
-                last_keep += tail[tail >= lo].tolist()
-            open_group, keep = (k[-1], seg_[-1]), last_keep
-            yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], ts: pdf[ts], "ok": ok})
-
-    untimed = rows.where(F.col(ts).isNull()).withColumn("ok", F.lit(True))
-    return ordered.mapInPandas(run, out_schema).unionByName(untimed)
+            if not pdf.empty:
+                ok, group, keep = _decide(pdf, w_us, max_accepted, group, keep)
+                yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], ts: pdf[ts], "ok": ok})
+
+    out = ordered.mapInPandas(run, out_schema)
+    if cut:
+        hot = seg.join(long, ["_k", "_segment"], "left_semi")
+        out = out.unionByName(_replay_slices(hot, id_col, key, ts, w_us, max_accepted, partitions))
+    return out.unionByName(rows.where(F.col(ts).isNull()).withColumn("ok", F.lit(True)))

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from hirelake.operators import rate
 from hirelake.session import scratch_dir
 from hirelake.streaming.throttle import throttle_stream
@@ -128,3 +130,21 @@ def test_throttle_state_carries_across_arrow_batches(spark):
             assert got == brute_throttle(rows, dt.timedelta(seconds=w_s), m), (w_s, m)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_segment_is_cut_into_slices(spark):
+    """One key that never pauses, a third of all events: the flags are those of
+    one pass, and no slice holds much more than its share."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 3 == 1 else 5, base + dt.timedelta(seconds=i * 7 % 4001)) for i in range(900)]
+    rows += [(2000 + i, 6, base + dt.timedelta(seconds=900 * i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz")
+    for w_s, m in ((40, 1), (90, 4)):
+        want = brute_throttle(rows, dt.timedelta(seconds=w_s), m)
+        got = {r.event_id: r.ok for r in rate.throttle_flags(
+            df, "user_id", "ts", "event_id", w_s, m, partitions=6, segment_rows=20).collect()}
+        assert got == want
+    seg = rate._segments(df, "user_id", "ts", 40_000_000)
+    sizes = [r["count"] for r in seg.repartitionByRange(6, "_k", "_segment", "_us", "event_id")
+             .groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * len(rows) / 6
