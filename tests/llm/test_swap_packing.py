@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,10 +11,15 @@ from hirelake.llm import textbuf as tb
 from tests.llm.conftest import make_docs, texts_of
 
 
-def direct_ids(text):
+@functools.cache
+def _tokenizer():
     from tokenizers import Tokenizer
-    t = direct_ids.__dict__.setdefault("t", Tokenizer.from_file(sp.default_vocabulary()))
-    return [*t.encode(text, add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(sp.default_vocabulary())
+
+
+@functools.cache
+def direct_ids(text):
+    return (*_tokenizer().encode(text, add_special_tokens=False).ids, 0)
 
 
 def test_tokens_match_the_tokenizer():
@@ -21,7 +27,7 @@ def test_tokens_match_the_tokenizer():
              "ǅ ١٢ “q” x\x7fýz", "a" * 5000, "ÀÉÎ,õü;日本é ́x é"]
     got, off = sp.WordTokenizer(sp.default_vocabulary()).encode(tb.Texts(pa.array(texts)))
     for i, t in enumerate(texts):
-        assert [*got[off[i]:off[i + 1]].tolist(), 0] == direct_ids(t)
+        assert (*got[off[i]:off[i + 1]].tolist(), 0) == direct_ids(t)
 
 
 def test_packing_round_trip(docs):
