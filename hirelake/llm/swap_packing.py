@@ -4,8 +4,8 @@
 2. ``plan_packing`` needs the pieces' lengths only, of which there are at most
    ``capacity``: best-fit decreasing over the histogram gives kinds of bins (which
    lengths, how many bins alike), then local search exchanges one item for one, two
-   for one, or moves one between kinds of underfull bins, as long as the sum of
-   squared fills grows, until bins run empty.
+   for one, or moves one or two between kinds of underfull bins, until no exchange
+   between any two of them raises the sum of squared fills.
 3. ``assign`` numbers the pieces of each length and hands every number its
    place in the plan.
 
@@ -20,6 +20,7 @@ result; columns other than id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -249,77 +250,130 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
     return out
 
 
-def local_search(bins: Counter, capacity: int = CAPACITY, steps: int = 4000, donors: int = 40,
-                 receivers: int = 400) -> Counter:
+class _Takers:
+    """Underfull kinds, found by a length that they hold and by their room.
+
+    ``least[s, y]`` is the smallest room that takes ``s`` for the ``lengths[y]`` given
+    back (0: nothing is given back), so a giver reads one row for each sum that it
+    may give and looks at no kind.  The table has a number for each pair of a sum and
+    a length in the histogram, both at most the capacity."""
+
+    def __init__(self, lengths, capacity: int):
+        self.lengths = np.array([0, *sorted(lengths)], np.int64)
+        self.row = {int(x): i for i, x in enumerate(self.lengths)}
+        self.capacity, self.none = capacity, capacity + 1
+        self.least = np.full((capacity + 1, len(self.lengths)), self.none, np.int32)
+        self.kinds: dict[tuple[int, int], dict] = {}
+
+    def add(self, kind: tuple) -> None:
+        room = self.capacity - sum(kind)
+        for y in {0, *kind}:
+            held = self.kinds.setdefault((y, room), {})
+            if not held:
+                cells = self.least[y + 1:y + room + 1, self.row[y]]
+                np.minimum(cells, room, out=cells)
+            held[kind] = None
+
+    def remove(self, kind: tuple) -> None:
+        room = self.capacity - sum(kind)
+        for y in {0, *kind}:
+            held = self.kinds[y, room]
+            del held[kind]
+            if not held:
+                del self.kinds[y, room]
+                column = self.least[:, self.row[y]]
+                cells = column[y + 1:y + room + 1]
+                cells[cells == room] = column[y + room + 1] if y + room < self.capacity else self.none
+
+    def best_change(self, giver: tuple, bins: Counter):
+        """``(taker, given, back)`` that raises the squared fills most, of all
+        exchanges out of ``giver``, or None."""
+        fill, items = sum(giver), sorted(set(giver))
+        offers = {x + y: (x, y) for i, x in enumerate(items) for y in items[i:] if x != y or giver.count(x) > 1}
+        offers |= {x: (x,) for x in items}
+        sums = np.fromiter(offers, np.int64, len(offers))
+        room = self.least[sums]
+        d = sums[:, None] - self.lengths
+        gain = np.where(room < self.none, d * (self.capacity - room - fill + d), 0)
+        at = int(gain.argmax())
+        s, y = divmod(at, gain.shape[1])
+        if gain[s, y] <= 0:
+            return None
+        back = int(self.lengths[y])
+        return max(self.kinds[back, int(room[s, y])], key=lambda k: (bins[k], k)), offers[int(sums[s])], back
+
+
+def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
     """Exchange items between kinds of underfull bins while the sum of squared
-    fills grows: move one, swap one for one, or two for one.
+    fills grows: move one or two, swap one for one, or two for one.
 
-    A step changes as many bins as both kinds have.  ``steps`` bounds the steps,
-    and each looks at the ``donors`` emptiest and ``receivers`` fullest kinds;
-    bins that it leaves out stay as they are, which is always a valid packing."""
+    Each exchange changes as many bins as both kinds have.  Givers are taken by the
+    magnitude of their number of bins, so that small remainders meet as one kind
+    before their turn, and the emptiest first among these.  The search ends when no exchange between any two underfull bins
+    raises the sum, or when there are no more bins than the lengths need at least."""
     bins = Counter(bins)
+    count = sum(bins.values())
     least = math.ceil(sum(sum(k) * n for k, n in bins.items()) / capacity)
-    for _ in range(steps):
-        if sum(bins.values()) <= least:
-            break
-        under = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (sum(k), k))
-        change = None
-        for giver in under[:donors]:
-            change = _best_change(giver, under[::-1][:receivers], bins, capacity)
-            if change:
-                break
-        if not change:
-            break
-        giver, taker, given, back, times = change
-        for kind in (giver, taker):
-            bins[kind] -= times
-            if not bins[kind]:
-                del bins[kind]
-        rest = list(giver)
-        for x in given:
-            rest.remove(x)
-        grown = list(taker)
-        if back:
-            grown.remove(back)
-            rest.append(back)
-        bins[tuple(sorted([*grown, *given], reverse=True))] += times
-        if rest:
-            bins[tuple(sorted(rest, reverse=True))] += times
+    takers = _Takers({x for k in bins for x in k}, capacity)
+    for kind in sorted(bins):
+        if sum(kind) < capacity:
+            takers.add(kind)
+
+    def turn(kind):
+        return -bins[kind].bit_length(), sum(kind), kind
+
+    def change_count(kind, n):
+        known = kind in bins
+        bins[kind] += n
+        if not bins[kind]:
+            del bins[kind]
+        if sum(kind) < capacity and (kind in bins) != known:
+            if known:
+                takers.remove(kind)
+            else:
+                takers.add(kind)
+                heapq.heappush(queue, turn(kind))
+
+    changed = True
+    while changed and count > least:
+        changed = False
+        queue = sorted(turn(k) for k in bins if sum(k) < capacity)
+        while queue and count > least:
+            size, _, giver = heapq.heappop(queue)
+            if giver not in bins:
+                continue
+            if turn(giver)[0] > size:  # fewer bins than when it was queued
+                heapq.heappush(queue, turn(giver))
+                continue
+            alone = bins[giver] == 1
+            if alone:
+                takers.remove(giver)
+            change = takers.best_change(giver, bins)
+            if alone:
+                takers.add(giver)
+            if not change:
+                continue
+            changed = True
+            taker, given, back = change
+            times = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
+            rest, grown = list(giver), list(taker)
+            for x in given:
+                rest.remove(x)
+            if back:
+                grown.remove(back)
+                rest.append(back)
+            change_count(giver, -times)
+            change_count(taker, -times)
+            change_count(tuple(sorted([*grown, *given], reverse=True)), times)
+            if rest:
+                change_count(tuple(sorted(rest, reverse=True)), times)
+            else:
+                count -= times
+            if giver in bins:
+                heapq.heappush(queue, turn(giver))
     return bins
 
 
-def _best_change(giver, takers, bins, capacity):
-    """The exchange out of ``giver`` that raises the squared fills most."""
-    best, change = 0, None
-    fill = sum(giver)
-    items = sorted(set(giver), reverse=True)
-    two = {x + y: (x, y) for i, x in enumerate(giver) for y in giver[i + 1:]} if len(giver) <= 64 else {}
-    for taker in takers:
-        own = sum(taker)
-        room = capacity - own
-        same = taker == giver
-        if same and bins[giver] < 2:
-            continue
-
-        def look(given, back, own=own, room=room, taker=taker, same=same):
-            nonlocal best, change
-            d = sum(given) - back
-            if 0 < d <= room:
-                gain = (own + d) ** 2 + (fill - d) ** 2 - own * own - fill * fill
-                if gain > best:
-                    best = gain
-                    change = (giver, taker, given, back, bins[giver] // 2 if same else min(bins[giver], bins[taker]))
-
-        for x in items:
-            look((x,), 0)
-        for y in set(taker):
-            for x in items:
-                look((x,), y)
-            for pair in two.values():
-                look(pair, y)
-    return change
-
-
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """``(length, first number, count, first sequence, offset)``: the pieces of a
     length with these numbers go to consecutive sequences at ``offset``."""

@@ -108,3 +108,37 @@ def test_swap_empties_a_bin():
 def test_equal_bins_move_together():
     plan = sp.plan_packing({1000: 30, 48: 30, 2048: 7}, 2048)
     assert max(s + n for _, _, n, s, _ in plan) == 7 + 15 + 1
+
+
+def improving_exchange(bins, capacity):
+    """Any exchange between two underfull bins that raises the squared fills, by trying all."""
+    under = [k for k in bins if sum(k) < capacity]
+    for giver in under:
+        items = Counter(giver)
+        given = set(items) | {x + y for x in items for y in items if x != y or items[x] > 1}
+        for taker in under:
+            if taker == giver and bins[giver] < 2:
+                continue
+            for back in {0, *taker}:
+                for d in (s - back for s in given):
+                    if 0 < d <= capacity - sum(taker) and sum(taker) + d > sum(giver):
+                        return giver, taker, back, d
+    return None
+
+
+def test_search_leaves_no_exchange():
+    rng = random.Random(11)
+    for low, high, n, capacity in [(450, 950, 600, 2048), (7, 13, 2000, 1000), (200, 700, 400, 2048), (30, 50, 300, 97)]:
+        items = Counter(rng.randint(low, high) for _ in range(n))
+        after = sp.local_search(sp.best_fit(items, capacity), capacity)
+        assert Counter(x for kind, m in after.items() for x in kind for _ in range(m)) == items
+        least = -(-sum(x * m for x, m in items.items()) // capacity)
+        assert sum(after.values()) == least or improving_exchange(after, capacity) is None
+
+
+def test_search_of_middle_lengths_is_not_cut_short():
+    # Best fit decreasing, and a search among the emptiest kinds only, leave 1,494.
+    rng = random.Random(1)
+    items = Counter(rng.randint(450, 950) for _ in range(4000))
+    assert sum(sp.best_fit(items).values()) == 1494
+    assert sum(sp.local_search(sp.best_fit(items)).values()) <= 1440
