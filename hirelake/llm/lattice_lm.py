@@ -13,6 +13,9 @@ the lattice (absolute discounting):
 
     P(word) = max(c - D, 0) / N + D * V / N * P_lattice(word)
 
+This mixture is ``score``; ``lattice_score`` is the lattice likelihood alone, in which
+no word has a count.
+
 Training documents may be told apart by a column such as their language; each
 class then has counts and piece weights of its own, and the text's probability is
 the marginal over classes.  Scoring never reads the class of a document.
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from hirelake.llm import textbuf as tb
 from hirelake.session import materialize
 
-#: Most words that are sent to every task (hash, count and a score a class: 80 bytes each).
+#: Most words that are sent to every task (hash, count and two scores a class: 80 bytes each).
 FREQUENT = 1 << 18
 EM_ROUNDS = 3
 #: Most classes of training documents, that for all the rest included.
@@ -300,11 +303,12 @@ def fit(data: DataFrame, counts: DataFrame, names: list[str], vocabulary: str |
 
 def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUENT,
                 id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``,
-    one row per row of ``docs``.
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    lattice_score)``, one row per row of ``docs``.
 
     Learns from the documents whose crc32 of the id leaves another remainder than
-    1 by 5, scores all; ``score`` and ``base_score`` are log10 probabilities."""
+    1 by 5, scores all; the scores are log10 probabilities: ``score`` of words mixed from their
+    counts and the lattice, ``lattice_score`` of the lattice alone."""
     spark = docs.sparkSession
     kind = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
@@ -315,15 +319,17 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
     counts = materialize(word_counts(data, names), "words")
     model = fit(data, counts, names, vocabulary)
     sent = spark.sparkContext.broadcast(model)
-    ranks = [f"s{k}" for k in range(size)]
+    # By class: the mixture's score, then the lattice's own.
+    ranks = [f"{x}{k}" for x in "sl" for k in range(size)]
+    sums = [f"sum_{x}" for x in ranks]
 
     def rate(batches: Iterator[pa.RecordBatch]):
-        """Total training count and log probability by class of each word."""
+        """Total training count and log probabilities by class of each word."""
         own, lattice = sent.value, _lattice(vocabulary)
         for batch in tb.slices(batches, "word", _SLICE):
             c = [np.asarray(batch.column(2 + k)) for k in range(size)]
             lattices = lattice_scores(lattice, [m.logq for m in own.classes], tb.Texts(batch.column(0)))
-            scores = [m.log(n, x) for m, n, x in zip(own.classes, c, lattices, strict=True)]
+            scores = [*(m.log(n, x) for m, n, x in zip(own.classes, c, lattices, strict=True)), *lattices]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sum(c)), *(pa.array(x.astype(np.float32)) for x in scores)],
                 ["word", "t", "c", *ranks])
@@ -346,13 +352,14 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
     known = spark.sparkContext.broadcast(
         (keys[order], np.asarray(table.column("c"), np.int64)[order],
          np.stack([np.asarray(table.column(x), np.float32)[order] for x in ranks])))
-    fields = ["row", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", *(f"sum{k}" for k in range(size))]
+    fields = ["row", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", *sums]
 
     def look_up(batches: Iterator[pa.RecordBatch]):
         keys, counts_, scores = known.value
         own = sent.value
         # The end is a word of no bytes: its lattice is the stop alone.
         ends = [float(m.log(np.array([m.ends]), np.array([m.logq[-1]]))[0]) for m in own.classes]
+        ends += [float(m.logq[-1]) for m in own.classes]
         for batch in tb.slices(batches):
             words = tb.Words(tb.Texts(batch.column(2)), tb.SPACED)
             n = words.texts.n
@@ -371,7 +378,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
                 [*ids, pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(words.n + 1, pa.int64()),
                  pa.array(total((counts_[at] > 0).astype(np.int64)) + int(own.ends > 0)),
                  pa.array(total(own.base(counts_[at])) + float(own.base(own.ends))),
-                 *(pa.array(total(scores[k][at]) + ends[k]) for k in range(size))], fields)
+                 *(pa.array(total(scores[k][at]) + ends[k]) for k in range(len(ranks)))], fields)
             # All other words: one row for each document and word.
             rest = np.flatnonzero(~found)
             doc = words.doc[rest]
@@ -383,10 +390,10 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
             zero, none = pa.array(np.zeros(len(pick), np.int64)), pa.array(np.zeros(len(pick)))
             yield pa.RecordBatch.from_arrays(
                 [*(c.take(doc) for c in ids), pa.array(spelled, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()),
-                 zero, zero, none, *[none] * size], fields)
+                 zero, zero, none, *[none] * len(ranks)], fields)
 
     schema = ("row long, doc_id long, held_out boolean, word string, n long, n_tokens long, n_known long, base double, "
-              + ", ".join(f"sum{k} double" for k in range(size)))
+              + ", ".join(f"{x} double" for x in sums))
     rows = (data.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
             .mapInArrow(look_up, schema))
     # Rows of documents have no word of the table: the left join leaves them as they are.
@@ -397,10 +404,13 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.coalesce(F.col("n") * base, F.lit(0.0))).alias("base_score"),
-        *(F.sum(F.col(f"sum{k}") + F.coalesce(F.col("n") * F.col(f"s{k}").cast("double"), F.lit(0.0))).alias(f"sum{k}")
-          for k in range(size))))
-    joint = [F.col(f"sum{k}") + math.log(m.share) for k, m in enumerate(model.classes) if m.share > 0]
-    top = F.greatest(*joint) if len(joint) > 1 else joint[0]
-    marginal = top + F.log(sum((F.exp(x - top) for x in joint[1:]), F.exp(joint[0] - top)))
+        *(F.sum(F.col(y) + F.coalesce(F.col("n") * F.col(x).cast("double"), F.lit(0.0))).alias(y)
+          for x, y in zip(ranks, sums, strict=True))))
+
+    def marginal(own):
+        joint = [F.col(x) + math.log(m.share) for x, m in zip(own, model.classes, strict=True) if m.share > 0]
+        top = F.greatest(*joint) if len(joint) > 1 else joint[0]
+        return (top + F.log(sum((F.exp(x - top) for x in joint[1:]), F.exp(joint[0] - top)))) / math.log(10)
+
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
-                         "base_score", (marginal / math.log(10)).alias("score"))
+                         "base_score", marginal(sums[:size]).alias("score"), marginal(sums[size:]).alias("lattice_score"))

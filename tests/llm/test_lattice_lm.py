@@ -125,6 +125,22 @@ def test_score_is_the_marginal_over_classes(spark, pieces, frequent):
         assert got[d] == pytest.approx(want, rel=1e-5)
 
 
+@pytest.mark.parametrize("frequent", [0, 1 << 18])
+def test_lattice_score_mixes_in_no_word_counts(spark, pieces, frequent):
+    rows = [(i, t, c) for i, (t, c) in enumerate([
+        ("red fox", "a"), ("red dog red", "a"), ("Blue fox bl\u00e5", "b"), ("new words here", None), ("", "b"), (None, "b")] * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    data = df.select("doc_id", "text", lm.held_out("doc_id").alias("held_out"), df["lang"].alias("class"))
+    model = lm.fit(data, lm.word_counts(data, ["a", "b"]), ["a", "b"])
+    weights = [{codes: float(m.logq[i]) for codes, i in pieces.items()} for m in model.classes]
+    got = {r.doc_id: r.lattice_score for r in lm.score_texts(df, class_col="lang", frequent=frequent).collect()}
+    for d, t, _ in rows:
+        joint = [math.log(m.share) + m.logq[-1] + sum(
+            m.logq[-1] + all_segmentations([256, *w.encode()], weights[k]) for w in words(t)) for k, m in enumerate(model.classes)]
+        want = (max(joint) + math.log(sum(math.exp(j - max(joint)) for j in joint))) / math.log(10)
+        assert got[d] == pytest.approx(want, rel=1e-5)
+
+
 def test_held_out_beats_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = [r for r in lm.score_texts(docs, class_col="lang").collect() if r.held_out]
