@@ -15,6 +15,7 @@ from hirelake.llm import (
     lattice_lm,
     license_templates,
     lpf_dedup,
+    merkle_manifest,
     minhash_dedup,
     quality_crf,
     secret_grammar,
@@ -41,6 +42,13 @@ def _words_sql(pattern: str) -> str:
 _SPACED = _words_sql(r"[^\x20\x09-\x0D]+")
 _ALNUM = _words_sql(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+#: Unsigned crc32 of the decimal document id: bytes one by one, bits within.
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(
+  [ord(c)::BIGINT for c in string_split(CAST(doc_id AS VARCHAR), '')],
+  lambda crc, byte: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, _:
+    CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END, xor(crc, byte)),
+  4294967295::BIGINT))"""
+
 ORACLE["op1_minhash_dedup"] = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_SPACED} AS ws FROM documents),
 sets AS (
@@ -82,6 +90,59 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+def _field_sql(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(n_chars if c == "n_chars" else c) for c in merkle_manifest.FIELDS) + ")"
+
+
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql('n_chars')} AS leaf,
+         CASE WHEN {_CRC32} % {merkle_manifest.TAMPER} = 0 THEN {_leaf_sql('(n_chars::HUGEINT + 1)')}
+              ELSE {_leaf_sql('n_chars')} END AS forged
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY g) AS n
+  FROM leaves),
+levels AS (
+  SELECT g, 0 AS lev, place, leaf AS node, n FROM placed
+  UNION ALL
+  SELECT g, lev + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (n + 1) // 2
+  FROM levels WHERE n > 1 GROUP BY g, lev, place // 2, n),
+subroots AS (
+  SELECT g, node AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS place, count(*) OVER () AS n, lev AS tall
+  FROM levels WHERE n = 1),
+tops AS (
+  SELECT 0 AS lev, place, subroot AS node, n FROM subroots
+  UNION ALL
+  SELECT lev + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (n + 1) // 2
+  FROM tops WHERE n > 1 GROUP BY lev, place // 2, n),
+ways AS (
+  SELECT p.g, p.place, l.lev, p.place >> l.lev AS at, coalesce(x.node, '') AS sibling
+  FROM placed p JOIN (SELECT DISTINCT g, lev FROM levels WHERE n > 1) l ON l.g = p.g
+  LEFT JOIN levels x ON x.g = p.g AND x.lev = l.lev AND x.place = xor(p.place >> l.lev, 1)
+  UNION ALL
+  SELECT p.g, p.place, s.tall + t.lev, s.place >> t.lev, coalesce(x.node, '')
+  FROM placed p JOIN subroots s ON s.g = p.g CROSS JOIN (SELECT DISTINCT lev FROM tops WHERE n > 1) t
+  LEFT JOIN tops x ON x.lev = t.lev AND x.place = xor(s.place >> t.lev, 1)),
+proofs AS (SELECT g, place, string_agg(sibling, '' ORDER BY lev) AS proof FROM ways GROUP BY g, place),
+folded AS (
+  SELECT g, place, 0 AS lev, forged AS node FROM placed
+  UNION ALL
+  SELECT f.g, f.place, f.lev + 1, sha256(CASE WHEN w.at % 2 = 1 THEN w.sibling || f.node ELSE f.node || w.sibling END)
+  FROM folded f JOIN ways w ON w.g = f.g AND w.place = f.place AND w.lev = f.lev)
+SELECT doc_id, leaf, subroot, r.node AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.node AS folded_root,
+       f.node = r.node AS verified
+FROM placed p JOIN subroots s ON s.g = p.g CROSS JOIN (SELECT node FROM tops WHERE n = 1) r
+LEFT JOIN proofs q ON q.g = p.g AND q.place = p.place
+JOIN (SELECT g, place, arg_max(node, lev) AS node FROM folded GROUP BY g, place) f ON f.g = p.g AND f.place = p.place
+"""
+
+
 @query
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -141,6 +202,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_quality(docs, crf)
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify(merkle_manifest.manifest(table(spark, sf_dir, "documents")))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
