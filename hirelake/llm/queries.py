@@ -17,6 +17,7 @@ from hirelake.llm import (
     lpf_dedup,
     merkle_manifest,
     minhash_dedup,
+    periodic_runs,
     quality_crf,
     secret_grammar,
     swap_packing,
@@ -89,6 +90,38 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+ORACLE["op11_periodic_runs"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, {_CRC32} AS h FROM documents),
+sized AS (SELECT *, len(ws) AS n, h // 10 AS g FROM d),
+placed AS (SELECT *, g % n AS a FROM sized WHERE n > 0),
+shaped AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+words AS (
+  SELECT doc_id, n, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS w
+  FROM shaped, unnest(range(n)) t(i)),
+equal AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w
+  WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + q + 1 AS e
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal)
+  GROUP BY doc_id, q, island HAVING max(i) + q + 1 - min(i) >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM stretches r WHERE NOT EXISTS (
+    SELECT 1 FROM stretches z WHERE z.doc_id = r.doc_id AND z.q < r.q AND r.q % z.q = 0 AND z.s <= r.s AND z.e >= r.e)),
+digest AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY doc_id),
+best AS (
+  SELECT doc_id, s AS start, e - s AS length, q AS period FROM runs
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, i FROM runs, unnest(range(s + q, e)) t(i)),
+kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS line FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
+FROM d LEFT JOIN digest USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 
 def _field_sql(value: str) -> str:
     return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
@@ -202,6 +235,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_quality(docs, crf)
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.judge(*periodic_runs.find_runs(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify(merkle_manifest.manifest(table(spark, sf_dir, "documents")))
