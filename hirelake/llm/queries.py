@@ -20,6 +20,7 @@ from hirelake.llm import (
     periodic_runs,
     quality_crf,
     secret_grammar,
+    signature_tree,
     swap_packing,
     url_rules,
     weak_toxicity,
@@ -50,26 +51,33 @@ _CRC32 = """xor(4294967295::BIGINT, list_reduce(
     CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END, xor(crc, byte)),
   4294967295::BIGINT))"""
 
-ORACLE["op1_minhash_dedup"] = f"""
+
+def _components_sql(k: int, percent: int, columns: str) -> str:
+    """Components of documents whose sets of ``k``-word shingles are similar."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_SPACED} AS ws FROM documents),
 sets AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
-  FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(i) WHERE len(ws) > 0),
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + {k - 1}], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(ws) - {k - 1}, 1) + 1)) t(i) WHERE len(ws) > 0),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 common AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
   FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
-  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+  WHERE 100 * c >= {percent} * (p.n + q.n - c)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM w
   UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
-SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, min(b) = doc_id AS kept
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, {columns}
 FROM w LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = doc_id GROUP BY doc_id
 """
 
+
+ORACLE["op1_minhash_dedup"] = _components_sql(5, 75, "min(b) AS component_id, min(b) = doc_id AS kept")
+ORACLE["op12_signature_tree_join"] = _components_sql(3, 90, "min(b) AS component_id")
+
 ORACLE["op3_benchmark_decontamination"] = f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
 items AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark),
@@ -240,6 +248,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.judge(*periodic_runs.find_runs(table(spark, sf_dir, "documents")))
 
 
+@query
+def op12_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.components(*signature_tree.jaccard_join(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify(merkle_manifest.manifest(table(spark, sf_dir, "documents")))
