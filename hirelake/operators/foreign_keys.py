@@ -1,43 +1,55 @@
 """Foreign-key checks (V2, V3, J6, A7) as set-based joins.
 
-Each FK column is matched against the *distinct* keys of its dimension
-with a left outer join carrying a marker, so a row is never duplicated and
-NULL keys pass untouched.  Spark broadcasts the key set when its measured
-size allows; otherwise it is a sort-merge join whose hot keys AQE splits
-(``spark.sql.adaptive.skewJoin.enabled``), so one department holding a
-third of the hires does not land in a single task.
+A check asks which ids are missing, not which rows are right: the distinct values
+of all FK columns (combined map-side, one narrow pass over the batch) are
+matched against the keys of their dimensions by an anti join, and only the
+missing ids are joined back to the rows.  The wide batch itself is not shuffled,
+so a department that holds a third of the hires costs no more than another.
+Missing ids are sent to all tasks only when their measured number allows;
+otherwise the join back is left to Spark, with AQE splitting hot ids.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.operators.validate import _err, collect_errors
+from hirelake.session import materialize
 from hirelake.spec import FK_MESSAGE_SUFFIX, TableSpec
 
+#: Most missing ids that are sent to every task (an id and a column name each).
+SEND_MAX = 500_000
+
 
-def _marker(name: str) -> str:
-    return f"_fk_ok_{name}"
+def missing_keys(rows: DataFrame, spec: TableSpec, dims: dict[str, DataFrame], dim_key: str = "id") -> DataFrame:
+    """(campo, valor): distinct non-NULL FK values without a row in their dimension."""
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("campo"), F.col(f.name).cast("bigint").alias("valor"))
+                      for f in spec.foreign_keys])
+    used = rows.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("valor").isNotNull()).distinct()
+    keys = reduce(DataFrame.unionAll, [
+        dims[f.references].select(F.lit(f.name).alias("campo"), F.col(dim_key).cast("bigint").alias("valor"))
+        for f in spec.foreign_keys])
+    return used.join(keys, ["campo", "valor"], "left_anti")
 
 
 def check_foreign_keys(rows: DataFrame, spec: TableSpec, dims: dict[str, DataFrame],
-                       dim_key: str = "id", unique: bool = False) -> DataFrame:
+                       dim_key: str = "id") -> DataFrame:
     """Add ``fk_errs`` (array of campo/regla/valor) to ``rows``, one entry
     per FK column whose non-NULL value has no row in its dimension.
-    ``unique`` tells that the dimensions' keys are (a store table's are), which
-    saves a shuffle of each dimension."""
-    out = rows
-    errs = []
+
+    ``rows`` is read twice (its FK columns first), so a batch that is costly to
+    make should be written out before."""
+    missing = materialize(missing_keys(rows, spec, dims, dim_key), f"fk-missing-{spec.name}")
+    send = missing.count() <= SEND_MAX
+    out, errs = rows, []
     for f in spec.foreign_keys:
-        keys = dims[f.references].select(F.col(dim_key).alias(f"_fk_key_{f.name}"))
-        keys = (keys if unique else keys.distinct()).withColumn(_marker(f.name), F.lit(True))
-        out = out.join(keys, F.col(f.name) == F.col(f"_fk_key_{f.name}"), "left") \
-                 .drop(f"_fk_key_{f.name}")
-        broken = F.col(f.name).isNotNull() & F.col(_marker(f.name)).isNull()
-        errs.append((broken, _err(f.name, F.lit("fk_missing"), F.col(f.name))))
-    markers = [_marker(f.name) for f in spec.foreign_keys]
-    return out.withColumn("fk_errs", collect_errors(errs)).drop(*markers)
+        gone = missing.where(F.col("campo") == f.name).select(F.col("valor").alias(f"_fk_{f.name}"))
+        out = out.join(F.broadcast(gone) if send else gone, F.col(f.name).cast("bigint") == F.col(f"_fk_{f.name}"), "left")
+        errs.append((F.col(f"_fk_{f.name}").isNotNull(), _err(f.name, F.lit("fk_missing"), F.col(f.name))))
+    return out.withColumn("fk_errs", collect_errors(errs)).drop(*[f"_fk_{f.name}" for f in spec.foreign_keys])
 
 
 def fk_detail(campo, valor):

@@ -1,23 +1,26 @@
 """Per-key event rates (T2, T3): the service's sliding-window request limit
 re-aimed at an event log.
 
-``trailing_count`` (T3) - events of the same key in ``[t - W, t]``.
-Written as a windowed count over time buckets of width ``W``: every event
-is copied once into the next bucket as context, so the count for any
-event only needs its own bucket and the previous one.  The window
-partitions are (key, bucket), never a whole key: a key holding a third of
-all events is spread over as many tasks as it has buckets.
+``trailing_count`` (T3) - events of the same key in ``[t - W, t]``: the number
+of events up to ``t`` less the number before ``t - W``, both from running
+counts over the (key, time) order.
 
 ``throttle_flags`` (T2) - the limiter itself: an event is accepted when
 fewer than ``M`` *accepted* events of its key lie in ``[t - W, t]``;
 rejected events do not count.  Because rejections feed back, the outcome
 is order-dependent and no window function expresses it.  The exact split
 points are events with no earlier event of their key inside the window
-(the limiter's memory is empty there), found with ``trailing_count``; each
-(key, segment) is then replayed in time order by a small pandas helper.
-A key that stays above the limit without any gap forms one segment; if that
-is long, it is cut into slices that are replayed in parallel from a guessed
-state, and again where the guess was wrong, until nothing changes.
+(the limiter's memory is empty there): a running maximum over the same order
+tells every event the last of them.  Each (key, segment) is then replayed in time
+order by a small pandas helper.  A key that stays above the limit without any gap
+forms one segment; if that is long, it is cut into slices that are replayed in
+parallel from a guessed state, and again where the guess was wrong, until nothing
+changes.
+
+Running counts and maxima (``_running``) are segmented over range partitions: the
+(key, time) order is cut into even slices, each slice is summed up on its own, and
+what a key carries from slice to slice is one row per (slice, key).  A burst of
+one key, even inside a single window, is cut like anything else.
 
 A NULL key is a key of its own, as in GROUP BY.  Events without a time lie
 in no window of others: each counts the key's events without a time, and
@@ -38,6 +41,8 @@ from hirelake.session import materialize
 from hirelake.spec import RATE_MAX_REQUESTS, RATE_WINDOW_SECONDS
 
 US = 1_000_000
+#: Stands for NULL among 64-bit values.
+NONE = np.iinfo(np.int64).min
 
 
 def epoch_micros(ts: str) -> Column:
@@ -51,15 +56,15 @@ def _key_text(key: str) -> Column:
 
 
 def trailing_count(events: DataFrame, key: str, ts: str, window_seconds: float,
-                   out: str = "n", method: str = "buckets") -> DataFrame:
+                   out: str = "n", method: str = "ranks", partitions: int | None = None) -> DataFrame:
     """Add ``out`` = number of events of the same key with timestamp in
     ``[ts - W, ts]`` (the event itself included).
 
-    ``method="buckets"`` (one shuffle) bounds each task by one window W of
-    one key's events; ``method="ranks"`` bounds it by a range partition of
-    the whole input, whatever the skew (see :func:`trailing_count_by_ranks`)."""
+    ``method="ranks"`` bounds each task by a range partition of the distinct (key,
+    time) points, whatever the skew.  ``method="buckets"`` needs a single shuffle, but
+    a task holds one window W of one key's events: for logs without bursts."""
     if method == "ranks":
-        return trailing_count_by_ranks(events, key, ts, window_seconds, out)
+        return trailing_count_by_ranks(events, key, ts, window_seconds, out, partitions)
     if method != "buckets":
         raise ValueError(f"unknown method {method!r}")
     w_us = int(window_seconds * US)
@@ -75,97 +80,108 @@ def trailing_count(events: DataFrame, key: str, ts: str, window_seconds: float,
     return counted.where(F.col("_self")).drop("_us", "_bucket", "_self")
 
 
-def _running_sums(key: str):
-    """mapInPandas body: running sum of ``_w`` per key over rows sorted by
-    (key, _c) inside a partition, carried across Arrow batches."""
+def _local(key: str, value: str, kind: str):
+    """mapInPandas body over rows sorted by (key, ...) inside a slice: the running sum or
+    the latest of ``value`` per key, carried across Arrow batches.  "latest" takes
+    values that grow within a key, ``NONE`` where a row has none."""
     def run(batches):
         last_key, carry = None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
             k = pdf[key].to_numpy()
-            w = pdf["_w"].to_numpy(dtype=np.int64)
             first = np.ones(len(pdf), dtype=bool)
             first[1:] = k[1:] != k[:-1]
-            run_id = np.cumsum(first) - 1
-            csum = np.cumsum(w)
-            starts = np.flatnonzero(first)
-            base = csum[starts] - w[starts]          # total before each run
-            local = csum - base[run_id]
-            if last_key is not None and k[0] == last_key:
-                local[run_id == 0] += carry
+            open_run = last_key is not None and k[0] == last_key
+            starts = np.maximum.accumulate(np.where(first, np.arange(len(pdf)), 0))
+            if kind == "sum":
+                w = pdf[value].to_numpy(dtype=np.int64)
+                total = np.cumsum(w)
+                local = total - (total[starts] - w[starts])
+                local[starts == 0] += carry if open_run else 0
+            else:
+                v = pdf[value].to_numpy(dtype=np.int64)
+                at = np.maximum.accumulate(np.where(v != NONE, np.arange(len(pdf)), -1))
+                local = np.where(at >= starts, v[np.maximum(at, 0)], NONE)
+                if open_run:
+                    local[(starts == 0) & (at < 0)] = carry
             last_key, carry = k[-1], int(local[-1])
             yield pdf.assign(_local=local)
     return run
 
 
+def _running(rows: DataFrame, key: str, order: str, value: str, kind: str, out: str, label: str,
+             partitions: int | None = None) -> DataFrame:
+    """``rows`` (written out) with ``out`` in place of ``value``: the running "sum" of ``value`` within ``key`` by
+    ``order``, or the "latest" value up to each row (NULL before the first).
+
+    Without an explicit partition count AQE may merge neighbouring ranges, which
+    keeps every slice contiguous."""
+    ranged = (rows.withColumn("_value", F.coalesce(F.col(value).cast("bigint"), F.lit(NONE if kind == "latest" else 0)))
+              .repartitionByRange(*([partitions] if partitions else []), key, order)
+              .sortWithinPartitions(key, order).withColumn("_pid", F.spark_partition_id()))
+    ranged = ranged.drop(value)
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_local", T.LongType())])
+    local = materialize(ranged.mapInPandas(_local(key, "_value", kind), schema), label)
+    # What a slice adds to its keys, and what earlier slices carry into it.
+    fold = F.sum if kind == "sum" else F.max
+    own = local.groupBy("_pid", key).agg(fold("_value").alias("_own"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.select("_pid", key, fold("_own").over(before).alias("_carry"))
+    joined = local.join(carried, ["_pid", key])
+    if kind == "sum":
+        total = F.col("_local") + F.coalesce("_carry", F.lit(0))
+    else:
+        total = F.nullif(F.greatest("_local", F.coalesce("_carry", F.lit(NONE))), F.lit(NONE))
+    return joined.withColumn(out, total).drop("_pid", "_local", "_carry", "_value")
+
+
+def _counted_points(points: DataFrame, w_us: int, out: str, partitions: int | None) -> DataFrame:
+    """Distinct points ``(_k, _us, _m)`` (``_m``: events at that time) with ``out``, the
+    events of their key in ``[_us - W, _us]``.
+
+    Each point is an event (weight ``_m``) and a probe at ``_us - W`` (weight 0); a
+    probe comes before an event at its place, so it counts events strictly before."""
+    rows = (points.select("_k", F.col("_us").alias("_src"), (F.col("_us") * 2 + 1).alias("_c"), F.col("_m").alias("_w"), "_m")
+            .unionByName(points.select("_k", F.col("_us").alias("_src"), ((F.col("_us") - w_us) * 2).alias("_c"),
+                                       F.lit(0).cast("bigint").alias("_w"), "_m")))
+    ranked = _running(rows, "_k", "_c", "_w", "sum", "_rank", "trailing-ranks", partitions)
+    events = F.col("_c") % 2 == 1
+    # Both counts of a point meet in one aggregate.
+    return (ranked.groupBy("_k", F.col("_src").alias("_us")).agg(
+        F.max("_m").alias("_m"), (F.max(F.when(events, F.col("_rank"))) - F.max(F.when(~events, F.col("_rank")))).alias(out)))
+
+
+def _points(timed: DataFrame) -> DataFrame:
+    return timed.groupBy("_k", "_us").agg(F.count(F.lit(1)).alias("_m"))      # map-side combined
+
+
 def trailing_count_by_ranks(events: DataFrame, key: str, ts: str, window_seconds: float,
                             out: str = "n", partitions: int | None = None) -> DataFrame:
     """T3 through global ranks, with no task ever holding one key's window.
 
-    ``n(t) = #events <= t  -  #events < t - W``.  Each distinct (key, time)
-    becomes an event point (weight = its multiplicity) and a probe at
-    ``time - W`` (weight 0).  All points are range-partitioned on
-    (key, position), so a hot key is cut into even slices.  Running sums
-    inside each slice come from a vectorised pandas pass; the sum of earlier
-    slices of the same key comes from a small per-(slice, key) table; two
-    equi-joins on (key, time) put the two counts together and back on the
-    events (AQE splits a hot join key)."""
+    An equi-join on (key, time) puts the counts of the points back on the events
+    (AQE splits a hot join key)."""
     w_us = int(window_seconds * US)
-    timed, key = events.withColumns({"_us": epoch_micros(ts), "_k": _key_text(key)}), "_k"
+    timed = events.withColumns({"_us": epoch_micros(ts), "_k": _key_text(key)})
     ev = timed.where("_us is not null")
-    pts = ev.groupBy(key, "_us").agg(F.count(F.lit(1)).alias("_m"))      # map-side combined
-    # Order key: position * 2 + kind puts a probe before an event at the same
-    # position, so a probe counts events strictly before it.
-    rows = (pts.select(key, F.col("_us").alias("_src"), (F.col("_us") * 2 + 1).alias("_c"),
-                       F.col("_m").alias("_w"))
-            .unionByName(pts.select(key, F.col("_us").alias("_src"),
-                                    ((F.col("_us") - w_us) * 2).alias("_c"), F.lit(0).cast("bigint").alias("_w"))))
-    # Without an explicit count AQE may merge neighbouring ranges, which
-    # keeps every slice contiguous.
-    ranged = (rows.repartitionByRange(*([partitions] if partitions else []), key, "_c")
-              .sortWithinPartitions(key, "_c")
-              .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType([*ranged.schema.fields, T.StructField("_local", T.LongType())])
-    local = materialize(ranged.mapInPandas(_running_sums(key), schema), "trailing-ranks")
-    totals = local.groupBy("_pid", key).agg(F.sum("_w").alias("_tot"))
-    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", key, F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
-    ranked = local.join(offsets, ["_pid", key]).withColumn("_rank", F.col("_local") + F.col("_off"))
-    le = ranked.where(F.col("_c") % 2 == 1).select(key, "_src", F.col("_rank").alias("_le"))
-    lt = ranked.where(F.col("_c") % 2 == 0).select(key, "_src", F.col("_rank").alias("_lt"))
-    counts = le.join(lt, [key, "_src"]).select(key, F.col("_src").alias("_us"),
-                                               (F.col("_le") - F.col("_lt")).alias(out))
+    counts = _counted_points(_points(ev), w_us, out, partitions).drop("_m")
     untimed = timed.where("_us is null")
-    alone = untimed.groupBy(key).agg(F.count(F.lit(1)).alias(out))
+    alone = untimed.groupBy("_k").agg(F.count(F.lit(1)).alias(out))
     columns = [*events.columns, out]
-    return (ev.join(counts, [key, "_us"]).select(*columns)
-            .unionAll(untimed.join(alone, key).select(*columns)))
-
-
-def _segments(events: DataFrame, key: str, ts: str, w_us: int) -> DataFrame:
-    """Segment id = time of the latest reset point at or before each event
-    (a reset point has no earlier event of its key within ``W``)."""
-    with_n = trailing_count(events.withColumn("_k", _key_text(key)), "_k", ts, w_us / US, out="_n")
-    key = "_k"
-    marked = (with_n.withColumn("_us", epoch_micros(ts))
-              .withColumn("_bucket", F.floor(F.col("_us") / w_us))
-              .withColumn("_now", F.count(F.lit(1)).over(
-                  Window.partitionBy(key, F.col("_bucket")).orderBy("_us").rangeBetween(0, 0)))
-              # Only events of the same time lie in the window.
-              .withColumn("_reset", F.when(F.col("_n") == F.col("_now"), F.col("_us"))))
-    # Latest reset inside the bucket up to the event ...
-    in_bucket = Window.partitionBy(key, "_bucket").orderBy("_us").rowsBetween(
-        Window.unboundedPreceding, 0)
-    marked = marked.withColumn("_seg_b", F.max("_reset").over(in_bucket))
-    # ... else the latest reset of any earlier bucket: one row per (key,
-    # bucket) goes through this window, not one per event.
-    per_bucket = marked.groupBy(key, "_bucket").agg(F.max("_reset").alias("_last"))
-    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.select(key, "_bucket", F.max("_last").over(earlier).alias("_carry"))
-    return (marked.join(carry, [key, "_bucket"])
-            .withColumn("_segment", F.coalesce("_seg_b", "_carry"))
-            .drop("_seg_b", "_carry", "_reset", "_bucket", "_now"))
+    return (ev.join(counts, ["_k", "_us"]).select(*columns)
+            .unionAll(untimed.join(alone, "_k").select(*columns)))
+
+
+def _segments(events: DataFrame, key: str, ts: str, w_us: int, partitions: int | None = None) -> DataFrame:
+    """Events with ``_n`` (trailing count) and ``_segment``, the time of the latest
+    reset point at or before each (a reset point has no earlier event of its key
+    within ``W``: all events in its window are of its own time)."""
+    timed = events.withColumns({"_us": epoch_micros(ts), "_k": _key_text(key)})
+    points = _counted_points(_points(timed), w_us, "_n", partitions).withColumn(
+        "_reset", F.when(F.col("_n") == F.col("_m"), F.col("_us")))
+    points = _running(points, "_k", "_us", "_reset", "latest", "_segment", "limiter-points", partitions)
+    return timed.join(points.select("_k", "_us", "_n", "_segment"), ["_k", "_us"])
 
 
 def replay_limiter(us: np.ndarray, window_us: int, max_accepted: int,
@@ -308,7 +324,7 @@ def throttle_flags(events: DataFrame, key: str, ts: str, id_col: str,
     :func:`_replay_slices`); the flags are the same either way."""
     w_us = int(window_seconds * US)
     rows = events.select(id_col, key, ts)
-    seg = materialize(_segments(rows.where(F.col(ts).isNotNull()), key, ts, w_us), "limiter-segments")
+    seg = materialize(_segments(rows.where(F.col(ts).isNotNull()), key, ts, w_us, partitions), "limiter-segments")
     long = (seg.groupBy("_k", "_segment").agg(F.count(F.lit(1)).alias("_rows"))
             .where(F.col("_rows") > segment_rows).select("_k", "_segment"))
     cut = not long.isEmpty()

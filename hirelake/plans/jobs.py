@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.scalar import iso_string
 from hirelake.operators import foreign_keys, validate
-from hirelake.operators.counts import table_counts
 from hirelake.operators.validate import ERROR_COLUMNS, ERROR_SCHEMA
 from hirelake.session import materialize, spread
 from hirelake.sinks.table_store import TableStore
@@ -39,32 +38,27 @@ def _union(frames: list[DataFrame], spark: SparkSession, schema: str) -> DataFra
 # ---------------------------------------------------------------------------
 # Validation of one table batch against the store (V1-V4)
 # ---------------------------------------------------------------------------
-def check_batch(store: TableStore, spec: TableSpec, validated: DataFrame) -> DataFrame:
+def check_batch(store: TableStore, spec: TableSpec, validated: DataFrame, label: str) -> tuple[DataFrame, int, int]:
     """Add the FK stage to a V1-validated batch: ``ok`` is true when the
     record passed every rule and every FK.  FK lookups use the store's
-    current dimension tables (dimensions of the same run are already in)."""
+    current dimension tables (dimensions of the same run are already in).
+
+    The batch is written out once before, as it is read for its FK values,
+    its errors and its valid rows.  Returns it with the records received and valid."""
+    validated = materialize(validated, label)
     empty = F.array().cast(validate.ERR_TYPE)
     if spec.foreign_keys:
         dims = {f.references: store.read(SPECS[f.references]).select("id")
                 for f in spec.foreign_keys}
-        # FKs are checked on every row (one left join each, no filter that
-        # Catalyst could push into the rule projections); only records that
-        # passed V1 report FK errors, as in the service.
-        checked = foreign_keys.check_foreign_keys(validated, spec, dims, unique=True)
+        # Only records that passed V1 report FK errors, as in the service.
+        checked = foreign_keys.check_foreign_keys(validated, spec, dims)
         validated = checked.withColumn(
             "fk_errs", F.when(F.size("errs") == 0, F.col("fk_errs")).otherwise(empty))
     else:
         validated = validated.withColumn("fk_errs", empty)
-    return validated.withColumn("ok", (F.size("errs") == 0) & (F.size("fk_errs") == 0))
-
-
-def _write_counted(checked: DataFrame, label: str) -> tuple[DataFrame, dict]:
-    """Write a checked batch once and count it while writing (an
-    ``Observation``, so no second pass): recibidos and validos."""
-    obs = Observation(label)
-    observed = checked.observe(obs, F.count(F.lit(1)).alias("recibidos"),
-                               F.count_if("ok").alias("validos"))
-    return materialize(observed, label), obs.get
+    checked = validated.withColumn("ok", (F.size("errs") == 0) & (F.size("fk_errs") == 0))
+    n = checked.agg(F.count(F.lit(1)).alias("recibidos"), F.count_if("ok").alias("validos")).first()
+    return checked, n["recibidos"], n["validos"]
 
 
 def batch_errors(checked: DataFrame, tabla: str) -> DataFrame:
@@ -87,7 +81,8 @@ def _repeated(valid: DataFrame, spec: TableSpec) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), F.max("indice").alias("indice")).where("n > 1"))
 
 
-def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "error") -> IngestResult:
+def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "error",
+                   batch: tuple[str, int] | None = None) -> IngestResult:
     """J2p over exploded records (payload, orden, tabla, indice, raw): per table
     in whitelist order, validate (V1), check FKs (V2/V3), upsert the valid
     rows (W7-W9) and count (V4).  Each table commits on its own, so a
@@ -96,7 +91,10 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
     Payloads stand alone: an id that occurs twice in one group fails that group
     (``on_duplicate="error"``: an error row, none of its rows written) or
     its last occurrence counts (``"last"``); the same id in a later payload
-    replaces the row, as a later request would."""
+    replaces the row, as a later request would.
+
+    ``batch`` names a stream and its batch number; each table records it with the
+    rows, so a batch that is run again after a failure writes only what it hadn't."""
     if on_duplicate not in ("error", "last"):
         raise ValueError(f"unknown duplicate policy {on_duplicate!r}")
     spark = records.sparkSession
@@ -111,8 +109,7 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
             continue
         spec = table_spec(tabla)
         recs = records.where(F.col("tabla") == tabla)
-        checked = check_batch(store, spec, validate.validate_json(recs, "raw", spec))
-        checked, counts = _write_counted(checked, f"ingest-{tabla}")
+        checked, received, passed = check_batch(store, spec, validate.validate_json(recs, "raw", spec), f"ingest-{tabla}")
         valid = (checked.where(F.col("ok"))
                  .withColumn("_pos", F.struct("orden", "indice")))
         errors.append(batch_errors(checked, tabla))
@@ -122,8 +119,8 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
                 F.lit(tabla).alias("tabla"), "indice", F.lit("carga").alias("etapa"), F.lit(spec.key).alias("campo"),
                 F.lit("duplicate_key").alias("regla"), F.col(spec.key).cast("string").alias("valor")))
             valid = valid.join(repeated.select("payload", "orden").distinct(), ["payload", "orden"], "left_anti")
-        n = store.upsert(spec, valid, on_duplicate="last", order="_pos", materialized=True)
-        summary.append((tabla, counts["recibidos"], counts["validos"], n))
+        n = store.upsert(spec, valid, on_duplicate="last", order="_pos", materialized=True, batch=batch)
+        summary.append((tabla, received, passed, n))
     return IngestResult(
         spark.createDataFrame(summary, SUMMARY_SCHEMA),
         _union(errors, spark, ERROR_SCHEMA),
@@ -150,22 +147,22 @@ class LoadResult:
 
 
 def check_constraints(store: TableStore, spec: TableSpec, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """V2, V3, V7 on loaded rows: (rows that the schema allows, error rows).
+    """V2, V3, V7 on loaded rows with their position (``indice``): (rows that the
+    schema allows, error rows).
 
     What the service's tables forbid is no text longer than its column and
     no key without its dimension row; ids of any sign are allowed there."""
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in spec.columns])
     long = [(F.char_length(f.name) > f.max_len, validate._err(f.name, F.lit("string_too_long"), line))
             for f in spec.fields if f.max_len is not None]
-    checked = rows.withColumns({"errs": validate.collect_errors(long), "indice": F.lit(None).cast("bigint"),
-                                "_line": line})
+    checked = materialize(rows.withColumns({"errs": validate.collect_errors(long), "_line": line}), f"load-{spec.name}")
     if spec.foreign_keys:
         dims = {f.references: store.read(SPECS[f.references]).select("id") for f in spec.foreign_keys}
-        checked = foreign_keys.check_foreign_keys(checked, spec, dims, unique=True)
+        checked = foreign_keys.check_foreign_keys(checked, spec, dims)
         checked = checked.withColumn("fk_errs", F.transform("fk_errs", lambda e: e.withField("valor", F.col("_line"))))
     else:
         checked = checked.withColumn("fk_errs", F.array().cast(validate.ERR_TYPE))
-    checked = materialize(checked.withColumn("ok", (F.size("errs") == 0) & (F.size("fk_errs") == 0)), f"load-{spec.name}")
+    checked = checked.withColumn("ok", (F.size("errs") == 0) & (F.size("fk_errs") == 0))
     return checked.where("ok").select(*spec.columns), batch_errors(checked, spec.name)
 
 
@@ -180,15 +177,15 @@ def full_load(store: TableStore, departments_csv: str, jobs_csv: str, hires_csv:
     for name, path, read in ((DEPARTMENTS, departments_csv, read_dimension_csv), (JOBS, jobs_csv, read_dimension_csv),
                              (HIRES, hires_csv, read_hires_csv)):
         load = read(spark, path, SPECS[name])
-        good, bad = check_constraints(store, SPECS[name], load.rows)
+        good, bad = check_constraints(store, SPECS[name], load.numbered)
         store.append(SPECS[name], good)
         errs += [load.errors.select(*ERROR_COLUMNS), bad.select(*ERROR_COLUMNS)]
     return LoadResult(verify_counts(store), _union(errs, spark, ERROR_SCHEMA), store.read(SPECS[HIRES]).limit(5))
 
 
 def verify_counts(store: TableStore) -> DataFrame:
-    """J4p: one COUNT(*) per table."""
-    return table_counts({n: store.read(SPECS[n]) for n in TABLE_ORDER})
+    """J4p: one COUNT(*) per table, from the tables' states."""
+    return store.spark.createDataFrame([(n, store.count(SPECS[n])) for n in TABLE_ORDER], "tabla string, registros bigint")
 
 
 # ---------------------------------------------------------------------------
@@ -206,7 +203,11 @@ def backup_tables(store: TableStore, fmt: str, directory: str, tables: list[str]
     """Back up each table to ``<dir>/<table>_<stamp>.<fmt>`` with one
     shared stamp; returns (tabla, formato, ruta, registros).  Every name is
     checked before anything is written; an existing backup of the same
-    second is never overwritten."""
+    second is never overwritten.
+
+    All tables are backed up as of one moment: their states are pinned before
+    the first is written, the fact's before its dimensions', so that rows written
+    meanwhile leave no hire in the set without its department or job."""
     spark = store.spark
     if fmt not in BACKUP_FORMATS:
         raise ValueError(f"format must be one of {BACKUP_FORMATS}")
@@ -217,11 +218,12 @@ def backup_tables(store: TableStore, fmt: str, directory: str, tables: list[str]
     if fmt == "avro" and not bk.avro_available(spark):
         raise bk.AvroUnavailable("the avro data source is not on this session's classpath")
     stamp = (now or dt.datetime.now()).strftime(BACKUP_STAMP)
+    pinned = {s.name: store.snapshot(s) for s in sorted(specs, key=lambda s: not s.foreign_keys)}
     out = []
     for spec in specs:
         ruta = f"{directory.rstrip('/')}/{spec.name}_{stamp}.{fmt}"
         obs = Observation(f"backup_{spec.name}")
-        rows = to_backup_rows(store.read(spec), spec).observe(obs, F.count(F.lit(1)).alias("n"))
+        rows = to_backup_rows(store.read(spec, at=pinned[spec.name]), spec).observe(obs, F.count(F.lit(1)).alias("n"))
         rows.write.mode("errorifexists").format(fmt).save(ruta)
         out.append((spec.name, fmt, ruta, int(obs.get["n"])))
     return spark.createDataFrame(out, "tabla string, formato string, ruta string, registros bigint")
@@ -274,8 +276,8 @@ def restore_table(store: TableStore, tabla: str, path: str, fmt: str,
     spec = table_spec(tabla)
     spark = store.spark
     rows = bk.read_backup_positions(spark, path, spec, fmt)
-    checked, counts = _write_counted(check_batch(store, spec, validate.validate_typed(rows, spec)), f"restore-{tabla}")
+    checked, received, passed = check_batch(store, spec, validate.validate_typed(rows, spec), f"restore-{tabla}")
     n = store.upsert(spec, checked.where(F.col("ok")), on_duplicate=on_duplicate, order="indice", materialized=True)
-    summary = spark.createDataFrame([(tabla, n, counts["recibidos"], counts["validos"])],
+    summary = spark.createDataFrame([(tabla, n, received, passed)],
                                     "tabla string, restaurados bigint, recibidos bigint, validos bigint")
     return RestoreResult(summary, batch_errors(checked, tabla).select(*ERROR_COLUMNS))

@@ -18,10 +18,10 @@ from hirelake.functions.scalar import iso_string, iso_timestamp
 from hirelake.plans import jobs
 from hirelake.plans.registry import register
 from hirelake.plans.tables import table
-from hirelake.session import scratch_dir, spread
+from hirelake.session import materialize, scratch_dir, spread
 from hirelake.sinks.table_store import TableStore
 from hirelake.sources.backups import list_backups
-from hirelake.sources.csv_files import read_dimension_csv, read_hires_csv, write_csv
+from hirelake.sources.csv_files import read_dimension_csv, read_hires_csv, read_records, write_csv
 from hirelake.sources.payloads import payload_records, read_payloads
 from hirelake.spec import BACKUP_DAY, BACKUP_STAMP, DEPARTMENTS, HIRES, JOBS, SPECS, TABLE_ORDER
 
@@ -91,7 +91,7 @@ def csv_roundtrip_dim(spark, sf):
 
 
 def _hires_csv(spark, sf) -> str:
-    """``orders`` as a hires CSV file: padded names, dates in four
+    """``orders`` as hires CSV files in key order: padded names, dates in four
     spellings (``T`` form, ``.000Z`` fraction, one-digit parts, and a
     trailing ``Z`` without fraction that the loader cannot parse), and a
     non-numeric job id on every ninth order."""
@@ -104,7 +104,7 @@ def _hires_csv(spark, sf) -> str:
                                                   F.dayofmonth(d), F.hour(d), F.minute(d),
                                                   F.second(d)))
                 .otherwise(iso))
-    rows = spread(table(spark, sf, "orders")).select(
+    rows = table(spark, sf, "orders").orderBy("o_orderkey").select(
         k.cast("string").alias("id"),
         F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" ")).alias("nombre"),
         date_txt.alias("fecha_hora"), F.col("o_custkey").cast("string").alias("id_departamento"),
@@ -135,12 +135,12 @@ def csv_roundtrip_fact(spark, sf):
 
 
 @register("csv_load_errors", f"""
-SELECT 'empleados_contratados' AS tabla, CAST(NULL AS BIGINT) AS indice, 'csv' AS etapa,
+SELECT 'empleados_contratados' AS tabla, indice, 'csv' AS etapa,
        'id_trabajo' AS campo, 'int_parsing' AS regla, {_LINE_SQL} AS valor
-FROM orders WHERE o_orderkey % 9 = 0
+FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS indice FROM orders) WHERE o_orderkey % 9 = 0
 """)
 def csv_load_errors(spark, sf):
-    """The report of a bad row holds the row."""
+    """The report of a bad row holds the row and its position in the load."""
     return read_hires_csv(spark, _hires_csv(spark, sf), SPECS[HIRES]).errors
 
 
@@ -172,6 +172,49 @@ def csv_quoted_fact(spark, sf):
     return read_hires_csv(spark, path, SPECS[HIRES]).rows
 
 
+@register("csv_documents", r"""
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS indice, 3 AS campos, CAST(doc_id AS VARCHAR) AS id,
+       sha256(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')) AS texto, coalesce(source, '') AS fuente
+FROM documents
+""")
+def csv_documents(spark, sf):
+    """Whole texts, with their quotes, commas and line breaks, through CSV files
+    that are read in splits: every record at its position, every field as it was."""
+    path = scratch_dir(spark, "csv-documents")
+    write_csv(table(spark, sf, "documents").orderBy("doc_id").select("doc_id", "text", "source"), path, header=True)
+    field = [F.get("fields", F.lit(i)) for i in range(3)]
+    return read_records(spark, path, header=True).select(
+        "indice", F.size("fields").alias("campos"), field[0].alias("id"), F.sha2(field[1], 256).alias("texto"),
+        field[2].alias("fuente"))
+
+
+QUOTES = 2000  # doubled quotes in a name, enough to exhaust a recursive parser's stack
+
+
+@register("csv_many_quotes", f"""
+SELECT 'fila' AS tipo, CAST(s_suppkey AS BIGINT) AS id, sha256(s_name || repeat('"', {QUOTES})) AS valor
+FROM supplier WHERE s_suppkey % 3 <> 1
+UNION ALL
+SELECT 'error', indice, sha256(s_suppkey || ',' || s_name || repeat('"', {QUOTES}))
+FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS indice FROM supplier) WHERE s_suppkey % 3 = 1
+""")
+def csv_many_quotes(spark, sf):
+    """Names with thousands of quotes: rows of one field too many are cut, and a
+    number that doesn't parse is reported with its row."""
+    path = scratch_dir(spark, "csv-quotes")
+    k = F.col("s_suppkey")
+    name = F.concat("s_name", F.repeat(F.lit('"'), F.lit(QUOTES)))
+    quoted = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
+    extra = F.when(k % 3 == 0, F.concat(F.lit(","), quoted)).otherwise(F.lit(""))
+    number = F.when(k % 3 == 1, F.concat(F.lit("no"), k)).otherwise(k.cast("string"))
+    (table(spark, sf, "supplier").orderBy("s_suppkey")
+     .select(F.concat(number, F.lit(","), quoted, extra).alias("value")).write.text(path))
+    load = read_dimension_csv(spark, path, SPECS[DEPARTMENTS])
+    return (load.rows.select(F.lit("fila").alias("tipo"), F.col("id").cast("long").alias("id"),
+                             F.sha2("departamento", 256).alias("valor"))
+            .unionAll(load.errors.select(F.lit("error"), "indice", F.sha2(F.regexp_replace("valor", "^no", ""), 256))))
+
+
 # --------------------------------------------------------------------------
 # JSON payload ingest (S6, S7, F11, J2p, V1-V4, W7-W9)
 # --------------------------------------------------------------------------
@@ -344,7 +387,7 @@ REJECT_MAX = 3
 
 
 @register("ingest_rejected", f"""
-WITH n AS (SELECT n_nationkey % 7 AS k FROM nation)
+WITH n AS (SELECT o_orderkey % 7 AS k FROM orders)
 SELECT CASE k WHEN 2 THEN 'no known table group' WHEN 3 THEN 'unknown table' WHEN 4 THEN 'group too small'
             WHEN 5 THEN 'group too large' ELSE 'group is not a list or document is not valid JSON' END AS motivo, COUNT(*) AS n
 FROM n WHERE k BETWEEN 2 AND 6 GROUP BY 1
@@ -352,10 +395,10 @@ UNION ALL SELECT 'registros departamentos', COUNT(*) FROM n WHERE k = 1
 UNION ALL SELECT 'registros trabajos', COUNT(*) + COUNT(*) FILTER (WHERE k = 1) FROM n WHERE k IN (0, 1)
 """)
 def ingest_rejected(spark, sf):
-    """One document per nation, of seven forms: a single group, two
+    """One document per order, of seven forms: a single group, two
     groups and an unknown key, none known, an unknown table, none, too many
     records, no list.  Why payloads are rejected, and the records of the rest."""
-    k, key = F.col("n_nationkey") % 7, F.col("n_nationkey").cast("string")
+    k, key = F.col("o_orderkey") % 7, F.col("o_orderkey").cast("string")
     rec = F.concat(F.lit('{"id": '), key, F.lit(', "trabajo": "x"}'))
     forms = (("{\"tabla\": \"trabajos\", \"registros\": [", rec, "]}"),
              ('{"departamentos": [', rec, '], "trabajos": [', rec, ", ", rec, '], "otro": [1]}'),
@@ -365,7 +408,7 @@ def ingest_rejected(spark, sf):
     for i, parts in enumerate(forms):
         value = F.when(k == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(value)
     path = scratch_dir(spark, "rejected")
-    table(spark, sf, "nation").select(value.alias("value")).write.text(path)
+    spread(table(spark, sf, "orders").select("o_orderkey")).select(value.alias("value")).write.text(path)
     p = payload_records(read_payloads(spark, path, multi_line=False), max_rows=REJECT_MAX)
     return (p.rejected.groupBy("motivo").agg(F.count("*").alias("n"))
             .unionAll(p.records.groupBy(F.concat(F.lit("registros "), F.col("tabla"))).agg(F.count("*"))))
@@ -423,6 +466,68 @@ def upsert_reopened(spark, sf):
     return TableStore(spark, root, default_buckets=2).read(spec)
 
 
+@register("upsert_deltas", f"""
+WITH h AS (SELECT *, id % 97 AS k FROM {HIRES_SQL} x)
+SELECT id, CASE WHEN k >= 6 THEN nombre ELSE 'delta ' || CAST(k AS INTEGER) END AS nombre,
+       fecha_hora, CASE WHEN k >= 6 THEN id_departamento END AS id_departamento, id_trabajo
+FROM h WHERE id % 2 = 0 OR k < 6
+""")
+def upsert_deltas(spark, sf):
+    """Half of the hires, then many small upserts (new and stored keys, each row
+    touched twice), read while some buckets have deltas and others are compacted."""
+    store = TableStore(spark, scratch_dir(spark, "delta-store"), default_buckets=4, max_parts=5)
+    spec, h = SPECS[HIRES], hires_rows(spark, sf)
+    store.append(spec, h.where("id % 2 = 0"))
+    for k in (0, 1, 2, 3, 4, 5):
+        nothing = F.lit(None).cast("int")
+        named = h.where(f"id % 97 IN ({k}, {min(k + 1, 5)})").withColumns(
+            {"nombre": F.concat(F.lit("delta "), (F.col("id") % 97).cast("string")), "id_departamento": nothing})
+        store.upsert(spec, named)
+    return store.read(spec)
+
+
+#: Months in which the orders are loaded one after the other.
+LOAD_MONTHS = 12
+
+
+def _yearly_store(spark, sf) -> TableStore:
+    """The hires, loaded a year at a time, with late corrections of every 50th."""
+    store = TableStore(spark, scratch_dir(spark, "yearly-store"), default_buckets=4)
+    spec = SPECS[HIRES]
+    h = materialize(hires_rows(spark, sf), "yearly-hires")
+    for year in range(1992, 1999):
+        store.append(spec, h.where(F.year("fecha_hora") == year))
+    store.append(spec, h.where((F.year("fecha_hora") < 1992) | (F.year("fecha_hora") > 1998) | F.col("fecha_hora").isNull()))
+    moved = h.where("id % 50 = 7").withColumn("fecha_hora", F.add_months("fecha_hora", LOAD_MONTHS).cast("timestamp_ntz"))
+    store.upsert(spec, moved)
+    return store
+
+
+_YEARLY_SQL = f"""(SELECT id, nombre, CASE WHEN id % 50 = 7 THEN CAST(date_trunc('day', fecha_hora) + INTERVAL {LOAD_MONTHS} MONTH AS TIMESTAMP)
+  ELSE fecha_hora END AS fecha_hora, id_departamento, id_trabajo FROM {HIRES_SQL} x)"""
+
+
+@register("stored_year", f"""
+SELECT * FROM {_YEARLY_SQL} h WHERE fecha_hora >= TIMESTAMP '1996-01-01' AND fecha_hora < TIMESTAMP '1997-01-01'
+""")
+def stored_year(spark, sf):
+    """F1 on a stored table: only the parts that may hold rows of the year are
+    opened; rows that a correction moved into or out of it count by their new time."""
+    return _yearly_store(spark, sf).read(SPECS[HIRES], dt.datetime(1996, 1, 1), dt.datetime(1997, 1, 1))
+
+
+@register("stored_counts", f"""
+SELECT 'total' AS momento, COUNT(*) AS registros FROM {HIRES_SQL} h
+UNION ALL SELECT 'compactada', COUNT(*) FROM {HIRES_SQL} h
+""")
+def stored_counts(spark, sf):
+    """J4p from the states: with corrections that may replace rows, and compacted."""
+    store, spec = _yearly_store(spark, sf), SPECS[HIRES]
+    before = store.count(spec)
+    store.compact(spec)
+    return spark.createDataFrame([("total", before), ("compactada", store.count(spec))], "momento string, registros bigint")
+
+
 # --------------------------------------------------------------------------
 # Backup -> guarded wipe -> restore (W1, W3, W10, S4, J3p) and catalog
 # --------------------------------------------------------------------------
@@ -575,13 +680,15 @@ def full_load_counts(spark, sf):
 
 
 @register("full_load_errors", """
-SELECT 'csv' AS etapa, 'id_trabajo' AS campo, 'int_parsing' AS regla, COUNT(*) AS n FROM orders WHERE o_orderkey % 9 = 0
+WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS indice FROM orders)
+SELECT 'csv' AS etapa, 'id_trabajo' AS campo, 'int_parsing' AS regla, indice FROM o WHERE o_orderkey % 9 = 0
 UNION ALL
-SELECT 'calidad', 'id_departamento', 'fk_missing', COUNT(*) FROM orders
+SELECT 'calidad', 'id_departamento', 'fk_missing', indice FROM o
 WHERE o_orderkey % 9 <> 0 AND o_custkey NOT IN (SELECT s_suppkey FROM supplier)
 """)
 def full_load_errors(spark, sf):
-    return _full_load(spark, sf).errors.groupBy("etapa", "campo", "regla").agg(F.count("*").alias("n"))
+    """Every refused row with its position in the hires files."""
+    return _full_load(spark, sf).errors.select("etapa", "campo", "regla", "indice")
 
 
 @register("full_load_preview", f"""

@@ -1,10 +1,10 @@
 """Payloads arriving in a folder, ingested micro-batch by micro-batch.
 
 ``readStream`` over the payload folder feeds ``foreachBatch``, which runs
-the same job as the batch intake (validate, FK-check, upsert, count).  A
-micro-batch that is retried after a failure rewrites the same buckets with
-the same rows (the upsert is idempotent) and overwrites its own summary
-partition, so replays do not double count.  Offsets and the summary live
+the same job as the batch intake (validate, FK-check, upsert, count).  Each
+table's state records the micro-batch with its rows, in one commit: one that is
+retried after a failure writes only the tables it had not reached, and overwrites
+its own summary partition, so replays do not double count.  Offsets and the summary live
 under the given checkpoint folder, which must be shared storage.
 """
 
@@ -36,7 +36,7 @@ def start_intake(spark: SparkSession, source: str, store: TableStore, checkpoint
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         with scratch_scope(spark):
             p = payload_records(with_order(batch, multi_line), max_rows)
-            result = jobs.ingest_records(store, p.records, on_duplicate=on_duplicate)
+            result = jobs.ingest_records(store, p.records, on_duplicate=on_duplicate, batch=(out, batch_id))
             tag = F.lit(batch_id).cast("bigint").alias("batch_id")
             result.summary.select(tag, "*").write.mode("overwrite").parquet(f"{out}/summary/batch_id={batch_id}")
             result.errors.write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")

@@ -70,7 +70,7 @@ def test_hot_key_is_split_by_ranks(spark):
              .select(F.spark_partition_id().alias("p")).distinct().count())
     assert parts >= 2
     a = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", 600, method="ranks").collect()}
-    b = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", 600).collect()}
+    b = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", 600, method="buckets").collect()}
     assert a == b
 
 
@@ -82,3 +82,30 @@ def test_hires_cte_is_computed_once(spark):
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in text and "ReusedSubquery" in text
+
+
+def test_fk_check_does_not_shuffle_the_batch(spark, monkeypatch):
+    """Missing ids are sent to the rows; beyond the bound Spark joins both sides."""
+    from pyspark.sql import functions as F
+
+    from hirelake.operators import foreign_keys
+    from hirelake.spec import HIRES, table_spec
+    batch = spark.range(5000).select(
+        F.col("id").cast("int"), F.lit("n").alias("nombre"), F.lit(None).cast("timestamp_ntz").alias("fecha_hora"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).cast("int").alias("id_departamento"),
+        (F.col("id") % 90).cast("int").alias("id_trabajo"))
+    dims = {"departamentos": spark.range(40).select(F.col("id").cast("int")),
+            "trabajos": spark.range(80).select(F.col("id").cast("int"))}
+    want = {i: [c for c, v, n in (("id_departamento", 7 if i % 3 == 0 else i % 50, 40), ("id_trabajo", i % 90, 80)) if v >= n]
+            for i in range(5000)}
+    for most, shuffled in ((foreign_keys.SEND_MAX, False), (0, True)):
+        monkeypatch.setattr(foreign_keys, "SEND_MAX", most)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            out = foreign_keys.check_foreign_keys(batch, table_spec(HIRES), dims)
+            text = out._jdf.queryExecution().sparkPlan().toString()
+            got = {r.id: sorted(e.campo for e in r.fk_errs) for r in out.collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got == want
+        assert ("SortMergeJoin" in text) == shuffled and ("BroadcastHashJoin" in text) != shuffled

@@ -148,3 +148,42 @@ def test_hot_segment_is_cut_into_slices(spark):
     sizes = [r["count"] for r in seg.repartitionByRange(6, "_k", "_segment", "_us", "event_id")
              .groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 2 * len(rows) / 6
+
+
+def test_a_burst_inside_one_window_is_cut_into_even_tasks(spark, monkeypatch):
+    """Half of all events are one key's within a minute: what is written of the running
+    passes holds even slices, and flags and counts are those of the brute force."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, 9, base + dt.timedelta(microseconds=50_000 * i)) for i in range(1200)]
+    rows += [(5000 + i, i % 7, base + dt.timedelta(seconds=40 * i)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz")
+    written = {}
+    original = rate.materialize
+
+    def watching(frame, label, *args):
+        out = original(frame, label, *args)
+        written.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(rate, "materialize", watching)
+    got = {r.event_id: r.n for r in rate.trailing_count(df, "user_id", "ts", 60, partitions=8).collect()}
+    assert got == brute_trailing(rows, dt.timedelta(seconds=60))
+    flags = {r.event_id: r.ok for r in rate.throttle_flags(df, "user_id", "ts", "event_id", 60, 5, partitions=8).collect()}
+    assert flags == brute_throttle(rows, dt.timedelta(seconds=60), 5)
+    for label in ("trailing-ranks", "limiter-points"):
+        for frame in written[label]:
+            sizes = [r["count"] for r in frame.groupBy("_pid").count().collect()]
+            assert len(sizes) >= 6 and max(sizes) < 2 * sum(sizes) / 8, label
+
+
+def test_latest_reset_carries_over_slices_and_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(k, t, t if t % 17 == 5 else None) for k in ("a", "b", "c") for t in range(60)]
+        df = spark.createDataFrame(rows, "_k string, _us bigint, _v bigint")
+        for parts in (1, 7):
+            got = {(r["_k"], r["_us"]): r["_s"] for r in
+                   rate._running(df, "_k", "_us", "_v", "latest", "_s", "latest", parts).collect()}
+            assert got == {(k, t): (t - 5) // 17 * 17 + 5 if t >= 5 else None for k, t, _ in rows}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -1,9 +1,13 @@
+import csv
 import datetime as dt
+import io
 import json
 import os
+import random
 
+import pytest
 
-from hirelake.sources.csv_files import read_dimension_csv, read_hires_csv
+from hirelake.sources.csv_files import ends_inside, read_dimension_csv, read_hires_csv, read_records
 from hirelake.sources.payloads import payload_records, read_payloads
 from hirelake.spec import DEPARTMENTS, HIRES, table_spec
 
@@ -84,3 +88,100 @@ def test_quoted_line_breaks_and_commas(spark, tmp):
     # both bad fields are reported, with the row
     assert sorted((r.campo, r.valor) for r in load.errors.collect()) == [
         ("id_departamento", "2,x,,a,b"), ("id_trabajo", "2,x,,a,b")]
+
+
+@pytest.fixture
+def split_bytes(spark):
+    """Sets the size of a split; restored afterwards."""
+    name = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(name)
+    yield lambda n: spark.conf.set(name, str(n))
+    spark.conf.set(name, old)
+
+
+def random_csv(rng, records):
+    """Well-formed and odd quoting: line breaks, quotes, commas and stray quotes."""
+    def field():
+        kind = rng.random()
+        text = "".join(rng.choice(["a", "é", " ", ",", '"', "\n", "\r\n", "bc"]) for _ in range(rng.randint(0, 12)))
+        if kind < 0.5:
+            return '"' + text.replace('"', '""') + '"'
+        plain = "".join(c for c in text if c not in ',\r\n').lstrip('"')
+        return plain if kind < 0.9 else '"x"' + plain.replace('"', "") + ('"' if kind < 0.95 else "")
+    return "\n".join(",".join(field() for _ in range(rng.randint(1, 5))) for _ in range(records))
+
+
+def single_pass(path, header):
+    """The historical loader's parser.  A line break that ends a file within a quoted
+    field is left out."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    rows, inside = list(csv.reader(io.StringIO(text))), False
+    for line in text.split("\n"):
+        inside = ends_inside(line, inside)
+    if inside and text.endswith("\n"):
+        rows[-1][-1] = rows[-1][-1].removesuffix("\n")
+    return rows[1:] if header else rows
+
+
+@pytest.mark.parametrize("seed,size,header", [(1, 37, False), (2, 300, True), (3, 5000, True)])
+def test_parallel_records_equal_a_single_pass(spark, tmp, split_bytes, seed, size, header):
+    rng = random.Random(seed)
+    paths = []
+    for i, n in enumerate((60, 0, 1, 90)):
+        paths.append(f"{tmp}/r/f{i}.csv")
+        write(paths[-1], random_csv(rng, n) + ("\n" if i else ""))
+    # One record over many splits; the last file ends within a quoted field.
+    write(f"{tmp}/r/f8.csv", '"head\n' + "er" * 200 + '",b\n1,"' + "x,\n" * 500 + '"\nlast,2\n')
+    write(f"{tmp}/r/f9.csv", 'h\na,"open\n\nend')
+    paths += [f"{tmp}/r/f8.csv", f"{tmp}/r/f9.csv"]
+    split_bytes(size)
+    want = [row for p in paths for row in single_pass(p, header)]
+    got = {r.indice: r.fields for r in read_records(spark, f"{tmp}/r", header).collect()}
+    assert [got[i] for i in range(len(got))] == want
+
+
+def test_one_large_file_is_many_tasks(spark, tmp, split_bytes):
+    rng = random.Random(9)
+    rows = [f'{i},"name {i}\n""{"q" * rng.randint(0, 90)}"", z"' for i in range(30_000)]
+    write(f"{tmp}/big/departments.csv", "\n".join(rows))
+    split_bytes(200_000)
+    load = read_dimension_csv(spark, f"{tmp}/big", table_spec(DEPARTMENTS))
+    lines = spark.read.text(f"{tmp}/big")
+    assert lines.rdd.getNumPartitions() >= 8
+    rows = load.numbered.collect()
+    assert sorted(r.indice for r in rows) == list(range(30_000)) and all(r.id == r.indice for r in rows)
+    assert all(r.departamento.startswith(f'name {r.id}\n"q') or r.departamento == f'name {r.id}\n"", z' for r in rows)
+
+
+def test_a_hundred_thousand_quotes(spark, tmp):
+    quotes = '"' * 100_000
+    write(f"{tmp}/d/departments.csv", f'1,"{quotes * 2}"\n2,"{quotes * 2}",x\nz,"{quotes * 2}"\n4,ok\n')
+    load = read_dimension_csv(spark, f"{tmp}/d", table_spec(DEPARTMENTS))
+    assert {r.id: r.departamento for r in load.rows.collect()} == {1: quotes, 2: quotes, 4: "ok"}
+    assert [(r.indice, r.regla) for r in load.errors.collect()] == [(2, "int_parsing")]
+
+
+def test_positions_of_bad_rows(spark, tmp):
+    write(f"{tmp}/h/a.csv", 'id,name,datetime,department_id,job_id\n1,"A\nB",,1,2\n2,x,,a,1\n\n3,short\n')
+    write(f"{tmp}/h/b.csv", "id,name,datetime,department_id,job_id\n4,y,,1,1\n5,z,,1,b\n")
+    load = read_hires_csv(spark, f"{tmp}/h", table_spec(HIRES))
+    assert sorted((r.indice, r.campo) for r in load.errors.collect()) == [
+        (1, "id_departamento"), (3, "__root__"), (5, "id_trabajo")]
+    assert sorted((r.indice, r.id) for r in load.numbered.collect()) == [(0, 1), (4, 4)]
+
+
+def test_no_files_and_empty_files(spark, tmp):
+    write(f"{tmp}/e/departments.csv", "")
+    load = read_dimension_csv(spark, f"{tmp}/e", table_spec(DEPARTMENTS))
+    assert load.rows.collect() == [] and load.errors.collect() == []
+
+
+@pytest.mark.parametrize("line,outside,inside", [
+    ("a,b", False, True), ('"a', True, False), ('a"b,c', False, False), ('a,"b', True, False), ('"a"",b', True, False),
+    ('"a""",b', False, False), ('x",y', False, False), ("", False, True), ('""', False, True), ('"a"b"c,"', True, True)])
+def test_open_quotes_of_a_line(line, outside, inside):
+    assert (ends_inside(line, False), ends_inside(line, True)) == (outside, inside)
+    for before, start in (("", False), ('"', True)):
+        rows = list(csv.reader([before + line + "\n", "sentinel\n"]))
+        assert ends_inside(line, start) == (rows[-1] != ["sentinel"])

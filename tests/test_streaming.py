@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from hirelake.plans import jobs
 from hirelake.sinks.table_store import TableStore
 from hirelake.sources.payloads import read_payloads
@@ -50,3 +52,39 @@ def test_stream_intake_one_file_per_micro_batch(spark, tmp):
     rows = {r.id: (r.nombre, r.id_departamento) for r in store.read(SPECS[HIRES]).collect()}
     assert rows == {10: ("again", 2)}                 # later micro-batch upserted over the earlier one
     assert spark.read.parquet(f"{tmp}/chk/summary").select("batch_id").distinct().count() == 3
+
+
+@pytest.mark.parametrize("dies_after", [1, 2, 3])
+def test_a_replayed_micro_batch_is_exactly_once(spark, tmp, monkeypatch, dies_after):
+    """The run dies after the given commit; a new one replays the micro-batch."""
+    docs = [{"departamentos": [{"id": i, "departamento": f"d{i}"} for i in range(1, 5)],
+             "trabajos": [{"id": 1, "trabajo": "j"}, {"id": -2, "trabajo": "k"}],
+             "empleados_contratados": [{"id": i, "id_departamento": i, "id_trabajo": 1} for i in range(1, 8)]}]
+    os.makedirs(f"{tmp}/in")
+    with open(f"{tmp}/in/0.json", "w") as f:
+        json.dump(docs[0], f)
+    result = lambda base, store: (
+        sorted(tuple(r) for r in intake_summary(spark, base).collect()),
+        sorted(tuple(r) for r in spark.read.parquet(f"{base}/errors").select("tabla", "indice", "campo", "regla").collect()),
+        [sorted(tuple(r) for r in store.read(s).collect()) for s in SPECS.values()])
+    plain = TableStore(spark, f"{tmp}/plain", default_buckets=2)
+    start_intake(spark, f"{tmp}/in", plain, f"{tmp}/chk-plain").awaitTermination()
+
+    store = TableStore(spark, f"{tmp}/t", default_buckets=2)
+    original, commits = TableStore._add, []
+
+    def dying(self, *args, **kwargs):
+        original(self, *args, **kwargs)
+        commits.append(args[0].name)
+        if len(commits) == dies_after:
+            raise RuntimeError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "_add", dying)
+        with pytest.raises(Exception):
+            start_intake(spark, f"{tmp}/in", store, f"{tmp}/chk").awaitTermination()
+    states = {s.name: store.snapshot(s) for s in SPECS.values()}
+    start_intake(spark, f"{tmp}/in", store, f"{tmp}/chk").awaitTermination()
+    assert result(f"{tmp}/chk", store) == result(f"{tmp}/chk-plain", plain)
+    # Tables that had committed were not written again.
+    assert all(store.snapshot(SPECS[name]) == states[name] for name in commits[:dies_after])
