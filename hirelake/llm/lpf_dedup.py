@@ -1,11 +1,10 @@
 """Suffix-array dedup by longest previous factors (operator 7).
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier
-(smaller document id, or earlier in the same document).  In suffix order, the
-earlier start with the longest common prefix is the previous or the next smaller
-position; as only prefixes of ``LENGTH`` bytes matter, suffixes are ordered by
-that prefix, equal ones by position, and a suffix has a previous factor of
-``LENGTH`` bytes exactly if its predecessor in this order has the same prefix.
+(smaller document id, or earlier in the same document): where the longest previous
+factor, the longest string from there that also starts earlier, has ``LENGTH`` bytes or
+more.  In suffix order, the earlier start with the longest common prefix is the
+nearest smaller position before or behind.
 
 One suffix array of all texts would order every byte of the corpus.  Instead:
 
@@ -17,9 +16,15 @@ One suffix array of all texts would order every byte of the corpus.  Instead:
    (all strings through the anchor), document and position.  An anchor behind an
    equal one with equal surroundings has all of its strings from earlier.  Range
    partitions cut even a group of millions of equal anchors into equal parts.
-3. First anchors of each surroundings go on if their anchor has several: their
-   strings are put in suffix order, anchor by anchor.  Anchors with more than
-   ``GROUP`` surroundings have their strings grouped by hash over all executors.
+3. First anchors of each surroundings go on if their anchor has several.  Under each
+   anchor, the suffixes that start 0, 1, 2, ... bytes before it are put in suffix order,
+   each order made from the last by one byte in front (``previous_factors``).
+   Previous and next smaller positions give the earlier suffixes with the longest
+   common prefixes, and so the longest previous factors.
+
+Anchors with more than ``GROUP`` surroundings have their strings grouped by hash over all
+executors instead: equal strings are neighbours in suffix order, and the first has the
+smallest position.
 
 Results are exact up to collisions of 64-bit hashes.
 
@@ -49,6 +54,8 @@ SPAN = LENGTH - GRAM + 1
 REACH = SPAN - 1
 #: Largest number of different surroundings that one task compares at a time.
 GROUP = 4096
+#: Most anchors with more surroundings that are sent to all tasks.
+SEND_MAX = 1_000_000
 _SEGMENT = 1 << 19
 _GRAMS = (-REACH, -REACH + GRAM, -REACH + 2 * GRAM, -REACH + 3 * GRAM, -REACH + 4 * GRAM, LENGTH - GRAM)
 _POSITION = np.uint64((1 << 21) - 1)
@@ -253,7 +260,8 @@ def _string_hashes(left: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.n
 
 
 def _runs(found: np.ndarray, doc, pos) -> pa.RecordBatch:
-    """Ranges of bytes under the marked strings, consecutive ones as one."""
+    """Ranges of bytes under the marked strings, by their begin from ``REACH`` bytes before
+    the anchor on; consecutive ones as one."""
     edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, a = np.nonzero(edge == 1)
     _, b = np.nonzero(edge == -1)
@@ -263,16 +271,77 @@ def _runs(found: np.ndarray, doc, pos) -> pa.RecordBatch:
         ["doc_id", "start", "end"])
 
 
-def _previous_factors(doc, pos, hashes, fits) -> np.ndarray:
-    """Marks strings with an earlier equal one among the rows.
-
-    Rows come by document and position, without repeats; at one distance from the
-    anchor, a stable order by prefix is the suffix order with ties by position."""
-    found = np.zeros_like(fits)
+def _smaller_before(value: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value before each, in its group (-1: none)."""
+    near = np.arange(len(value)) - 1
+    near[1:][group[1:] != group[:-1]] = -1
+    while True:
+        # What lies between a place and its ``near`` is greater, so chains may be skipped.
+        on = np.flatnonzero(near >= 0)
+        on = on[value[near[on]] > value[on]]
+        if not len(on):
+            return near
+        near[on] = near[near[on]]
+
+
+def _smaller(value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the previous and of the next smaller value of each, in its group (-1: none)."""
+    behind = _smaller_before(value[::-1], group[::-1])[::-1]
+    return _smaller_before(value, group), np.where(behind >= 0, len(value) - 1 - behind, -1)
+
+
+class _Common:
+    """Bytes that pairs of rows share on both sides of their anchors; pairs seldom change
+    from one suffix order to the next, so only new ones are compared."""
+
+    def __init__(self, grid: np.ndarray, left: np.ndarray, right: np.ndarray):
+        self.grid, self.left, self.right = grid, left, right
+        self.other = np.full(len(grid), -1)
+        self.before, self.after = np.zeros(len(grid), np.int64), np.zeros(len(grid), np.int64)
+
+    def factor(self, row: np.ndarray, other: np.ndarray, o: int) -> np.ndarray:
+        """Common prefix of the suffixes ``o`` bytes before the anchors of ``row`` and ``other``
+        (none: -1), as far as the surroundings go; 0 if it ends before the anchor."""
+        new = (self.other[row] != other) & (other >= 0)
+        i, j = row[new], other[new]
+        for a in range(0, len(i), GROUP):
+            p, q = i[a:a + GROUP], j[a:a + GROUP]
+            same = np.concatenate((self.grid[p] == self.grid[q], np.zeros((len(p), 1), bool)), axis=1)
+            self.after[p] = np.minimum(np.argmin(same[:, REACH:], axis=1), np.minimum(self.right[p], self.right[q]))
+            back = np.concatenate((same[:, REACH - 1::-1] if REACH else same[:, :0], np.zeros((len(p), 1), bool)), axis=1)
+            self.before[p] = np.minimum(np.argmin(back, axis=1), np.minimum(self.left[p], self.left[q]))
+        self.other[i] = j
+        return np.where((other >= 0) & (self.before[row] >= o), o + self.after[row], 0)
+
+
+def previous_factors(group: np.ndarray, left: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Per row and distance ``o`` of the anchor: the length of the longest string that starts
+    ``o`` bytes before it and also starts at an earlier row of the group, ``o`` bytes before the
+    anchor there; 0 if that ends before the anchor or the string is cut short by its document.
+
+    Rows come by document and position, without repeats; ``column`` holds ``left`` bytes
+    before each anchor, and ``LENGTH`` from it on or as many as the document has."""
+    texts = tb.Texts(column)
+    n, size = texts.n, np.diff(texts.off)
+    right = size - left
+    grid = np.zeros((n, REACH + LENGTH), np.uint8)
+    row = np.repeat(np.arange(n), size)
+    grid[row, np.arange(len(row)) - np.repeat(texts.off[:-1] - (REACH - left), size)] = texts.data
+    # The suffixes from the anchors on; bytes behind a document's end don't matter, as
+    # only suffixes of LENGTH bytes or more are looked at.
+    words = np.ascontiguousarray(np.pad(grid[:, REACH:], ((0, 0), (0, -LENGTH % 8)))).view(">u8")
+    order = np.lexsort((*words.T[::-1], group))
+    lengths = np.zeros((n, SPAN), np.int64)
+    sides = _Common(grid, left, right), _Common(grid, left, right)
     for o in range(SPAN):
-        rows = np.flatnonzero(fits[:, o])
-        found[rows, o], _ = tb.first_of_equal(hashes[rows, o])
-    return found
+        if o:
+            # A byte in front: the last order, sorted by it.
+            order = order[np.argsort(group[order].astype(np.int64) * 256 + grid[order, REACH - o], kind="stable")]
+        suffixes = order[(left[order] >= o) & (right[order] >= LENGTH - o)]
+        for common, near in zip(sides, _smaller(suffixes, group[suffixes]), strict=True):
+            other = np.where(near >= 0, suffixes[np.maximum(near, 0)], -1)
+            lengths[suffixes, o] = np.maximum(lengths[suffixes, o], common.factor(suffixes, other, o))
+    return lengths
 
 
 def _compare(batches: Iterator[pa.RecordBatch]):
@@ -288,8 +357,9 @@ def _compare(batches: Iterator[pa.RecordBatch]):
         once[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
         table = table.take(pa.array(order[once]))
         doc, pos, left = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "pos", "left"))
-        hashes, fits = _string_hashes(left, table.column("bytes").combine_chunks())
-        return _runs(_previous_factors(doc, pos, hashes, fits), doc, pos)
+        _, group = np.unique(np.asarray(table.column("anchor").combine_chunks()), return_inverse=True)
+        factors = previous_factors(group, left, table.column("bytes").combine_chunks())
+        return _runs((factors >= LENGTH)[:, ::-1], doc, pos)
 
     for batch in batches:
         held.append(batch)
@@ -376,8 +446,11 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = ["anchor", "around", "doc_id", "pos"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = (anchors(data).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-             .mapInArrow(_mark, "anchor long, doc_id long, pos long, whole boolean"))
+    marks = materialize(anchors(data).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                        .mapInArrow(_mark, "anchor long, doc_id long, pos long, whole boolean"), "lpf-marks")
+    # Anchors with too many surroundings for one task, at most one in ``group`` marks.
+    hot = materialize(marks.where("not whole").groupBy("anchor").count().where(F.col("count") > group).select("anchor"), "lpf-hot")
+    n_hot = hot.count()
     lists = marks.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("whole"), F.col("pos"))).alias("whole"),
         F.collect_list(F.when(~F.col("whole"), F.struct("anchor", "pos"))).alias("more")) \
@@ -387,15 +460,13 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "anchor array<long>, pos array<long>"), "judged")
     rows = (judged.where(F.size("anchor") > 0).select("doc_id", "text", "anchor", "pos")
             .mapInArrow(_surroundings, "anchor long, doc_id long, pos long, left long, bytes binary"))
-    counts = (judged.where(F.size("anchor") > 0).select(F.explode("anchor").alias("anchor"))
-              .groupBy("anchor").count().where("count > 1"))
-    rows = rows.join(counts, "anchor")
     spans = "doc_id long, start long, end long"
-    few = (rows.where(F.col("count") <= group).drop("count").repartition(parts, "anchor").sortWithinPartitions("anchor")
-           .mapInArrow(_compare, spans))
-    if counts.where(F.col("count") > group).isEmpty():
+    known = F.broadcast(hot) if n_hot <= SEND_MAX else hot
+    few = ((rows.join(known, "anchor", "left_anti") if n_hot else rows).repartition(parts, "anchor")
+           .sortWithinPartitions("anchor").mapInArrow(_compare, spans))
+    if not n_hot:
         return judged, few
-    strings = materialize(rows.where(F.col("count") > group).drop("count")
+    strings = materialize(rows.join(known, "anchor", "left_semi").select(*rows.columns)
                           .mapInArrow(_strings, "string long, doc_id long, start long, later boolean"), "strings")
     least = (strings.where("not later").groupBy("string")
              .agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("n")).where("n > 1"))
@@ -408,6 +479,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``docs``."""
     judged, ranges = repeated_ranges(docs, id_col, text_col, group)
     more = ranges.groupBy("doc_id").agg(F.collect_list("start").alias("start2"), F.collect_list("end").alias("end2"))
-    return (judged.join(more, "doc_id", "left")
-            .select("doc_id", "n_bytes", "sha", "text", "start", "end", "start2", "end2")
-            .mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    columns = ["doc_id", "n_bytes", "sha", "text", "start", "end", "start2", "end2"]
+    # Only documents with anchors that were compared may have further ranges.
+    none = F.lit(None).cast("array<long>")
+    settled = judged.where(F.size("anchor") == 0).withColumns({"start2": none, "end2": none})
+    open_ = judged.where(F.size("anchor") > 0).join(more, "doc_id", "left")
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return (settled.select(*columns).mapInArrow(_finish, out)
+            .unionAll(open_.select(*columns).mapInArrow(_finish, out)))

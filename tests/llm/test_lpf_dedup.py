@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -73,6 +74,54 @@ def test_marks_over_batch_and_partition_ends():
         assert got == sorted(want)
 
 
+def prefix(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("seed,letters,rows", [(1, b"a", 9), (2, b"ab\0", 60), (3, bytes(range(256)), 40), (4, b"abc", 1)])
+def test_previous_factors_are_the_longest_earlier_strings(seed, letters, rows):
+    rng = random.Random(seed)
+    text = lambda n: bytes(rng.choice(letters) for _ in range(n))
+    around = [(text(ld.REACH), text(ld.LENGTH)) for _ in range(4)]
+    made = []
+    for _ in range(rows):
+        left, right = bytearray(rng.choice(around)[0]), bytearray(rng.choice(around)[1])
+        for part in (left, right):  # texts that part at some place, or end there
+            if rng.random() < 0.6:
+                part[rng.randrange(len(part))] = rng.choice(letters)
+        cut = rng.choice([0, 0, rng.randrange(ld.REACH + 1)])
+        made.append((rng.randrange(3), bytes(left[cut:]), bytes(right[:rng.choice([ld.LENGTH, ld.LENGTH, rng.randrange(40, 101)])])))
+    group = np.array([g for g, _, _ in made])
+    got = ld.previous_factors(group, np.array([len(a) for _, a, _ in made]), pa.array([a + b for _, a, b in made], pa.binary()))
+    for i, (g, a, b) in enumerate(made):
+        for o in range(ld.SPAN):
+            whole = len(a) >= o and o + len(b) >= ld.LENGTH
+            want = 0
+            for h, c, d in made[:i]:
+                if whole and h == g and len(c) >= o and o + len(d) >= ld.LENGTH:
+                    common = prefix(a[len(a) - o:] + b, c[len(c) - o:] + d)
+                    want = max(want, common if common >= o else 0)
+            if 0 in letters:  # the order does not tell a NUL from the end of a document
+                assert (got[i, o] >= ld.LENGTH) == (want >= ld.LENGTH) and got[i, o] <= want
+            else:
+                assert got[i, o] == want
+
+
+def test_smaller_positions():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 50, 300):
+        group = np.array(sorted(rng.randrange(1 + n // 20) for _ in range(n)), np.int64)
+        value = np.array(rng.sample(range(10 * n), n), np.int64)
+        before, behind = ld._smaller(value, group)
+        for i in range(n):
+            near = [j for j in range(i) if group[j] == group[i] and value[j] < value[i]]
+            next_ = [j for j in range(i + 1, n) if group[j] == group[i] and value[j] < value[i]]
+            assert (before[i], behind[i]) == (max(near, default=-1), min(next_, default=-1))
+
+
 def test_odd_tables(spark, clashing, empty):
     assert ld.remove_repeats(empty).count() == 0
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in ld.remove_repeats(clashing).collect()) == [
