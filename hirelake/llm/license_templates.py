@@ -31,16 +31,66 @@ from hirelake.llm import textbuf as tb
 #: Phrases of the contract: words, label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Templates: label, markup.
+# The wording of licenses, in their own order.
+_NO_WARRANTY = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+    "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{1..8}} be "
+    "liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from "
+    "out of or in connection with the software or the use or other dealings in the software")
+_BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+    "following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list "
+    "of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright "
+    "notice this list of conditions and the following disclaimer in the documentation and or other materials provided "
+    "with the distribution")
+_BSD_NO_WARRANTY = (
+    "this software is provided by {{1..12}} as is and any express or implied warranties including but not limited to "
+    "the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+    "{{1..12}} be liable for any direct indirect incidental special exemplary or consequential damages including but "
+    "not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence "
+    "or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage")
+#: Whole licenses: label, markup.
+FULL = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files [[the software]] to deal in the software without restriction including without "
+            "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+            "software and to permit persons to whom the software is furnished to do so subject to the following "
+            "conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be "
+            "included in all copies or substantial portions of the software " + _NO_WARRANTY),
+    ("bsd-2-clause", f"{_BSD_CONDITIONS} {_BSD_NO_WARRANTY}"),
+    ("bsd-3-clause", f"{_BSD_CONDITIONS} [[3]] neither the name of {{{{1..12}}}} nor the names of {{{{1..2}}}} contributors "
+                     "may be used to endorse or promote products derived from this software without specific prior "
+                     f"written permission {_BSD_NO_WARRANTY}"),
+    ("isc", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is "
+            "hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+            "the software is provided as is and {{1..8}} all warranties with regard to this software including all "
+            "implied warranties of merchantability and fitness in no event shall {{1..8}} be liable for any special "
+            "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or "
+            "profits whether in an action of contract negligence or other tortious action arising out of or in "
+            "connection with the use or performance of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify "
+                  "publish use compile sell or distribute this software either in source code form or as a compiled "
+                  "binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize "
+                  "copyright laws the author or authors of this software dedicate any and all copyright interest in the "
+                  "software to the public domain we make this dedication for the benefit of the public at large and to "
+                  "the detriment of our heirs and successors we intend this dedication to be an overt act of "
+                  "relinquishment in perpetuity of all present and future rights to this software under copyright law "
+                  + _NO_WARRANTY),
+)
+
+#: Templates: label, markup.  A label that ends in ``HEADER`` tells that the text opens as
+#: the license does, and no more.
+HEADER = "-header"
 TEMPLATES = (
+    *FULL,
     ("apache-2.0", "licensed under the apache license [[version]] [[2]] [[0]] [[the license]]"),
     ("apache-2.0", "released under [[the terms of]] the apache [[2]] [[0]] license"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this "
-            "software and associated documentation files {{0..3}} to deal in {{1..4}} without restriction"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are "
-            "permitted [[provided that the following conditions are met]]"),
+    ("mit-header", "permission is hereby granted free of charge to any person obtaining a copy of this "
+                   "software and associated documentation files"),
+    ("bsd-header", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "released under [[the terms of]] [[the]] bsd [[2]] [[3]] [[clause]] license"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3.0", "gnu general public license [[as published by the free software foundation]] "
@@ -50,9 +100,9 @@ TEMPLATES = (
     ("lgpl", "gnu lesser general public license [[version {{1..2}}]]"),
     ("agpl", "gnu affero general public license [[version {{1..2}}]]"),
     ("mpl-2.0", "mozilla public license [[version]] [[v]] 2 0"),
-    ("isc", "permission to use copy modify and [[or]] distribute this software for any purpose with "
-            "or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("isc-header", "permission to use copy modify and [[or]] distribute this software for any purpose with "
+                   "or without fee is hereby granted"),
+    ("unlicense-header", "this is free and unencumbered software released into the public domain"),
     ("public-domain", "released into the public domain"),
     ("public-domain", "this work is in the public domain"),
     ("cc0", "cc0 1 0 [[universal]]"),
@@ -130,7 +180,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, matches)``, one row per row of ``docs``.
 
-    A match has its kind (``phrase`` or ``template``), label, first word, number
+    A match has its kind (``phrase``, ``template`` or ``header``), label, first word, number
     of words, and code-point offsets into the original text (end exclusive)."""
     templates, phrases = tuple(templates), tuple(phrases)
 
@@ -159,8 +209,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE,
                 for label, a in heads.get((int(h[i]), int(h[i + 1])), ()):
                     k = a.accept(h[i:i + min(int(room[i]), longest)].tolist())
                     if k:
-                        found.append((int(i), k, "template", label))
-            found.sort()
+                        found.append((int(i), k, "header" if label.endswith(HEADER) else "template", label))
+            # The opening of a license that is there as a whole says nothing more.
+            whole = {f[0] for f in found if f[2] == "template"}
+            found = sorted(f for f in found if f[2] != "header" or f[0] not in whole)
             first = np.array([f[0] for f in found], np.int64)
             size = np.array([f[1] for f in found], np.int64)
             doc = np.searchsorted(words.off, first, side="right") - 1
@@ -185,15 +237,15 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE,
 def summarise(found: DataFrame) -> DataFrame:
     """Counts, labels and score per document from ``scan_licenses``.
 
-    Every place is evidence that the text states a license, a phrase of weight
-    0.5 and an accepted template of weight 0.9; the score is one minus the
+    Every place is evidence that the text states a license, a phrase or the opening of a
+    license of weight 0.5 and an accepted template of weight 0.9; the score is one minus the
     product of what each leaves open."""
     base = F.filter("matches", lambda m: m["kind"] == "phrase")
     starts = F.transform("base", lambda m: m["first"])
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: m["label"]))), ",")
-    n_base = F.size("base")
+    n_base, n_full = F.size("base"), F.size(F.filter("matches", lambda m: m["kind"] == "template"))
     return found.withColumn("base", base).select(
         "doc_id", "n_words", n_base.cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         names("base").alias("base_labels"), names("matches").alias("labels"),
-        (1 - F.pow(F.lit(0.5), n_base) * F.pow(F.lit(0.1), F.size("matches") - n_base)).alias("score"))
+        (1 - F.pow(F.lit(0.5), F.size("matches") - n_full) * F.pow(F.lit(0.1), n_full)).alias("score"))
