@@ -6,7 +6,9 @@
   (Hoeffding test, red and blue states) into a probabilistic automaton.
 * ``find_secrets``: fixed matches, and every other credential-like run of
   characters whose likelihood under one of the automata exceeds that under the
-  automaton of ordinary runs by ``min_gain`` nats.
+  automaton of ordinary runs by ``min_gain`` nats.  Runs are cut at the bounds of fixed
+  matches, and what is left is scored whole and between separators (``/``, ``=``, ``.``);
+  of spans that overlap, the likeliest stays.
 
 Nulls and edge cases: a null or empty text has no spans; repeated rows are judged row
 by row; without labelled credentials or ordinary runs only fixed matches are
@@ -53,6 +55,9 @@ N_CLASSES = 6
 #: Characters in each class, for the likelihood of a character within it.
 _CLASS_SIZE = np.array([10, 6, 20, 6, 20, 6])
 MIN_RUN = 16
+#: Characters that may join a credential to something else.
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(b"/=.")] = True
 
 
 def _runs(inside: np.ndarray, least: int, cuts: np.ndarray | None = None):
@@ -276,19 +281,21 @@ SCHEMA = "doc_id long, secrets array<struct<kind:string,start:long,end:long,gain
 
 
 def _learned(texts: tb.Texts, fixed, formats, min_gain: float):
-    """Candidate runs, clear of fixed matches, that a format explains better."""
+    """Candidates, clear of fixed matches, that a format explains better."""
     ordinary = formats.get("ordinary")
     others = [a for k, a in formats.items() if k != "ordinary"]
-    a, b = _candidates(texts)
-    if ordinary is None or not others or not len(a):
+    if ordinary is None or not others or not len(texts.data):
         return []
-    covered = np.zeros(len(texts.data) + 1, np.int32)
+    free = _RUN[texts.data]
     for _, x, y, _, _ in fixed:
-        covered[x] += 1
-        covered[y] -= 1
-    covered = np.concatenate(([0], np.cumsum(np.cumsum(covered) > 0)))
-    free = covered[b] == covered[a]
-    a, b = a[free], b[free]
+        free[x:y] = False
+    whole = np.stack(_runs(free, MIN_RUN, texts.off))
+    parts = np.stack(_runs(free & ~_SEPARATOR[texts.data], MIN_RUN, texts.off))
+    # Separators at the ends of a run don't belong to a credential.
+    joint = np.concatenate(([0], np.cumsum(~_SEPARATOR[texts.data])))
+    inner = np.searchsorted(joint, joint[whole[0]], side="right") - 1, np.searchsorted(joint, joint[whole[1]], side="left")
+    a, b = np.unique(np.concatenate((np.stack(inner), parts), axis=1), axis=1)
+    a, b = a[b - a >= MIN_RUN], b[b - a >= MIN_RUN]
     if not len(a):
         return []
     size = b - a
@@ -297,8 +304,16 @@ def _learned(texts: tb.Texts, fixed, formats, min_gain: float):
     codes = _CLASS[texts.data[index]]
     gain = np.max([m.score(codes, off) for m in others], axis=0) - ordinary.score(codes, off)
     hit = np.flatnonzero(gain >= min_gain)
-    doc = np.searchsorted(texts.off, a[hit], side="right") - 1
-    return [(int(d), int(a[i]), int(b[i]), 3, float(gain[i])) for d, i in zip(doc, hit, strict=True)]
+    taken: dict[int, list[tuple[int, int]]] = {}
+    kept = []
+    for i in hit[np.argsort(-gain[hit], kind="stable")].tolist():
+        # The parts of a run lie in it: only spans of the same document can overlap.
+        doc = int(np.searchsorted(texts.off, a[i], side="right")) - 1
+        own = taken.setdefault(doc, [])
+        if all(b[i] <= x or y <= a[i] for x, y in own):
+            own.append((int(a[i]), int(b[i])))
+            kept.append((doc, int(a[i]), int(b[i]), 3, float(gain[i])))
+    return kept
 
 
 def find_secrets(docs: DataFrame, formats: dict[str, FormatAutomaton], min_gain: float = 15.0,
