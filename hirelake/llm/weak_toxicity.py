@@ -1,29 +1,33 @@
 """Toxicity by weak supervision (operator 9).
 
-1. ``learn_lexicon``: words and word beginnings that stand in far more toxic than
-   clean documents of a bounded sample of labelled rows (log-likelihood ratio
-   test), near copies counted once; a short fixed list of insults goes with them.
-2. Voters: the lexicon dealt out to several, the fixed list, and patterns (an
-   insult near a form of address, several insults, shouting, nothing at all).
+1. ``learn_lexicon``: words and word beginnings that mark toxic documents of a bounded
+   sample of labelled rows, near copies counted once.  An entry is tested twice, by
+   whether a document has it at all and by whether it stands in it at least
+   ``DENSE`` times in 100 words (log-likelihood ratio tests); those that pass a false
+   discovery rate over all tests are kept.  No word is given beforehand.
+2. Voters: the lexicon dealt out to several, its rate in the text, and patterns (an
+   entry near a form of address, several entries, shouting, nothing at all).
    Each votes toxic, clean or abstains.
 3. ``LabelModel``: a generative model of the votes given the unknown label.  Voters'
    accuracies, and correlations along a maximum-information tree, are estimated by
    expectation maximisation over the vote patterns of all training documents; the
    sample's labels are held fixed.
-4. ``fit_classifier``: logistic regression on the words and patterns of the sample's
-   documents, trained on the label model's posteriors.
+4. ``fit_classifier``: logistic regression on the rates of the entries and on the patterns
+   in the sample's documents, trained on the label model's posteriors; a known label is a
+   further voter there, right ``LABELLED`` of the time.
 
 Labels are read from training rows only (crc32 of the id by 4 is not 2).
 Language, source and id are inputs of no score.
 
 Nulls and edge cases: a null or empty text has no words and gets the score of
 no evidence; a null id has no remainder and so isn't held out; labels that are null or for absent
-documents are ignored; repeated rows are scored each; without labels the
-fixed list alone carries the voters; an empty table gives an empty result.
+documents are ignored; repeated rows are scored each; without labels there is no
+lexicon and the patterns alone vote; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,15 +41,17 @@ from hirelake.session import materialize
 
 #: Most labelled rows that the lexicon and the classifier are fitted on.
 SAMPLE = 20_000
-#: Most learnt words, and the least log-likelihood ratio of one.
-WORDS, LEAST_RATIO = 256, 30.0
-INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "worthless", "pathetic", "disgusting", "clown",
-           "dumb", "imbecile", "retard", "bastard", "bitch", "asshole", "dumbass", "vermin", "filth", "pig")
+#: Most learnt entries, and the share of false ones among them that is accepted.
+WORDS, FALSE_SHARE = 256, 0.01
+#: Times in 100 words that an entry stands in a text, to count as dense there.
+DENSE = 1.0
+#: How often a label is right, as a voter for the classifier's targets.
+LABELLED = 0.95
 ADDRESS = ("you", "your", "youre", "u", "du", "dich", "dein", "ihr", "tu", "te", "vous", "usted", "eres", "ton", "votre")
 #: Lengths, in code points, of word beginnings; one is written with a final ``*``.
-BEGINNINGS = (5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 DEALT = 5
-VOTERS = (*(f"lexicon{i}" for i in range(DEALT)), "insults", "address", "several", "shouting")
+VOTERS = (*(f"lexicon{i}" for i in range(DEALT)), "rate", "address", "several", "shouting")
 N_EXTRA = 4  # features besides the words
 KEYS = 4
 _MARK = np.zeros(256, bool)
@@ -83,8 +89,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic")
 
 
-def learn_lexicon(picked: DataFrame, words: int = WORDS, least_ratio: float = LEAST_RATIO) -> list[str]:
-    """Toxic words and word beginnings of a labelled sample, the strongest first.
+def learn_lexicon(picked: DataFrame, words: int = WORDS, false_share: float = FALSE_SHARE) -> list[tuple[str, bool]]:
+    """Toxic words and word beginnings of a labelled sample, the strongest first, and
+    whether they tell by being dense in a text (else by being there at all).
 
     Of documents that agree in a minimum over their three-word windows (near
     copies do) only one counts, so that the words of a copied text aren't taken
@@ -109,15 +116,23 @@ def learn_lexicon(picked: DataFrame, words: int = WORDS, least_ratio: float = LE
                 keys[k, some] = np.minimum.reduceat(tb.mix(grams * tb.PLACE[11 + k]), cut[some])
             low = tb.LOWER[found.texts.data].tobytes()
             names = [low[a:b].decode() for a, b in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
-            own = [sorted({*names[a:b], *(w[:k] + "*" for w in names[a:b] for k in BEGINNINGS if len(w) > k)})
-                   for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            _, inverse = np.unique(tb.mix(found.hash + found.doc.astype(np.uint64) * tb.PLACE[10]), return_inverse=True)
+            times = np.bincount(inverse)[inverse[first]].tolist() if len(first) else []
+            own, dense = [], []
+            for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                count: dict[str, int] = {}
+                for w, t in zip(names[a:b], times[a:b], strict=True):
+                    for e in (w, *(w[:k] + "*" for k in BEGINNINGS if len(w) > k)):
+                        count[e] = count.get(e, 0) + t
+                own.append(list(count))
+                dense.append([100 * t >= DENSE * found.n[i] for t in count.values()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2).cast(pa.int32()), *(pa.array(k.view(np.int64)) for k in keys),
-                 pa.array(own, pa.list_(pa.string()))],
-                ["doc_id", "toxic", *(f"key{k}" for k in range(KEYS)), "words"])
+                 pa.array(own, pa.list_(pa.string())), pa.array(dense, pa.list_(pa.bool_()))],
+                ["doc_id", "toxic", *(f"key{k}" for k in range(KEYS)), "words", "dense"])
 
     keys = ", ".join(f"key{k} long" for k in range(KEYS))
-    rows = materialize(picked.mapInArrow(run, f"doc_id long, toxic int, {keys}, words array<string>"), "sample")
+    rows = materialize(picked.mapInArrow(run, f"doc_id long, toxic int, {keys}, words array<string>, dense array<boolean>"), "sample")
     for k in range(KEYS):
         ahead = rows.groupBy(f"key{k}").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
         rows = rows.join(F.broadcast(ahead), "doc_id", "left_semi")  # no more rows than the sample
@@ -126,61 +141,83 @@ def learn_lexicon(picked: DataFrame, words: int = WORDS, least_ratio: float = LE
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return []
-    counts = (rows.select("toxic", F.explode("words").alias("word")).groupBy("word")
-              .agg(F.sum((F.col("toxic") == 1).cast("double")).alias("a"), F.sum((F.col("toxic") == 0).cast("double")).alias("b")))
-    a, b = F.col("a"), F.col("b")
-    share = (a + b) / (toxic + clean)
-
-    def part(k, total):
-        return (F.when(k > 0, k * F.log(k / (share * total))).otherwise(0.0)
-                + F.when(k < total, (total - k) * F.log((total - k) / (total * (1 - share)))).otherwise(0.0))
-
-    strong = (counts.where((a / toxic > 2 * b / clean) & (a > b)).where(share < 1)
-              .withColumn("ratio", 2 * (part(a, F.lit(float(toxic))) + part(b, F.lit(float(clean)))))
-              .where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), F.length("word"), "word").limit(8 * words))
-    chosen: list[str] = []
-    for r in strong.collect():
-        # A beginning that stands before it says as much as the word.
-        if len(chosen) < words and not any(r["word"].startswith(w[:-1]) for w in chosen if w[-1] == "*"):
-            chosen.append(r["word"])
-    return chosen
+    entry = F.explode(F.arrays_zip("words", "dense")).alias("e")
+    is_toxic, is_dense = F.col("toxic") == 1, F.col("dense")
+    number = lambda test: F.sum(test.cast("double"))
+    counts = (rows.select("toxic", entry).select("toxic", F.col("e.words").alias("word"), F.col("e.dense").alias("dense"))
+              .groupBy("word").agg(number(is_toxic).alias("a"), number(~is_toxic).alias("b"),
+                                   number(is_toxic & is_dense).alias("c"), number(~is_toxic & is_dense).alias("d")))
+    # An entry of a single document proves nothing and isn't tested.
+    counts = materialize(counts.where("a + b > 1"), "lexicon-counts")
+    tests = 2 * counts.count()
+
+    def ratio(a, b):
+        """Log-likelihood ratio of an entry in ``a`` toxic and ``b`` clean documents; 0 where it
+        isn't far more frequent in toxic ones."""
+        share = (a + b) / (toxic + clean)
+
+        def part(k, total):
+            return (F.when(k > 0, k * F.log(k / (share * total))).otherwise(0.0)
+                    + F.when(k < total, (total - k) * F.log((total - k) / (total * (1 - share)))).otherwise(0.0))
+
+        useful = (a / toxic > 2 * b / clean) & (a > b) & (share < 1)
+        return F.when(useful, 2 * (part(a, F.lit(float(toxic))) + part(b, F.lit(float(clean))))).otherwise(0.0)
+
+    strong = (counts.withColumns({"there": ratio(F.col("a"), F.col("b")), "rate": ratio(F.col("c"), F.col("d"))})
+              .withColumn("ratio", F.greatest("there", "rate")).where("ratio > 0")
+              .orderBy(F.desc("ratio"), F.length("word"), "word").limit(8 * words).collect())
+    # Benjamini and Hochberg: the longest list whose last p-value fits.
+    fits = [math.erfc(math.sqrt(r["ratio"] / 2)) <= false_share * (i + 1) / tests for i, r in enumerate(strong)]
+    strong = strong[:max((i + 1 for i, ok in enumerate(fits) if ok), default=0)]
+    chosen: dict[str, bool] = {}
+    for r in strong:
+        # A beginning says as much as the words that begin with it, and less than a
+        # stronger, longer one.
+        word = r["word"].removesuffix("*")
+        covered = any(word.startswith(w[:-1]) if w[-1] == "*" else False for w in chosen)
+        wider = r["word"][-1] == "*" and any(w.startswith(word) for w in chosen)
+        if len(chosen) < words and not covered and not wider:
+            chosen[r["word"]] = r["rate"] > r["there"]
+    return list(chosen.items())
 
 
 class Features:
     """Votes and features of texts, for a lexicon."""
 
-    def __init__(self, lexicon: list[str]):
-        names = [*lexicon, *(w for w in INSULTS if w not in set(lexicon))]
-        keys = _hashes(names)
+    def __init__(self, lexicon: list[tuple[str, bool]]):
+        keys = _hashes([w for w, _ in lexicon])
         order = np.argsort(keys)
-        self.keys, self.number = keys[order], np.arange(len(names))[order]
-        self.learnt = len(lexicon)
-        self.fixed = np.array([w in INSULTS for w in names])
+        self.keys, self.number = keys[order], np.arange(len(lexicon))[order]
+        self.dense = np.array([d for _, d in lexicon], bool)
         self.address = np.sort(_hashes(ADDRESS))
-        self.size = len(names) + N_EXTRA
+        # An entry's presence and its rate, and the patterns.
+        self.size = 2 * len(lexicon) + N_EXTRA
 
     def __call__(self, texts: tb.Texts):
         """Vote pattern of each text, and its features as ``(text, feature, value)``."""
         words = tb.Words(texts, tb.ALNUM)
-        n = texts.n
-        hits, numbers = [], []
-        for of, keys in ((np.arange(len(words)), words.hash), *(_beginnings(words, k) for k in BEGINNINGS)):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        n, entries = texts.n, len(self.keys)
+        hits, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for of, keys in ((np.arange(len(words)), words.hash), *(_beginnings(words, k) for k in BEGINNINGS)) if entries else ():
+            at = np.minimum(np.searchsorted(self.keys, keys), entries - 1)
             same = self.keys[at] == keys
             hits.append(of[same])
             numbers.append(self.number[at[same]])
         hit, number = np.concatenate(hits), np.concatenate(numbers)
-        pair = np.unique(words.doc[hit] * self.size + number)
-        d, w = pair // self.size, pair % self.size
+        pair, times = np.unique(words.doc[hit] * max(entries, 1) + number, return_counts=True)
+        d, w = pair // max(entries, 1), pair % max(entries, 1)
+        hundred = np.maximum(words.n, 1) / 100
+        rate = times / hundred[d]
         hit = np.unique(hit)  # words that any entry fits
         doc = words.doc[hit]
         _, first = np.unique(tb.mix(words.hash[hit] + doc.astype(np.uint64) * tb.PLACE[10]), return_index=True)
         distinct = np.bincount(doc[first], minlength=n)
+        whole = np.bincount(doc, minlength=n) / hundred
         votes = np.zeros((len(VOTERS), n), np.int64)  # 0 abstains, 1 toxic, 2 clean
-        learnt = w < self.learnt
+        told = rate >= np.where(self.dense[w], DENSE, 0) if entries else np.zeros(0, bool)
         for i in range(DEALT):
-            votes[i, d[learnt & (w % DEALT == i)]] = 1
-        votes[DEALT, d[self.fixed[w]]] = 1
+            votes[i, d[told & (w % DEALT == i)]] = 1
+        votes[DEALT] = np.where(whole >= DENSE, 1, 0)
         to = np.isin(words.hash, self.address)
         near = np.concatenate(([0], np.cumsum(to)))
         low, high = np.maximum(hit - 4, words.off[doc]), np.minimum(hit + 5, words.off[doc + 1])
@@ -189,12 +226,11 @@ class Features:
         shout = texts.count(_MARK) / np.maximum(words.n, 1)
         votes[DEALT + 3] = np.where(shout >= 0.2, 1, 0)
         pattern = (votes * 3 ** np.arange(len(VOTERS))[:, None]).sum(axis=0)
-        extra = np.stack([np.log1p(distinct), np.minimum(np.bincount(doc, minlength=n) / np.maximum(words.n, 1) * 20, 2),
-                          votes[DEALT + 1] == 1, np.minimum(shout, 1)])
+        extra = np.stack([np.log1p(distinct), np.minimum(whole, 4), votes[DEALT + 1] == 1, np.minimum(shout, 1)])
         row, col = np.nonzero(extra.T)
-        text = np.concatenate((d, row))
-        feature = np.concatenate((w, self.size - N_EXTRA + col))
-        value = np.concatenate((np.ones(len(d)), extra.T[row, col]))
+        text = np.concatenate((d, d, row))
+        feature = np.concatenate((w, entries + w, 2 * entries + col))
+        value = np.concatenate((np.ones(len(d)), np.minimum(rate, 4), extra.T[row, col]))
         return pattern, text, feature, value
 
 
@@ -282,7 +318,7 @@ def fit_classifier(row, feature, value, target, size: int, rounds: int = 25, rid
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    lexicon: list[str]
+    lexicon: list[tuple[str, bool]]
     label_model: LabelModel
     weights: np.ndarray
 
@@ -333,9 +369,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     model = fit_label_model(patterns, label, np.array(counts or [1], float))
     if rows:
         own = np.array([r.pattern for r in rows], np.int64)
+        odds = np.log(np.clip(model.posterior(own), 1e-9, 1 - 1e-9) / np.clip(1 - model.posterior(own), 1e-9, 1 - 1e-9))
+        told = np.where(np.array([r.toxic == 1 for r in rows]), 1, -1) * np.log(LABELLED / (1 - LABELLED))
+        target = 1 / (1 + np.exp(-(odds + told)))
         index = np.repeat(np.arange(len(rows)), [len(r.feature) for r in rows])
         weights = fit_classifier(index, np.array([f for r in rows for f in r.feature], np.int64),
-                                 np.array([v for r in rows for v in r.value]), model.posterior(own), features.size)
+                                 np.array([v for r in rows for v in r.value]), target, features.size)
     else:  # no labelled text: the patterns stand for the texts
         seen = np.unique(patterns)
         votes = _unpack(seen)
