@@ -5,17 +5,16 @@ stop; the word's lattice probability sums over all of its segmentations (forward
 recursion in log space).  No piece crosses white space, so a text's
 probability is the product over its words and the recursion runs once for each
 distinct word.  The vocabulary's own scores (ranks, read as a Zipf law) are the first
-piece weights; expectation maximisation over the distinct training words then
-re-weights them.  The vocabulary itself is never trained.
+piece weights; expectation maximisation over the training words, each with its
+count, then re-weights them, until the likelihood stops rising or for ``EM_ROUNDS``.
+The vocabulary itself is never trained.  ``score`` is this lattice likelihood; no word has
+a count in it.
 
-Words seen in training keep their discounted share, and the discounted mass goes to
-the lattice (absolute discounting):
+Beside it, ``mixture_score`` keeps the discounted share of words seen in training, and
+gives the discounted mass to the lattice (absolute discounting):
 
     P(word) = max(c - D, 0) / N + D * V / N * P_lattice(word)
 
-This mixture is ``score``; ``lattice_score`` is the lattice likelihood alone, in which
-no word has a count.
-
 Training documents may be told apart by a column such as their language; each
 class then has counts and piece weights of its own, and the text's probability is
 the marginal over classes.  Scoring never reads the class of a document.
@@ -48,6 +47,8 @@ from hirelake.session import materialize
 #: Most words that are sent to every task (hash, count and two scores a class: 80 bytes each).
 FREQUENT = 1 << 18
 EM_ROUNDS = 3
+#: Gain in log probability a word below which re-weighting ends.
+LEAST_GAIN = 0.005
 #: Most classes of training documents, that for all the rest included.
 CLASSES = 8
 _SLICE = 1 << 18
@@ -148,8 +149,8 @@ def _sweep(total: np.ndarray, source, target, weight, step) -> None:
 
 def lattice_scores(lattice: Lattice, logq: list[np.ndarray], texts: tb.Texts, used: np.ndarray | None = None):
     """Log probability of each word under each set of piece weights; with
-    ``used`` (set, word) also the expected uses of the pieces and the stop in the
-    marked words."""
+    ``used`` (set, word) also the expected uses of the pieces and the stop in words
+    that occur so many times."""
     source, target, piece, end, begin, nodes = lattice.arcs(texts)
     last = nodes[1:] - 1
     word = np.searchsorted(nodes, source, side="right") - 1
@@ -161,13 +162,14 @@ def lattice_scores(lattice: Lattice, logq: list[np.ndarray], texts: tb.Texts, us
         if used is None:
             _sweep(fwd, source, target, weight, end)
         else:
-            own = used[k][word]
+            own = used[k][word] > 0
             _sweep(fwd, source[own], target[own], weight[own], end[own])
             back = np.full(nodes[-1], -np.inf)
             back[last] = 0.0
             _sweep(back, target[own], source[own], weight[own], -begin[own])
             share = np.exp(fwd[source[own]] + weight[own] + back[target[own]] - fwd[last][word[own]])
-            uses.append(np.append(np.bincount(piece[own], share, lattice.n), used[k].sum()))
+            times = used[k][word[own]]
+            uses.append(np.append(np.bincount(piece[own], share * times, lattice.n), used[k].sum()))
         scores.append(fwd[last] + q[-1])
     return (scores, uses) if used is not None else scores
 
@@ -273,25 +275,31 @@ def fit(data: DataFrame, counts: DataFrame, names: list[str], vocabulary: str |
     r = counts.agg(*parts).first().asDict()
     r = {k: v or 0 for k, v in r.items()}
     lattice = _lattice(vocabulary)
-    logq = [lattice.first] * size
+    logq, last = [lattice.first] * size, -math.inf
     for _ in range(rounds if r["types"] else 0):
         sent = spark.sparkContext.broadcast(logq)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent):
             own = _lattice(vocabulary)
-            uses = np.zeros((size, own.n + 1))
+            uses = np.zeros((size, own.n + 2))  # the last: log probability of all
             for batch in tb.slices(batches, "word", _SLICE):
-                used = np.stack([np.asarray(batch.column(1 + k)) > 0 for k in range(size)])
-                uses += np.stack(lattice_scores(own, sent.value, tb.Texts(batch.column(0)), used)[1])
+                used = np.stack([np.asarray(batch.column(1 + k), float) for k in range(size)])
+                scores, own_uses = lattice_scores(own, sent.value, tb.Texts(batch.column(0)), used)
+                uses[:, :-1] += np.stack(own_uses)
+                uses[:, -1] += [float(s[u > 0] @ u[u > 0]) for s, u in zip(scores, used, strict=True)]
             k, piece = np.nonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(uses[k, piece])],
                                              ["k", "piece", "uses"])
 
         rows = (counts.where(total > 0).select("word", *(f"c{k}" for k in range(size)))
                 .mapInArrow(run, "k int, piece int, uses double").groupBy("k", "piece").agg(F.sum("uses").alias("uses")).toArrow())
-        uses = np.tile(np.exp(lattice.first), (size, 1))  # the vocabulary's weights count as one use in all
+        uses = np.tile(np.append(np.exp(lattice.first), 0), (size, 1))  # the vocabulary's weights count as one use in all
         k, piece = (np.asarray(rows.column(c), np.int64) for c in ("k", "piece"))
         uses[k, piece] += np.asarray(rows.column("uses"))
+        found, uses = uses[:, -1].sum(), uses[:, :-1]
+        if found - last < LEAST_GAIN * sum(r[f"n{k}"] for k in range(size)):
+            break
+        last = found
         logq = list(np.log(uses / uses.sum(axis=1, keepdims=True)))
     classes, docs = [], max(sum(ends.values()), 1)
     for k in range(size):
@@ -304,11 +312,11 @@ def fit(data: DataFrame, counts: DataFrame, names: list[str], vocabulary: str |
 def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUENT,
                 id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    lattice_score)``, one row per row of ``docs``.
+    mixture_score)``, one row per row of ``docs``.
 
     Learns from the documents whose crc32 of the id leaves another remainder than
-    1 by 5, scores all; the scores are log10 probabilities: ``score`` of words mixed from their
-    counts and the lattice, ``lattice_score`` of the lattice alone."""
+    1 by 5, scores all; the scores are log10 probabilities: ``score`` of the lattice,
+    ``mixture_score`` of words mixed from their counts and the lattice."""
     spark = docs.sparkSession
     kind = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
@@ -413,4 +421,4 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
         return (top + F.log(sum((F.exp(x - top) for x in joint[1:]), F.exp(joint[0] - top)))) / math.log(10)
 
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
-                         "base_score", marginal(sums[:size]).alias("score"), marginal(sums[size:]).alias("lattice_score"))
+                         "base_score", marginal(sums[size:]).alias("score"), marginal(sums[:size]).alias("mixture_score"))

@@ -99,7 +99,7 @@ def test_base_and_counts(docs, frequent):
 
 
 @pytest.mark.parametrize("frequent", [0, 1 << 18])
-def test_score_is_the_marginal_over_classes(spark, pieces, frequent):
+def test_mixture_is_the_marginal_over_classes(spark, pieces, frequent):
     rows = [(i, t, c) for i, (t, c) in enumerate([
         ("red fox", "a"), ("red dog red", "a"), ("Blue fox bl\u00e5", "b"), ("new words here", None), ("", "b"), (None, "b")] * 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -116,7 +116,7 @@ def test_score_is_the_marginal_over_classes(spark, pieces, frequent):
         lattice = m.logq[-1] + (all_segmentations([256, *word.encode()], weights[k]) if word else 0)
         return math.log(max(n - m.discount, 0) / m.tokens + m.discount * m.types / m.tokens * math.exp(lattice))
 
-    got = {r.doc_id: r.score for r in lm.score_texts(df, class_col="lang", frequent=frequent).collect()}
+    got = {r.doc_id: r.mixture_score for r in lm.score_texts(df, class_col="lang", frequent=frequent).collect()}
     names = lm._class_names(data)
     assert sorted(names) == ["a", "b"]
     for d, t, _ in rows:
@@ -126,14 +126,14 @@ def test_score_is_the_marginal_over_classes(spark, pieces, frequent):
 
 
 @pytest.mark.parametrize("frequent", [0, 1 << 18])
-def test_lattice_score_mixes_in_no_word_counts(spark, pieces, frequent):
+def test_score_is_the_lattice_marginal_without_word_counts(spark, pieces, frequent):
     rows = [(i, t, c) for i, (t, c) in enumerate([
         ("red fox", "a"), ("red dog red", "a"), ("Blue fox bl\u00e5", "b"), ("new words here", None), ("", "b"), (None, "b")] * 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     data = df.select("doc_id", "text", lm.held_out("doc_id").alias("held_out"), df["lang"].alias("class"))
     model = lm.fit(data, lm.word_counts(data, ["a", "b"]), ["a", "b"])
     weights = [{codes: float(m.logq[i]) for codes, i in pieces.items()} for m in model.classes]
-    got = {r.doc_id: r.lattice_score for r in lm.score_texts(df, class_col="lang", frequent=frequent).collect()}
+    got = {r.doc_id: r.score for r in lm.score_texts(df, class_col="lang", frequent=frequent).collect()}
     for d, t, _ in rows:
         joint = [math.log(m.share) + m.logq[-1] + sum(
             m.logq[-1] + all_segmentations([256, *w.encode()], weights[k]) for w in words(t)) for k, m in enumerate(model.classes)]
@@ -141,10 +141,22 @@ def test_lattice_score_mixes_in_no_word_counts(spark, pieces, frequent):
         assert got[d] == pytest.approx(want, rel=1e-5)
 
 
-def test_held_out_beats_base(spark):
+def test_held_out_figures(spark):
+    """The mixture beats the base; the lattice alone gains by its training words."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = [r for r in lm.score_texts(docs, class_col="lang").collect() if r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert sum(r.mixture_score for r in got) > sum(r.base_score for r in got)
+    tokens = sum(r.n_tokens for r in got)
+    assert sum(r.score for r in got) / tokens > -5.6
+
+
+def test_counts_weigh_the_expected_uses():
+    lattice = lm._lattice(None)
+    some = ["red", "fox", "red", "red", "onthan", "fox"]
+    one = lm.lattice_scores(lattice, [lattice.first], tb.Texts(pa.array(some)), np.ones((1, 6)))[1][0]
+    seen = Counter(some)
+    two = lm.lattice_scores(lattice, [lattice.first], tb.Texts(pa.array(list(seen))), np.array([list(seen.values())], float))[1][0]
+    assert two == pytest.approx(one)
 
 
 def test_odd_tables(clashing, empty):
