@@ -7,7 +7,7 @@ least ``percent``.  No link between different sets is lost:
    Linked sets overlap in ``percent`` of the larger one at least, so they share one of
    the first ``n - ceil(percent n) + 1`` shingles of both, and their sizes differ by
    ``100 / percent`` at most.  A node is such a shingle with a range of sizes; a
-   document stands under the range of its size and that of the largest size it may
+   document stands under the ranges from its own size to the largest size it may
    be linked with, so that linked documents meet.
 2. A node of two documents tells of one pair.  Linked sets share not one but
    ``overlap + 1 - ceil(percent max n)`` of their first shingles, so a pair that shares fewer
@@ -15,23 +15,25 @@ least ``percent``.  No link between different sets is lost:
    Every document has a bitmap of its shingles.  Each larger node names a centre, the member
    with most company in its nodes; bitmaps bound the overlap of members with it.
    Those that may share ``RELATED`` percent with the centre are compared with it in
-   full, and linked ones are put together.
-3. A centre's members may still lie in several components.  They become leaves
+   full: the shingles that a member adds to the centre and lacks of it are kept.
+3. A centre's members may be linked with each other.  They become leaves
    of a signature tree: a leaf has its bitmap and its size and, if it was compared,
    bitmaps of the shingles that it adds to the centre and of those that it lacks; an
    inner node has the OR of its children's bitmaps, and ranges of their sizes.  The tree
    is traversed against itself from the top; a pair of nodes is pruned when its maximum
-   possible overlap is below what its smallest sizes ask for, when the sizes do not
-   fit, or when all its leaves are one component.  Pairs of leaves that remain are
-   compared in full.
+   possible overlap is below what its smallest sizes ask for, or when the sizes do not
+   fit.  Of the pairs of leaves that remain, two compared members are decided on the spot,
+   by what both add and lack; the others are compared in full.
+
+Every link between different sets is returned, also those within one component.
 
 Two sets overlap in no more shingles than their bitmaps share bits, plus the shingles
 that fall on a taken bit (``extra``).  Of two members that were compared, the same is
 told more sharply: by what they share of the centre, at most the centre without the
 union of what they lack, plus what they share outside it.
 
-Groups of more than ``GROUP`` members are cut into blocks, and pairs of blocks are
-traversed by different tasks.  Documents with equal sets are one class throughout.
+Groups of more than ``GROUP`` members or ``GROUP_BYTES`` are cut into blocks, and pairs of
+blocks are traversed by different tasks.  Documents with equal sets are one class throughout.
 
 Nulls and edge cases: documents without words have an empty set and link with
 nothing; fewer than ``k`` words make one shingle; a null id links with nothing and is
@@ -66,9 +68,13 @@ RANGE = 2.0
 SEND_MAX = 1_000_000
 #: Most members of a centre that one task holds at a time; members a salt of a centre.
 GROUP, SALT = 4096, 512
+#: Most bytes of members that one task holds at a time, of each of two blocks.
+GROUP_BYTES = 16 << 20
 _FANOUT = 8
 #: Words of bitmaps that are compared at a time.
 _PAIRS = 1 << 20
+#: What is known of a pair.
+OPEN, APART, LINKED = range(3)
 
 
 def shingle_sets(texts: tb.Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +148,10 @@ def signatures(data: DataFrame, k: int, percent: int, common: np.ndarray) -> Dat
                 y[some] = np.add.reduceat(tb.mix(sets ^ tb.PLACE[41]), off[:-1][some])
             first, doc = prefixes(sets, off, percent, common)
             low, high = ranges(n)
-            key = lambda span: tb.mix(first ^ (span[doc] + np.uint64(1)) * tb.PLACE[42])
-            keys = np.stack([key(low), key(high)], axis=1)
-            use = np.stack([np.ones(len(doc), bool), (low != high)[doc]], axis=1)
+            # The ranges from low to high: two, or more where percent is below 50.
+            steps = np.arange(int((high - low).max(initial=0)) + 1, dtype=np.uint64)
+            keys = tb.mix(first[:, None] ^ (low[doc][:, None] + steps + np.uint64(1)) * tb.PLACE[42])
+            use = steps <= (high - low)[doc][:, None]
             ends = np.concatenate(([0], np.cumsum(use.sum(axis=1))))[np.searchsorted(doc, np.arange(len(n) + 1))]
             bits = [_bits(sets[off[i]:off[i + 1]], _width(int(n[i]))) for i in range(len(n))]
             yield pa.RecordBatch.from_arrays(
@@ -218,7 +225,7 @@ def _folded(bits: bytes, width: int) -> int:
 
 def compare(pairs: DataFrame, data: DataFrame, k: int, bitmaps: bool) -> DataFrame:
     """``(a, b, n_a, n_b, common, full, adds, lacks)``: sizes and overlap of full sets; with
-    ``bitmaps``, those of ``b``, of what it adds to ``a`` and of what it lacks."""
+    ``bitmaps``, that of ``b``, and the shingles that it adds to ``a`` and that it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in tb.slices(tb.slices(batches, "text_a"), "text_b"):
@@ -235,8 +242,7 @@ def compare(pairs: DataFrame, data: DataFrame, k: int, bitmaps: bool) -> DataFra
                 if bitmaps:
                     kept = np.zeros(len(s), bool)
                     kept[found[shared]] = True
-                    full, adds = _bits(t, _width(len(t))), _bits(t[~shared], _width(len(t)))
-                    lacks = _bits(s[~kept], max(256, _width(len(s)) // 4))
+                    full, adds, lacks = _bits(t, _width(len(t))), t[~shared].tobytes(), s[~kept].tobytes()
                 rows.append((len(s), len(t), int(shared.sum()), full, adds, lacks))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -281,10 +287,11 @@ class Tree:
         return of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _possible(x: dict, i: np.ndarray, y: dict, j: np.ndarray, centre: int, percent: int) -> np.ndarray:
-    """Which pairs of nodes may hold a linked pair of different components."""
+def _possible(x: dict, i: np.ndarray, y: dict, j: np.ndarray, centre: int, percent: int, within: bool) -> np.ndarray:
+    """Which pairs of nodes may hold a linked pair; without ``within``, one of different components."""
     fits = (100 * x["n_max"][i] >= percent * y["n_min"][j]) & (100 * y["n_max"][j] >= percent * x["n_min"][i])
-    fits &= ~((x["root_min"][i] == x["root_max"][i]) & (y["root_min"][j] == y["root_max"][j]) & (x["root_min"][i] == y["root_min"][j]))
+    if not within:
+        fits &= ~((x["root_min"][i] == x["root_max"][i]) & (y["root_min"][j] == y["root_max"][j]) & (x["root_min"][i] == y["root_min"][j]))
     at = np.flatnonzero(fits)
     i, j = i[at], j[at]
     least = lambda c: np.minimum(x[c][i], y[c][j])
@@ -305,10 +312,16 @@ def _possible(x: dict, i: np.ndarray, y: dict, j: np.ndarray, centre: int, perce
 
 
 def traverse(one: Tree, two: Tree | None, centre: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of leaves that may be linked, of ``one`` and ``two`` (of ``one`` with itself
-    if that is None), from the top down."""
+    """Pairs of leaves of different components that may be linked, of ``one`` and ``two`` (of
+    ``one`` with itself if that is None)."""
+    none = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    i, j = zip(*none, *traversed(one, two, centre, percent, False), strict=True)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def traversed(one: Tree, two: Tree | None, centre: int, percent: int, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same from the top down, in parts; with ``within``, pairs of one component as well."""
     other = two or one
-    out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     tops = [np.arange(len(t.levels[-1]["n_min"])) for t in (one, other)]
     i, j = (v.ravel() for v in np.meshgrid(*tops, indexing="ij"))
     # Depth first over parts of the frontier, which bounds memory.
@@ -324,13 +337,12 @@ def traverse(one: Tree, two: Tree | None, centre: int, percent: int) -> tuple[np
             half = len(i) // 2
             stack += [(p, q, i[:half], j[:half]), (p, q, i[half:], j[half:])]
             continue
-        go = _possible(one.levels[p], i, other.levels[q], j, centre, percent)
+        go = _possible(one.levels[p], i, other.levels[q], j, centre, percent, within)
         i, j = i[go], j[go]
         if not len(i):
             continue
         if p == 0 and q == 0:
-            out[0].append(one.order[i])
-            out[1].append(other.order[j])
+            yield one.order[i], other.order[j]
             continue
         if two is None or p >= q:
             if p > 0:
@@ -343,45 +355,90 @@ def traverse(one: Tree, two: Tree | None, centre: int, percent: int) -> tuple[np
                 i = i[of]
                 q -= 1
         stack.append((p, q, i, j))
-    return np.concatenate(out[0]), np.concatenate(out[1])
 
 
 def _words(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1) if column else np.zeros((0, 4), np.uint64)
 
 
+class Lists:
+    """Lists of shingles by member, to count what two members have in common."""
+
+    def __init__(self, lists: list[bytes]):
+        n = np.array([len(v) // 8 for v in lists], np.int64)
+        values, found, count = np.unique(np.frombuffer(b"".join(lists), np.uint64), return_inverse=True, return_counts=True)
+        # What one member alone has counts for no pair.
+        kept = count[found] > 1
+        self.values, self.size = found[kept], len(values)
+        self.off = np.concatenate(([0], np.cumsum(kept)))[np.concatenate(([0], np.cumsum(n)))]
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Shingles that members ``i`` and ``j`` share, for pairs in order of ``i``."""
+        out = np.zeros(len(i), np.int64)
+        if not len(i):
+            return out
+        marks = np.zeros(self.size, bool)
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(i)], strict=True):
+            mine = self.values[self.off[i[a]]:self.off[i[a] + 1]]
+            if not len(mine):
+                continue
+            marks[mine] = True
+            first, n = self.off[j[a:b]], self.off[j[a:b] + 1] - self.off[j[a:b]]
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+            out[a:b] = np.diff(np.concatenate(([0], np.cumsum(marks[self.values[at]])))[np.concatenate(([0], ends))])
+            marks[mine] = False
+        return out
+
+
 def _join(table: pa.Table, percent: int):
-    """Possible pairs among the members of one centre, or across two blocks of them."""
-    cols = {c: np.asarray(table.column(c).combine_chunks()) for c in ("b", "n", "common", "root", "side")}
+    """Pairs (positions in ``table``) of members of one centre, or across two blocks of them: those
+    that are linked (``True``), and those of which one was not compared that may be."""
+    cols = {c: np.asarray(table.column(c).combine_chunks()) for c in ("n", "common", "root", "side")}
     centre = int(table.column("n_a")[0].as_py())
     full, adds, lacks = (table.column(c).to_pylist() for c in ("full", "adds", "lacks"))
     compared = np.array([v is not None for v in lacks])
-    adds = [v if v is not None else bytes(len(f)) for v, f in zip(adds, full, strict=True)]
-    lacks = _words([v if v is not None else bytes(next((len(x) for x in lacks if x is not None), 32)) for v in lacks])
+    adds, lacks = ([v or b"" for v in c] for c in (adds, lacks))
+    added, lacked = Lists(adds), Lists(lacks)
+    adds = [_bits(np.frombuffer(v, np.uint64), 8 * len(f)) for v, f in zip(adds, full, strict=True)]
+    narrow = max(256, _width(centre) // 4)
+    lacks = _words([_bits(np.frombuffer(v, np.uint64), narrow) for v in lacks])
     width = np.array([len(v) for v in full], np.int64)
     split = len(np.unique(cols["side"])) > 1
+    # Linked sizes differ by 100 / percent at most, and so do widths, rounded up: fold the wider ones.
+    factors = [1 << f for f in range((-(-100 // percent) - 1).bit_length() + 1)]
     for w in np.unique(width):
-        # Linked sizes differ by less than two, and so do widths: fold the wider ones.
         trees = {}
-        for factor in (1, 2):
+        for factor in factors:
             for side in (0, 1) if split else (0,):
                 rows = np.flatnonzero((width == factor * w) & ((cols["side"] == side) | (not split)))
                 if not len(rows):
                     continue
-                bits = [_words([v[r] for r in rows]) for v in (full, adds)]
-                if factor == 2:
-                    half = bits[0].shape[1] // 2
-                    bits = [v[:, :half] | v[:, half:] for v in bits]
+                bits = [_words([v[r] for r in rows]).reshape(len(rows), factor, -1) for v in (full, adds)]
+                bits = [np.bitwise_or.reduce(v, axis=1) for v in bits]
                 trees[factor, side] = rows, Tree(centre, *(cols[c][rows] for c in ("n", "common", "root")), *bits, lacks[rows],
                                                  compared[rows])
-        for first, second in (((1, 0), (1, 1)), ((1, 0), (2, 1)), ((1, 1), (2, 0))) if split else (((1, 0), None), ((1, 0), (2, 0))):
+        wider = factors[1:]
+        meet = ([((1, 0), (1, 1))] + [((1, s), (f, 1 - s)) for f in wider for s in (0, 1)] if split
+                else [((1, 0), None)] + [((1, 0), (f, 0)) for f in wider])
+        for first, second in meet:
             if first not in trees or (second and second not in trees):
                 continue
             rows, one = trees[first]
             others, two = trees[second] if second else (rows, None)
-            i, j = traverse(one, two, centre, percent)
-            if len(i):
-                yield cols["b"][rows[i]], cols["b"][others[j]]
+            for i, j in traversed(one, two, centre, percent, True):
+                i, j = rows[i], others[j]
+                both = compared[i] & compared[j]
+                if not both.all():
+                    yield i[~both], j[~both], False
+                i, j = i[both], j[both]
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                # Of the centre: its shingles less the union of what the two lack.
+                overlap = cols["common"][i] + cols["common"][j] - centre + lacked.common(i, j) + added.common(i, j)
+                linked = 100 * overlap >= percent * (cols["n"][i] + cols["n"][j] - overlap)
+                yield i[linked], j[linked], True
 
 
 def _groups(percent: int):
@@ -389,8 +446,13 @@ def _groups(percent: int):
 
     def out(tables):
         table = pa.Table.from_batches(tables)
-        for a, b in _join(table, percent):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        member, root = (np.asarray(table.column(c).combine_chunks()) for c in ("b", "root"))
+        for i, j, sure in _join(table, percent):
+            a, b = member[i], member[j]
+            state = np.full(len(i), LINKED if sure else OPEN, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(state), pa.array(root[i] != root[j])],
+                ["a", "b", "state", "joins"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, key = [], None
@@ -413,28 +475,30 @@ def _groups(percent: int):
 
 
 def open_pairs(leaves: DataFrame, parts: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
-    """Pairs ``(a, b)`` of members of one centre, of different components, that may be
-    linked."""
+    """Pairs ``(a, b, state, joins)`` of members of one centre: linked ones, and those that may
+    be but have to be compared; ``joins`` if their components differ.  A pair comes once for
+    each centre that it shares."""
     root = parts.select(F.col("node").alias("id"), "root")
     rows = (leaves.join(root.withColumnRenamed("id", "b"), "b", "left")
             .select("a", "b", "n_a", F.col("n_b").alias("n"), "common", F.coalesce("root", "b").alias("root"), "full", "adds",
                     "lacks"))
-    # Only centres whose members are not one component.
-    several = (rows.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
-               .where("lo < hi").select("a", F.ceil(F.col("m") / group).alias("blocks")))
+    held = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("full", "adds", "lacks")), F.lit(0).cast("long"))
+    several = (rows.groupBy("a").agg(F.count("*").alias("m"), F.sum(held).alias("bytes"))
+               .where("m > 1").select("a", F.ceil(F.greatest(F.col("m") / group, F.col("bytes") / GROUP_BYTES)).alias("blocks")))
     rows = (rows.join(several, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks"))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             .select("a", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                     (F.col("block") > F.col("other")).cast("int").alias("side"), "b", "n_a", "n", "common", "root", "full", "adds", "lacks"))
     return (rows.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi")
-            .mapInArrow(_groups(percent), "a long, b long").distinct())
+            .mapInArrow(_groups(percent), "a long, b long, state int, joins boolean"))
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
                  hot: int = HOT, group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(sets, classes, links)``: every document with size and checksum of its set, the
-    representative of each set ``(x, y, n, rep)``, and links ``(a, b)`` between
-    representatives whose components are those of all links."""
+    representative of each set ``(x, y, n, rep)``, and all links ``(a, b, joins)``, ``a < b``, between
+    representatives.  Links with ``joins`` alone give the components of all links: in a group
+    of near copies they are no more than its members, where all links are its pairs."""
     data = _data(docs, id_col, text_col)
     sig = materialize(signatures(data, k, percent, common_shingles(data, k, percent, hot, COMMON)), "tree-signatures")
     own = sig.where("n > 0 and doc_id is not null")
@@ -466,14 +530,19 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     links = compared.where(linked).select("a", "b")
     leaves = compared.unionByName(bounded.where(F.col("star") & ~related).drop("star").withColumns(
         {c: F.lit(None).cast("binary") for c in ("adds", "lacks")}))
-    pairs = materialize(open_pairs(leaves, connected_components(links), percent, group), "tree-pairs")
-    more = materialize(compare(pairs, data, k, False).where(linked).select("a", "b"), "tree-links")
-    return sig.select("doc_id", "n", "x", "y"), classes, links.unionAll(more)
+    known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                            F.when(linked, F.lit(LINKED)).otherwise(F.lit(APART)).alias("state"), F.lit(True).alias("joins"))
+    pairs = materialize(known.unionAll(open_pairs(leaves, connected_components(links), percent, group))
+                        .groupBy("a", "b").agg(F.max("state").alias("state"), F.max("joins").alias("joins")), "tree-pairs")
+    unsure = pairs.where(F.col("state") == OPEN).drop("state")
+    more = materialize(compare(unsure.select("a", "b"), data, k, False).where(linked).select("a", "b"), "tree-links")
+    links = pairs.where(F.col("state") == LINKED).drop("state").unionAll(unsure.join(more, ["a", "b"], "left_semi"))
+    return sig.select("doc_id", "n", "x", "y"), classes, links
 
 
 def components(sets: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per document."""
-    parts = connected_components(links)
+    parts = connected_components(links.where("joins"))
     found = (sets.join(classes, ["x", "y", "n"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

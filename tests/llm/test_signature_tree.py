@@ -149,3 +149,39 @@ def test_one_component_is_not_compared_again():
     _, columns = leaves(random.Random(5), 300, 3)
     tree = st.Tree(*columns[:3], np.zeros(300, np.int64), *columns[4:])
     assert len(st.traverse(tree, None, 200, 90)[0]) == 0
+
+
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"hot": 3, "group": 8}), (6, {"hot": 3, "percent": 40})])
+def test_every_link_between_different_sets(spark, seed, options):
+    rows = made(seed)
+    close = family(random.Random(seed), [f"c{i}" for i in range(200)], 50, 3)
+    rows += enumerate(close, len(rows))
+    sets, classes, links = st.jaccard_join(make_docs(spark, rows), **options)
+    own, percent = sets_of(rows), options.get("percent", 90)
+    rep = {r.rep for r in classes.collect()}
+    want = {(a, b) for a in rep for b in rep if a < b and
+            100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b])}
+    got = [(r.a, r.b) for r in links.collect()]
+    assert sorted(got) == sorted(want)
+    assert len(want) > 200
+    # Components need far fewer.
+    assert links.where("joins").count() < len(want) / 2
+
+
+def test_sizes_three_ranges_apart(spark):
+    # 40 percent: sets of 7 and 17 shingles link, their sizes are two ranges of two apart.
+    words = [f"a{i}" for i in range(60)]
+    rows = [(n, " ".join(words[:n + 2])) for n in (7, 15, 16, 17, 18, 45)]
+    links = st.jaccard_join(make_docs(spark, rows), percent=40)[2].collect()
+    assert sorted((r.a, r.b) for r in links) == [(a, b) for a in (7, 15, 16, 17, 18) for b in (15, 16, 17, 18, 45)
+                                                 if a < b and 100 * a >= 40 * b]
+
+
+def test_overlap_of_members_by_their_lists():
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(60), rng.randint(0, 30))) for _ in range(40)]
+    lists = st.Lists([np.array(s, np.uint64).tobytes() for s in sets])
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(40), np.arange(40), indexing="ij"))
+    assert lists.common(i, j).tolist() == [len(set(sets[a]) & set(sets[b])) if a != b else len(
+        [v for v in sets[a] if sum(v in s for s in sets) > 1]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert lists.common(i[:0], j[:0]).tolist() == []
