@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from hirelake.operators import rate
+from hirelake.plans.queries_rate import throttle_stream_query
 from hirelake.session import scratch_dir
 from hirelake.streaming.throttle import throttle_stream
 
@@ -78,6 +79,14 @@ def test_throttle_stream_equals_batch_out_of_order(spark):
     assert got == brute_throttle(rows, dt.timedelta(hours=1), 2)
 
 
+def test_throttle_stream_query_over_events_in_many_files(spark, tmp):
+    # Each delivery is written in several files; none of its events may be late for another.
+    rows, df = events(spark, n=400, seed=5)
+    df.repartition(8).write.option("parquet.block.size", 1024).parquet(f"{tmp}/events.parquet")
+    got = {r.event_id: r.ok for r in throttle_stream_query(spark, tmp).collect()}
+    assert got == brute_throttle(rows, dt.timedelta(hours=6), 2)
+
+
 def test_stream_decides_a_late_event_first(spark):
     base = dt.datetime(2024, 1, 1)
     files = [[(1, 1, base + dt.timedelta(seconds=300))], [(2, 1, base + dt.timedelta(seconds=280)), (3, 1, None)]]
