@@ -43,8 +43,9 @@ def check_batch(store: TableStore, spec: TableSpec, validated: DataFrame, label:
     record passed every rule and every FK.  FK lookups use the store's
     current dimension tables (dimensions of the same run are already in).
 
-    The batch is written out once before, as it is read for its FK values,
-    its errors and its valid rows.  Returns it with the records received and valid."""
+    The batch is written out before, as it is read for its FK values, and with its FK
+    errors, as it is read for its counts, its errors and its valid rows: where many ids
+    are missing the check shuffles the batch.  Returns it with the records received and valid."""
     validated = materialize(validated, label)
     empty = F.array().cast(validate.ERR_TYPE)
     if spec.foreign_keys:
@@ -57,6 +58,8 @@ def check_batch(store: TableStore, spec: TableSpec, validated: DataFrame, label:
     else:
         validated = validated.withColumn("fk_errs", empty)
     checked = validated.withColumn("ok", (F.size("errs") == 0) & (F.size("fk_errs") == 0))
+    if spec.foreign_keys:
+        checked = materialize(checked, f"{label}-checked")
     n = checked.agg(F.count(F.lit(1)).alias("recibidos"), F.count_if("ok").alias("validos")).first()
     return checked, n["recibidos"], n["validos"]
 
@@ -76,9 +79,17 @@ class IngestResult:
 
 
 def _repeated(valid: DataFrame, spec: TableSpec) -> DataFrame:
-    """V5: keys that occur more than once in one group, with the last position."""
-    return (valid.groupBy("payload", "orden", spec.key)
-            .agg(F.count(F.lit(1)).alias("n"), F.max("indice").alias("indice")).where("n > 1"))
+    """V5: keys that occur more than once in one group, with the last position (written out).
+
+    A group's name is long: a hash of it tells which rows may repeat a key, and only
+    those are grouped by name."""
+    rows = valid.withColumn("_place", F.xxhash64("payload", "orden"))
+    maybe = materialize(rows.groupBy("_place", spec.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+                        f"ingest-{spec.name}-places")
+    rows = rows.join(maybe, ["_place", spec.key], "left_semi")
+    return materialize(rows.groupBy("payload", "orden", spec.key)
+                       .agg(F.count(F.lit(1)).alias("n"), F.max("indice").alias("indice")).where("n > 1"),
+                       f"ingest-{spec.name}-repeated")
 
 
 def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "error",
@@ -109,7 +120,7 @@ def ingest_records(store: TableStore, records: DataFrame, on_duplicate: str = "e
             continue
         spec = table_spec(tabla)
         recs = records.where(F.col("tabla") == tabla)
-        checked, received, passed = check_batch(store, spec, validate.validate_json(recs, "raw", spec), f"ingest-{tabla}")
+        checked, received, passed = check_batch(store, spec, validate.validate_json(recs, "raw", spec).drop("raw"), f"ingest-{tabla}")
         valid = (checked.where(F.col("ok"))
                  .withColumn("_pos", F.struct("orden", "indice")))
         errors.append(batch_errors(checked, tabla))
